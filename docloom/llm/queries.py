@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.bpe_codec import digest_documents
 from docloom.llm.common import read_table
+from docloom.llm.language_id import fit_language, identify_documents
+from docloom.llm.quality_classifier import fit_quality, score_documents
+from docloom.llm.quality_rules import fit_rules, judge_documents
 from docloom.llm.sharding import MULTIPLIER, assign_shards
 from docloom.llm.token_count import count_documents
 
@@ -21,6 +24,21 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return judge_documents(docs, fit_rules(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return identify_documents(docs, fit_language(docs))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"), 40)
 
@@ -49,6 +67,9 @@ FROM sized s JOIN last l ON s.doc_id IS NOT DISTINCT FROM l.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_token_count": op3_token_count,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op6_sharding": OP6_SQL}
