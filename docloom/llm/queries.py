@@ -13,6 +13,7 @@ from docloom.llm.language_id import fit_language, identify_documents
 from docloom.llm.quality_classifier import fit_quality, score_documents
 from docloom.llm.quality_rules import fit_rules, judge_documents
 from docloom.llm.sharding import MULTIPLIER, assign_shards
+from docloom.llm.simhash_dedup import near_duplicates
 from docloom.llm.token_count import count_documents
 
 
@@ -43,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"), 40)
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = f"""
 WITH RECURSIVE jumps AS (
   SELECT doc_id, (CASE WHEN k < 0 THEN k::HUGEINT + 18446744073709551616::HUGEINT ELSE k::HUGEINT END)::UHUGEINT AS state, -1::BIGINT AS shard, -1::BIGINT AS grown, 0::BIGINT AS nxt
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 ORACLES: dict[str, str] = {"op6_sharding": OP6_SQL}
