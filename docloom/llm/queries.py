@@ -14,6 +14,7 @@ from docloom.llm.quality_classifier import fit_quality, score_documents
 from docloom.llm.quality_rules import fit_rules, judge_documents
 from docloom.llm.sharding import MULTIPLIER, assign_shards
 from docloom.llm.simhash_dedup import near_duplicates
+from docloom.llm.suffix_dedup import remove_repeats
 from docloom.llm.token_count import count_documents
 
 
@@ -35,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(docs, fit_language(docs))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
