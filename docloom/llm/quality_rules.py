@@ -44,3 +44,19 @@ def judge_documents(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) -
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return key_and_text(docs).mapInArrow(run, SCHEMA)
+
+
+def keep_documents(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) -> DataFrame:
+    """The rows of documents that judge_documents() keeps, with all their columns, without a join."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for _, texts in text_groups(iter([pa.RecordBatch.from_arrays([batch.column(place), batch.column(place)], ["doc_id", "text"])]), GROUP_BYTES):
+                stats = np.array([all_stats(t) for t in texts], np.int64)
+                failed = (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
+                keep.append(~failed & (model.probability(ratios(stats)) >= threshold))
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -334,7 +335,7 @@ def _sort(blocks: int):
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, source long, kept string"
 
 
 def removed_bytes(found: Anchors, masks: np.ndarray) -> np.ndarray:
@@ -349,16 +350,20 @@ def removed_bytes(found: Anchors, masks: np.ndarray) -> np.ndarray:
 
 def _remove(with_text: bool):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        verdicts, rows = Verdicts(right), []
+        verdicts, rows, seen = Verdicts(right), [], set()
         for ids, texts in chunks(*_texts(left)):
             found = Anchors(texts)
             gone = removed_bytes(found, verdicts.of(found, ids))
             for i, s, e, text in zip(ids, found.starts.tolist(), found.ends.tolist(), texts):
+                source = xxhash.xxh64_intdigest(text, 42) if with_text else 0
+                if with_text and (i, source) in seen:
+                    continue
+                seen.add((i, source))
                 own = gone[s:e]
                 count = int(own.sum())
                 kept = np.frombuffer(text, np.uint8)[~own].tobytes() if count else text
                 spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if count else 0
-                rows.append((i, e - s, count, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                rows.append((i, e - s, count, spans, hashlib.sha256(kept).hexdigest(), source - (source >> 63 << 64), kept.decode("utf-8", "ignore") if with_text else None))
         return pa.Table.from_batches([_rows(rows, RESULT)])
 
     return run
@@ -370,10 +375,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) kept, the remaining bytes, per row of documents.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of documents.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
-    doc_id. Null and empty texts have no bytes. A row without doc_id is before and after no other: nothing of it
+    doc_id. With with_text there is one row per distinct (doc_id, text): kept is the remaining text, source the XXH64 of the whole one. Null and empty texts have no bytes. A row without doc_id is before and after no other: nothing of it
     goes. Rows that share a doc_id don't match each other. Other columns are ignored; an empty table gives an empty result.
     """
     rows = key_and_text(docs)
@@ -388,6 +393,22 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     settled = verdicts.filter("kind = 0").unionByName(masks)
     done = texts.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(with_text), RESULT)
     text = F.coalesce("text", F.lit(""))
-    nameless = rows.filter("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), (text.cast("binary") if with_text else F.lit(None).cast("binary")).alias("kept"))
-    found = done.unionByName(nameless)
-    return found if with_text else found.drop("kept")
+    nameless = rows.filter("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), F.xxhash64(text).alias("source"), text.alias("kept"))
+    if with_text:
+        return done.unionByName(nameless.distinct())
+    return done.unionByName(nameless).drop("source", "kept")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """documents with the remaining text (a character cut in two is dropped) and its length in n_chars, if there's such a column.
+
+    A document of which nothing remains goes; one that was empty before stays.
+    """
+    done = remove_repeats(docs, with_text=True).filter("n_removed < n_bytes or n_bytes = 0")
+    done = done.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("kept").alias("__kept"), (F.col("n_removed") > 0).alias("__cut"))
+    marked = docs.withColumn("__own", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    empty = F.col("text").isNull()
+    lean = marked.withColumn("text", F.when(empty, F.lit(None)).otherwise(F.lit("")).cast("string"))
+    joined = lean.join(done, lean["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__source")))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("__kept")), "n_chars": F.when(F.col("__cut"), F.length("__kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return joined.select(*(new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns))
