@@ -23,7 +23,6 @@ from docloom.values import ObjectId, bracket, is_number
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 FRACTIONAL = (T.FloatType, T.DoubleType)
 DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
-FALSE, TRUE = F.lit(False), F.lit(True)
 
 
 def bracket_of(kind: T.DataType) -> str | None:
@@ -34,21 +33,21 @@ def bracket_of(kind: T.DataType) -> str | None:
 
 
 def known(c: Column) -> Column:
-    return F.coalesce(c, FALSE)
+    return F.coalesce(c, F.lit(False))
 
 
 def any_of(parts: list[Column]) -> Column:
     out = None
     for p in parts:
         out = p if out is None else out | p
-    return FALSE if out is None else out
+    return F.lit(False) if out is None else out
 
 
 def all_of(parts: list[Column]) -> Column:
     out = None
     for p in parts:
         out = p if out is None else out & p
-    return TRUE if out is None else out
+    return F.lit(True) if out is None else out
 
 
 class FilterCompiler:
@@ -67,7 +66,7 @@ class FilterCompiler:
                 return all_of(parts)
             return any_of(parts) if node.op == "$or" else ~known(any_of(parts))
         if self._single(node.path, schema) and contradicts(node.conds):
-            return FALSE
+            return F.lit(False)
         return all_of([self._cond(node.path, c, field, schema) for c in node.conds])
 
     def _single(self, path: tuple[str, ...], schema: T.DataType) -> bool:
@@ -105,7 +104,7 @@ class FilterCompiler:
     def _cond(self, path: tuple[str, ...], c: Cond, field, schema: T.StructType) -> Column:
         op, arg = c.op, c.arg
         if op == "$never":
-            return FALSE
+            return F.lit(False)
         if op in ("$ne", "$nin"):
             plain = self._plain(path, field, schema)
             positive = Cond("$eq" if op == "$ne" else "$in", arg)
@@ -116,7 +115,7 @@ class FilterCompiler:
         if op == "$not":
             return ~known(all_of([self._cond(path, x, field, schema) for x in arg]))
         if op == "$all":
-            return all_of([self._cond(path, x, field, schema) for x in arg]) if arg else FALSE
+            return all_of([self._cond(path, x, field, schema) for x in arg]) if arg else F.lit(False)
         if op == "$exists":
             found = self._walk(path, field, schema, self._present)
             return found if arg else ~known(found)
@@ -130,24 +129,24 @@ class FilterCompiler:
 
     def _present(self, col: Column | None, kind, whole) -> Column:
         if col is None:
-            return FALSE
-        return col.isNotNull() if self.null_means == "missing" else TRUE
+            return F.lit(False)
+        return col.isNotNull() if self.null_means == "missing" else F.lit(True)
 
     def _leaf(self, c: Cond, col: Column | None, kind: T.DataType | None, whole: bool) -> Column:
         op, arg = c.op, c.arg
         if col is None:
             missing_is_null = (op == "$eq" and arg is None) or (op == "$in" and any(v is None for v in arg))
-            return TRUE if missing_is_null else FALSE
+            return F.lit(True) if missing_is_null else F.lit(False)
         array = isinstance(kind, T.ArrayType)
         if op == "$size":
-            return F.size(col) == arg if array else FALSE
+            return F.size(col) == arg if array else F.lit(False)
         if op == "$elemMatch":
             if not array:
-                return FALSE
+                return F.lit(False)
             return F.exists(col, lambda e: all_of([known(self._element(x, e, kind.elementType)) for x in arg]))
         if op == "$elemMatchDoc":
             if not array or not isinstance(kind.elementType, T.StructType):
-                return FALSE
+                return F.lit(False)
             return F.exists(col, lambda e: e.isNotNull() & known(self._node(arg, e.getField, kind.elementType)))
         own = self._value(c, col, kind)
         if array and not whole:
@@ -161,10 +160,10 @@ class FilterCompiler:
         if c.op == "$not":
             return ~known(all_of([self._element(x, e, kind) for x in c.arg]))
         if c.op == "$all":
-            return all_of([self._element(x, e, kind) for x in c.arg]) if c.arg else FALSE
+            return all_of([self._element(x, e, kind) for x in c.arg]) if c.arg else F.lit(False)
         if c.op == "$exists":
-            return TRUE if c.arg else FALSE
-        return FALSE if c.op == "$never" else self._leaf(c, e, kind, True)
+            return F.lit(True) if c.arg else F.lit(False)
+        return F.lit(False) if c.op == "$never" else self._leaf(c, e, kind, True)
 
     def _value(self, c: Cond, v: Column, kind: T.DataType) -> Column:
         if c.op == "$eq":
@@ -172,7 +171,7 @@ class FilterCompiler:
         if c.op == "$in":
             return self._in(v, kind, c.arg)
         if c.op == "$regex":
-            return matches_regex(v, c.arg) if isinstance(kind, T.StringType) else FALSE
+            return matches_regex(v, c.arg) if isinstance(kind, T.StringType) else F.lit(False)
         if c.op == "$type":
             return has_type(v, kind, c.arg, self.null_means)
         if c.op in COMPARISONS:
@@ -196,21 +195,21 @@ def equals(v: Column, kind: T.DataType, value: Any) -> Column:
         return v.isNull()
     if isinstance(kind, T.ArrayType):
         if not isinstance(value, (list, tuple)):
-            return FALSE
+            return F.lit(False)
         return all_of([F.size(v) == len(value), *(known(equals(F.get(v, F.lit(i)), kind.elementType, x)) for i, x in enumerate(value))])
     if isinstance(kind, T.StructType):
         if not isinstance(value, dict) or list(value) != kind.names:
-            return FALSE
+            return F.lit(False)
         return all_of([v.isNotNull(), *(known(equals(v.getField(n), kind[n].dataType, x)) for n, x in value.items())])
     if isinstance(kind, T.BinaryType):
         data = value.binary if isinstance(value, ObjectId) else value
-        return v == F.lit(data) if isinstance(data, bytes) else FALSE
+        return v == F.lit(data) if isinstance(data, bytes) else F.lit(False)
     if isinstance(kind, T.StringType) and isinstance(value, ObjectId):
         return v == str(value)  # identifiers are kept as hexadecimal text in typed tables
     if bracket_of(kind) is None or bracket(value) != bracket_of(kind):
-        return FALSE
+        return F.lit(False)
     if is_number(value) and value != value:
-        return F.isnan(v) if isinstance(kind, FRACTIONAL) else FALSE
+        return F.isnan(v) if isinstance(kind, FRACTIONAL) else F.lit(False)
     return v == F.lit(value)
 
 
@@ -218,11 +217,11 @@ def in_range(v: Column, kind: T.DataType, op: str, bound: Any) -> Column:
     if isinstance(bound, ObjectId):
         bound, own = (bound.binary, "objectId") if isinstance(kind, T.BinaryType) else (str(bound), "objectId" if isinstance(kind, T.StringType) else None)
         if own is None:
-            return FALSE
+            return F.lit(False)
     elif bracket_of(kind) is None or bracket(bound) != bracket_of(kind):
-        return FALSE
+        return F.lit(False)
     if is_number(bound) and math.isnan(bound):
-        return F.isnan(v) if op in ("$gte", "$lte") and isinstance(kind, FRACTIONAL) else FALSE
+        return F.isnan(v) if op in ("$gte", "$lte") and isinstance(kind, FRACTIONAL) else F.lit(False)
     compared = {"$gt": v > bound, "$gte": v >= bound, "$lt": v < bound, "$lte": v <= bound}[op]
     return compared & ~F.isnan(v) if isinstance(kind, FRACTIONAL) and op in ("$gt", "$gte") else compared  # NaN is the greatest number for Spark
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from typing import Any
@@ -9,8 +11,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.dynamic import Documents, each, run_documents
 from docloom.operators.pipeline import natural, parse_pipeline, run_pipeline
 from docloom.plans.filters import Regex
+from docloom.sources.client import Client, Collection
+from docloom.values import order_key
 
 #: The columns that identify a row, in whose order a collection is read; lineitem has none.
 IDS = {
@@ -189,3 +194,86 @@ add(
 add("count_stage", "orders", [{"$match": {"o_orderstatus": "F"}}, {"$count": "n"}], "SELECT count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F'")
 add("count_zero", "orders", [{"$match": {"o_orderstatus": "?"}}, {"$count": "n"}], "SELECT 1::BIGINT AS n WHERE false")
 add("empty_pipeline", "region", [], "SELECT * FROM region")
+
+# Writes: a table is copied into a scratch collection, changed there, and read back.
+
+
+def scratch(spark: SparkSession, sf_dir: str, name: str) -> Collection:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-")
+    c = Client(spark, f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}").db().collection(name)
+    c.create_from_frame(table(spark, sf_dir, name), IDS[name])
+    return c
+
+
+def add_write(key: str, name: str, write: Callable[[Collection], Any], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = scratch(spark, sf_dir, name)
+        result = write(c)
+        return result if isinstance(result, DataFrame) else c.frame()
+
+    QUERIES[key] = run
+    ORACLES[key] = sql
+
+
+def counts(c: Collection, result: dict, *names: str) -> DataFrame:
+    return c.spark.createDataFrame([tuple(int(result[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+add_write(
+    "update_set_inc_unset", "part", lambda c: c.update_many({"p_size": {"$lte": 10}}, {"$set": {"p_brand": "small"}, "$inc": {"p_retailprice": 0.5, "p_size": 100}, "$unset": {"p_type": ""}}),
+    "SELECT p_partkey, p_name, CASE WHEN p_size <= 10 THEN 'small' ELSE p_brand END AS p_brand, CASE WHEN p_size > 10 THEN p_type END AS p_type, CASE WHEN p_size <= 10 THEN p_size + 100 ELSE p_size END AS p_size, CASE WHEN p_size <= 10 THEN p_retailprice + 0.5 ELSE p_retailprice END AS p_retailprice FROM part",
+)
+add_write("update_min_max", "customer", lambda c: c.update_many({}, {"$min": {"c_acctbal": 5000.0}, "$max": {"c_nationkey": 7}}), "SELECT c_custkey, c_name, greatest(c_nationkey, 7) AS c_nationkey, least(c_acctbal, 5000.0) AS c_acctbal, c_mktsegment FROM customer")
+add_write("update_rename", "nation", lambda c: c.update_many({}, {"$rename": {"n_name": "title"}}), "SELECT n_nationkey, NULL::VARCHAR AS n_name, n_regionkey, n_name AS title FROM nation")
+add_write("update_one", "nation", lambda c: c.update_one({"n_regionkey": 2}, {"$set": {"n_name": "first"}}), "SELECT n_nationkey, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 2) THEN 'first' ELSE n_name END AS n_name, n_regionkey FROM nation")
+add_write(
+    "update_push_slice", "embeddings", lambda c: c.update_many({"label": {"$lt": 5}}, {"$push": {"embedding": {"$each": [9.0], "$position": 1, "$slice": 3}}}),
+    "SELECT vec_id, CASE WHEN label < 5 THEN [embedding[1], 9.0::FLOAT, embedding[2]] ELSE embedding END AS embedding, label FROM embeddings",
+)
+add_write(
+    "update_pull", "embeddings", lambda c: c.update_many({}, {"$pull": {"embedding": {"$lt": 0}}}),
+    "SELECT vec_id, list_filter(embedding, lambda x: x >= 0) AS embedding, label FROM embeddings",
+)
+add_write(
+    "update_add_to_set", "embeddings", lambda c: c.update_many({}, {"$addToSet": {"embedding": {"$each": [7.0, 7.0]}}}),
+    "SELECT vec_id, list_append(embedding, 7.0::FLOAT) AS embedding, label FROM embeddings",
+)
+add_write("update_counts", "orders", lambda c: counts(c, c.update_many({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "Q"}}), "matched_count"), "SELECT count(*)::BIGINT AS matched_count FROM orders WHERE o_orderstatus = 'P'")
+add_write("delete_many", "orders", lambda c: c.delete_many({"o_totalprice": {"$lt": 200000}}) and None, "SELECT * FROM orders WHERE o_totalprice >= 200000")
+add_write("delete_one", "nation", lambda c: c.delete_one({"n_regionkey": 1}) and None, "SELECT * FROM nation WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1)")
+add_write("count_documents_skip_limit", "orders", lambda c: counts(c, {"n": c.count_documents({"o_orderstatus": "F"}, skip=10, limit=50)}, "n"), "SELECT least(greatest(count(*) - 10, 0), 50)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F'")
+add_write("count_documents_all", "orders", lambda c: counts(c, {"n": c.count_documents()}, "n"), "SELECT count(*)::BIGINT AS n FROM orders")
+add_write("find_sort_skip_limit", "customer", lambda c: c.find({"c_acctbal": {"$gt": 0}}).sort({"c_name": -1}).skip(5).limit(9).frame(), "SELECT * FROM customer WHERE c_acctbal > 0 ORDER BY c_name DESC, c_custkey LIMIT 9 OFFSET 5")
+add_write("find_one", "customer", lambda c: c.find({"c_mktsegment": "BUILDING"}).limit(1).frame(), "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1")
+
+
+def mixed(spark: SparkSession, sf_dir: str, pipeline: list[dict], schema: str) -> DataFrame:
+    """nation as documents of mixed shapes: the region of every third one is text, of every fifth one absent; read back as columns."""
+    row = F.concat(
+        F.lit('{"_id":'), F.col("n_nationkey").cast("string"), F.lit(',"name":"'), F.col("n_name"), F.lit('"'),
+        F.when(F.col("n_nationkey") % 5 == 0, "").when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(',"r":"'), F.col("n_regionkey").cast("string"), F.lit('"'))).otherwise(F.concat(F.lit(',"r":'), F.col("n_regionkey").cast("string"))), F.lit("}"),
+    )
+    docs = each(table(spark, sf_dir, "nation").select(F.lit(b"").alias("ord"), row.alias("doc")), with_natural_order)
+    return run_documents(Documents(docs), parse_pipeline(pipeline)).select(F.from_json("doc", schema).alias("d")).select("d.*")
+
+
+def with_natural_order(_: bytes, d: dict) -> list[tuple[bytes, dict]]:
+    return [(order_key(d["_id"]), d)]
+
+
+def add_mixed(key: str, pipeline: list[dict], schema: str, sql: str) -> None:
+    QUERIES[key] = lambda spark, sf_dir: mixed(spark, sf_dir, pipeline, schema)
+    ORACLES[key] = sql
+
+
+add_mixed("mixed_match_bracket", [{"$match": {"r": {"$gte": 2}}}, {"$project": {"name": 1, "_id": 0}}], "name string", "SELECT n_name AS name FROM nation WHERE n_regionkey >= 2 AND n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0")
+add_mixed("mixed_match_missing", [{"$match": {"r": None}}, {"$project": {"name": 1, "_id": 0}}], "name string", "SELECT n_name AS name FROM nation WHERE n_nationkey % 5 = 0")
+add_mixed("mixed_exists_type", [{"$match": {"r": {"$type": "string"}}}, {"$count": "n"}], "n long", "SELECT count(*)::BIGINT AS n FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 3 = 0")
+add_mixed(
+    "mixed_group", [{"$group": {"_id": None, "sum": {"$sum": "$r"}, "n": {"$count": {}}, "max": {"$max": "$r"}}}, {"$project": {"_id": 0}}], "sum long, n long, max string",
+    "SELECT coalesce(sum(n_regionkey) FILTER (n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0), 0)::BIGINT AS sum, count(*)::BIGINT AS n, max(n_regionkey::VARCHAR) FILTER (n_nationkey % 5 <> 0 AND n_nationkey % 3 = 0) AS max FROM nation",
+)
+add_mixed(
+    "mixed_sort", [{"$sort": {"r": -1, "_id": 1}}, {"$skip": 2}, {"$limit": 9}, {"$project": {"name": 1, "_id": 0}}], "name string",
+    "SELECT n_name AS name FROM nation ORDER BY CASE WHEN n_nationkey % 5 = 0 THEN 0 WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END DESC, CASE WHEN n_nationkey % 5 <> 0 THEN n_regionkey END DESC, n_nationkey LIMIT 9 OFFSET 2",
+)

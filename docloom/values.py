@@ -142,6 +142,8 @@ def order_key(v: Any) -> bytes:
             parts.append(b"\x01" + key[:1] + _escaped(name.encode()) + key)
         return bytes([OBJECT]) + b"".join(parts) + b"\x00"
     if isinstance(v, list):
+        if not v:
+            return bytes([EMPTY_ARRAY])
         return bytes([ARRAY]) + b"".join(b"\x01" + order_key(x) for x in v) + b"\x00"
     if isinstance(v, bytes):
         return bytes([BINARY]) + struct.pack(">Q", len(v)) + v
@@ -178,15 +180,18 @@ def sort_value_key(values: list[Any], descending: bool) -> bytes:
     keys = []
     for v in values or [MISSING]:
         if isinstance(v, list):
-            keys += [order_key(x) for x in v] or [bytes([EMPTY_ARRAY])]
+            keys += [order_key(x) for x in v] or [order_key(v)]
         else:
             keys.append(order_key(v))
     return (max if descending else min)(keys)
 
 
 def inverted(key: bytes) -> bytes:
-    """The key in descending order: every byte inverted, with an end mark above all of them."""
-    return bytes(255 - b for b in key.replace(b"\x00", b"\x00\x01")) + b"\xff\xff"
+    """The key in descending order. No key is the beginning of another one, so inverting the bytes is enough."""
+    return key.translate(INVERSE)
+
+
+INVERSE = bytes(range(255, -1, -1))
 
 
 def to_json(v: Any) -> str:
