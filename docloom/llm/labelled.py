@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import key_and_text, text_groups
-from docloom.llm.text_stats import all_stats
+from docloom.llm.text_stats import BASE, EXTRA, all_stats
 
 GROUP_BYTES = 4_000_000
 
@@ -48,4 +48,4 @@ def sample_stats(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
     rows = key_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     found = rows.mapInArrow(run, "doc_id long, label int, stats array<long>").collect()
     found.sort(key=lambda r: (r["doc_id"], r["stats"]))
-    return np.array([r["stats"] for r in found], np.int64).reshape(len(found), -1), np.array([r["label"] for r in found], np.int64)
+    return np.array([r["stats"] for r in found], np.int64).reshape(len(found), len(BASE + EXTRA)), np.array([r["label"] for r in found], np.int64)

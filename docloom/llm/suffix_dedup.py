@@ -181,7 +181,7 @@ def _anchor_rows(parts: int):
             held.append((found.hash, found.around, doc[found.text] if len(doc) else doc))
             if sum(len(x) for x, *_ in held) > 1_500_000:
                 yield flush()
-        if held:
+        if any(len(x) for x, *_ in held):
             yield flush()
 
     return run
