@@ -14,6 +14,11 @@ bucket, and anchors are one position in eighteen. The steps:
    Suffixes in a run of equals that don't come from its least doc_id are removed.
 3. Removal: each document gets the verdicts on its anchors and drops the covered bytes.
 
+Nothing that many documents share is gathered as a whole. A task settles equal surroundings among its own
+documents and sends one of each. An anchor with more than WIDE surroundings (the edge of a passage that a
+large part of the corpus holds) isn't one group: its suffixes go one by one to buckets by their 128-bit
+digest, again after each task has settled its own.
+
 Texts travel in compressed blocks, keys as compressed columns; the work of a task is one block or group.
 """
 
@@ -41,7 +46,9 @@ STEP = 17
 SAMPLE = LENGTH - STEP + 1
 #: Bytes of input per block of documents and per group of anchors; text handled at once.
 BLOCK_BYTES, GROUP_BYTES, CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 8 << 20, 4 << 20, 60_000
-LOW48 = np.uint64((1 << 48) - 1)
+WIDE = 2000
+#: Kinds of rows: surroundings that an earlier document has; to be compared under their anchor, or suffix by suffix; masks; for the anchor's group; likewise, of a wide anchor.
+SETTLED, COMPARED, SPLIT, MASKED, GROUPED, MARKED = range(6)
 ONE = np.uint64(1)
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -138,9 +145,9 @@ def split(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(keys[s]), *(c[s:e] for c in columns)
 
 
-ANCHOR_ROWS = "part long, hash binary, around binary, doc binary"
+ANCHOR_ROWS = "part long, kind int, hash binary, around binary, doc binary"
 VERDICT_ROWS = "block long, kind int, doc binary, around binary, mask binary"
-AROUND_ROWS = "part long, hash binary, around binary, doc binary, bytes binary, left binary, right binary"
+AROUND_ROWS = "part long, kind int, hash binary, around binary, doc binary, bytes binary, left binary, right binary"
 TEXT_ROWS = "block long, ids binary, lengths binary, bytes binary"
 
 
@@ -159,20 +166,41 @@ def _gather(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in table.column(n).to_pylist())]) for n in names]
 
 
-def _anchor_rows(parts: int):
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def per_group(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row the sum of values over its group."""
+    return np.add.reduceat(values, np.flatnonzero(starts))[np.cumsum(starts) - 1] if len(values) else values
+
+
+def _anchor_rows(parts: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             h, a, d = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((d, a, h))
+            order = np.lexsort((d.view(np.int64), a, h))
             h, a, d = h[order], a[order], d[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (d[1:] != d[:-1])]
+            once = firsts(h, a, d)
+            h, a, d = h[once], a[once], d[once]
+            new = firsts(h, a)
+            rows = [(part, SETTLED, None, packed(ap), packed(dp)) for part, ap, dp in split(block_of(d[~new].view(np.int64), parts), a[~new], d[~new])]
             h, a, d = h[new], a[new], d[new]
-            rows = []
-            for part, hp, ap, dp in split((h % np.uint64(parts)).astype(np.int64), h, a, d):
-                rows.append((part, packed(np.diff(hp, prepend=np.uint64(0))), packed(ap), packed(dp)))
+            starts = firsts(h)
+            many = per_group(starts, np.ones(len(h), np.int64)) > wide
+            rows += [(part, SPLIT, None, packed(ap), packed(dp)) for part, ap, dp in split(block_of(d[many].view(np.int64), parts), a[many], d[many])]
+            for kind, which in ((GROUPED, ~many), (MARKED, many & starts)):
+                for part, hp, ap, dp in split((h[which] % np.uint64(parts)).astype(np.int64), h[which], a[which], d[which]):
+                    rows.append((part, kind, packed(np.diff(hp, prepend=np.uint64(0))), packed(ap), packed(dp)))
             return _rows(rows, ANCHOR_ROWS)
 
         for ids, texts in text_groups(batches, CHUNK_BYTES):
@@ -187,29 +215,41 @@ def _anchor_rows(parts: int):
     return run
 
 
-def _judge(blocks: int):
-    """Of one group of anchors: kind 0, surroundings that an earlier document has; kind 1, those to be compared piece by piece."""
+def _judge(blocks: int, wide: int):
+    """Of one group of anchors: which surroundings an earlier document has, and which are to be compared piece by piece. What tasks settled passes through."""
 
     def run(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unpacked(x)) for x in table.column("hash").to_pylist())])
-        a, d = _gather(table, "around", "doc")
+        kinds = table.column("kind").to_numpy()
+        rows = []
+        for kind in (SETTLED, SPLIT):
+            a, d = _gather(table.filter(pa.array(kinds == kind)), "around", "doc")
+            rows += verdict_rows(kind, d.view(np.int64), a, blocks)
+        own = table.filter(pa.array(kinds >= GROUPED))
+        a, d = _gather(own, "around", "doc")
+        parts = [np.cumsum(unpacked(x)) for x in own.column("hash").to_pylist()]
+        h = np.concatenate([np.zeros(0, np.uint64), *parts])
+        marked = np.concatenate([np.zeros(0, bool), *(np.full(len(x), k == MARKED) for x, k in zip(parts, own.column("kind").to_pylist()))])
         d = d.view(np.int64)
         order = np.lexsort((d, a, h))
-        h, a, d = h[order], a[order], d[order]
-        new_hash = np.r_[True, h[1:] != h[:-1]]
-        new = new_hash | np.r_[True, a[1:] != a[:-1]]
-        first = np.flatnonzero(new)
-        later = d > d[first][np.cumsum(new) - 1]
-        several = np.add.reduceat(new, np.flatnonzero(new_hash))[np.cumsum(new_hash) - 1] > 1
-        rows = []
-        for kind, which in ((0, np.flatnonzero(later)), (1, first[several[first]])):
-            for block, ap, dp in split(block_of(d[which], blocks), a[which], d[which]):
-                rows.append((block, kind, packed(dp.view(np.uint64)), packed(ap), None))
+        h, a, d, marked = h[order], a[order], d[order], marked[order]
+        anchor, new = firsts(h), firsts(h, a)
+        count = per_group(anchor, new.astype(np.int64))
+        many = (count > wide) | (per_group(anchor, marked.astype(np.int64)) > 0)
+        later = d > d[new][np.cumsum(new) - 1] if len(d) else new
+        rows += verdict_rows(SETTLED, d[later], a[later], blocks)
+        rows += verdict_rows(COMPARED, d[new & ~many & (count > 1)], a[new & ~many & (count > 1)], blocks)
+        rows += verdict_rows(SPLIT, d[new & many], a[new & many], blocks)
         return pa.Table.from_batches([_rows(rows, VERDICT_ROWS)])
 
     return run
 
 
+def verdict_rows(kind: int, d: np.ndarray, a: np.ndarray, blocks: int, mask: np.ndarray | None = None) -> list[tuple]:
+    """Rows of VERDICT_ROWS, by the block of the documents."""
+    columns = (d, a) if mask is None else (d, a, mask)
+    return [(block, kind, packed(x[0].view(np.uint64)), packed(x[1]), packed(x[2]) if mask is not None else None) for block, *x in split(block_of(d, blocks), *columns)]
+
+
 def _pack_texts(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,21 +301,60 @@ class Verdicts:
         return np.where(keys[at] == sought, masks[at], 0)
 
 
+def suffix_digests(found: Anchors, which: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the LENGTH bytes from place o of these anchors' surroundings."""
+    at = found.place[which] + (64 - LEFT + o)
+    x, y = np.zeros(len(which), np.uint64), np.full(len(which), MIX2)
+    for step in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        word = found.words[at + step]
+        x, y = mixed(x, word), mixed(y ^ MIX1, word * MIX2)
+    return x, y
+
+
+def split_suffixes(found: Anchors, which: np.ndarray, doc: np.ndarray, parts: int) -> list[tuple]:
+    """The suffixes of wide anchors by digest: those of the least document here go on, the others are settled here."""
+    rows = []
+    masks = np.zeros(len(which), np.uint64)
+    for o in range(PLACES):
+        fits = np.flatnonzero((o >= LEFT - found.left[which]) & (o + LENGTH <= LEFT + found.right[which]))
+        if not len(fits):
+            continue
+        x, y = suffix_digests(found, which[fits], o)
+        order, rank = ranked(x, y)
+        signed = doc[fits].view(np.int64)
+        least = np.minimum.reduceat(signed[order], np.flatnonzero(firsts(rank[order])))[rank]
+        masks[fits[signed > least]] |= ONE << np.uint64(o)
+        go = signed == least
+        for part, xp, yp, ap, dp in split((x[go] % np.uint64(parts)).astype(np.int64), x[go], y[go], found.around[which][fits][go], doc[fits][go]):
+            rows.append((part, SPLIT, packed(xp), packed(ap), packed(dp), None, packed(yp), packed(np.full(len(xp), o))))
+    hit = masks > 0
+    for part, ap, dp, mp in split(block_of(doc[hit].view(np.int64), parts), found.around[which][hit], doc[hit], masks[hit]):
+        rows.append((part, MASKED, None, packed(ap), packed(dp), None, packed(mp), None))
+    return rows
+
+
 def _fetch(parts: int):
     """The surroundings that are to be compared, from the texts of a block."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted, rows = Verdicts(right), []
-        if len(wanted.doc):
+        kinds, rows = right.column("kind").to_numpy(), []
+        wanted, single = (Verdicts(right.filter(pa.array(kinds == k))) for k in (COMPARED, SPLIT))
+        if len(kinds):
             for ids, texts in chunks(*_texts(left)):
                 found = Anchors(texts)
-                which = np.flatnonzero(wanted.of(found, ids))
-                doc = np.array(ids, np.int64).view(np.uint64)[found.text[which]]
-                _, once = np.unique(np.column_stack([doc, found.hash[which], found.around[which]]), axis=0, return_index=True)
-                which, doc = which[once], doc[once]
-                bytes_ = found.surroundings(which)
-                for part, h, a, d, x, lft, rgt in split((found.hash[which] % np.uint64(parts)).astype(np.int64), found.hash[which], found.around[which], doc, bytes_, found.left[which], found.right[which]):
-                    rows.append((part, packed(h), packed(a), packed(d), zstandard.compress(x.tobytes(), 3), packed(lft), packed(rgt)))
+                named = np.array(ids, np.int64).view(np.uint64)
+                for verdicts in (wanted, single):
+                    which = np.flatnonzero(verdicts.of(found, ids))
+                    doc = named[found.text[which]]
+                    order = np.lexsort((found.around[which], found.hash[which], doc))
+                    once = order[firsts(doc[order], found.hash[which][order], found.around[which][order])]
+                    which, doc = which[once], doc[once]
+                    if verdicts is single:
+                        rows += split_suffixes(found, which, doc, parts)
+                        continue
+                    bytes_ = found.surroundings(which)
+                    for part, h, a, d, x, lft, rgt in split((found.hash[which] % np.uint64(parts)).astype(np.int64), found.hash[which], found.around[which], doc, bytes_, found.left[which], found.right[which]):
+                        rows.append((part, COMPARED, packed(h), packed(a), packed(d), zstandard.compress(x.tobytes(), 3), packed(lft), packed(rgt)))
         return pa.Table.from_batches([_rows(rows, AROUND_ROWS)])
 
     return run
@@ -323,13 +402,23 @@ def sort_buckets(h: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.nd
 
 
 def _sort(blocks: int):
+    """Masks of the suffixes that an earlier document has, for one group of anchors and one of single suffixes."""
+
     def run(table: pa.Table) -> pa.Table:
-        h, a, d, left, right = _gather(table, "hash", "around", "doc", "left", "right")
-        around = np.frombuffer(b"".join(map(zstandard.decompress, table.column("bytes").to_pylist())), np.uint8).reshape(-1, AROUND)
-        doc = d.view(np.int64)
-        masks = sort_buckets(h, doc, around, left.astype(np.int64), right.astype(np.int64))
-        hit = masks > 0
-        rows = [(block, 2, packed(dp), packed(ap), packed(mp)) for block, dp, ap, mp in split(block_of(doc[hit], blocks), d[hit], a[hit], masks[hit])]
+        kinds, rows = table.column("kind").to_numpy(), []
+        own = table.filter(pa.array(kinds == COMPARED))
+        h, a, d, left, right = _gather(own, "hash", "around", "doc", "left", "right")
+        around = np.frombuffer(b"".join(map(zstandard.decompress, own.column("bytes").to_pylist())), np.uint8).reshape(-1, AROUND)
+        masks = sort_buckets(h, d.view(np.int64), around, left.astype(np.int64), right.astype(np.int64))
+        rows += verdict_rows(MASKED, d[masks > 0].view(np.int64), a[masks > 0], blocks, masks[masks > 0])
+        x, a, d, y, o = _gather(table.filter(pa.array(kinds == SPLIT)), "hash", "around", "doc", "left", "right")
+        if len(x):
+            d = d.view(np.int64)
+            order, rank = ranked(x, y)
+            later = d > np.minimum.reduceat(d[order], np.flatnonzero(firsts(rank[order])))[rank]
+            rows += verdict_rows(MASKED, d[later], a[later], blocks, ONE << o[later])
+        a, d, masks = _gather(table.filter(pa.array(kinds == MASKED)), "around", "doc", "left")
+        rows += verdict_rows(MASKED, d.view(np.int64), a, blocks, masks)
         return pa.Table.from_batches([_rows(rows, VERDICT_ROWS)])
 
     return run
@@ -374,7 +463,7 @@ def input_bytes(df: DataFrame) -> int:
     return max(1, min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50))
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, wide: int = WIDE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of documents.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
@@ -385,12 +474,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = input_bytes(rows)
     blocks, parts = math.ceil(size / BLOCK_BYTES), math.ceil(size / GROUP_BYTES)
     named = rows.filter("doc_id is not null")
-    anchors = named.mapInArrow(_anchor_rows(parts), ANCHOR_ROWS)
-    verdicts = checkpoint(anchors.groupBy("part").applyInArrow(_judge(blocks), VERDICT_ROWS))
+    anchors = named.mapInArrow(_anchor_rows(parts, wide), ANCHOR_ROWS)
+    verdicts = checkpoint(anchors.groupBy("part").applyInArrow(_judge(blocks, wide), VERDICT_ROWS))
     texts = named.mapInArrow(_pack_texts(blocks), TEXT_ROWS)
-    around = texts.groupBy("block").cogroup(verdicts.filter("kind = 1").groupBy("block")).applyInArrow(_fetch(parts), AROUND_ROWS)
+    around = texts.groupBy("block").cogroup(verdicts.filter(f"kind <> {SETTLED}").groupBy("block")).applyInArrow(_fetch(parts), AROUND_ROWS)
     masks = around.groupBy("part").applyInArrow(_sort(blocks), VERDICT_ROWS)
-    settled = verdicts.filter("kind = 0").unionByName(masks)
+    settled = verdicts.filter(f"kind = {SETTLED}").unionByName(masks)
     done = texts.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(with_text), RESULT)
     text = F.coalesce("text", F.lit(""))
     nameless = rows.filter("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), F.xxhash64(text).alias("source"), text.alias("kept"))

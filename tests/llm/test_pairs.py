@@ -151,9 +151,9 @@ def odd_repeats():
 
 def test_repeats(spark, small_docs, edge_docs, no_docs):
     made = spark.createDataFrame(odd_repeats(), "doc_id long, text string")
-    for docs in (made, small_docs, edge_docs):
+    for docs, wide in ((made, 2000), (made, 5), (made.repartition(7), 1), (small_docs, 2000), (small_docs.repartition(5), 1), (edge_docs, 2000)):
         rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
-        assert Counter(map(tuple, remove_repeats(docs).collect())) == Counter(brute_repeats(rows))
+        assert Counter(map(tuple, remove_repeats(docs, wide=wide).collect())) == Counter(brute_repeats(rows))
     assert remove_repeats(no_docs).count() == 0
 
 
