@@ -212,9 +212,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents without those in a component of a smaller doc_id. Rows that repeat the kept id all stay, as do rows without an id."""
-    gone = near_duplicates(docs, shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

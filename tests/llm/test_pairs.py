@@ -14,7 +14,8 @@ import xxhash
 from docloom.llm import simhash_dedup
 from docloom.llm.components import connected_components
 from docloom.llm.decontaminate import find_leaks, without_leaks
-from docloom.llm.simhash_dedup import fingerprint, forest, golay_keys, keep_one, link_by_midpoints, near_duplicates, nearby_errors
+from docloom.llm.near_copies import LINK, WORDS, distance, group_links, keep_one, linked, long_fingerprint, near_copies
+from docloom.llm.simhash_dedup import fingerprint, forest, golay_keys, link_by_midpoints, near_duplicates, nearby_errors
 from docloom.llm.suffix_dedup import remove_repeats, without_repeats
 
 
@@ -62,9 +63,65 @@ def test_near_duplicates(spark, small_docs, edge_docs, no_docs):
         expected = Counter((d, f"{f:016x}", c) for (d, f), c in zip(rows, brute_components(rows)))
         assert Counter(map(tuple, near_duplicates(docs).collect())) == expected
     assert near_duplicates(no_docs).count() == 0
-    kept = keep_one(small_docs)
-    gone = {r["doc_id"] for r in near_duplicates(small_docs, 5).collect() if r["component_id"] != r["doc_id"]}
-    assert kept.columns == small_docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in small_docs.collect()} - gone
+
+
+def words_shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies(spark, edge_docs, no_docs):
+    """Texts that share four fifths of their shingles end in one group; unrelated ones don't."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 3)):
+            copy = list(words)
+            for _ in range(max(1, len(copy) // 60)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy).upper() if rng.random() < 0.3 else " ".join(copy))
+    texts += texts[:5] + ["", "  ", "one", "one"]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, fp int")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()}
+    sets = [words_shingles(t) for t in texts]
+    similar = [(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(similar) > 40 and all(got[i] == got[j] for i, j in similar)
+    fps = np.frombuffer(b"".join(long_fingerprint(t) for t in texts), "<u8").reshape(-1, WORDS)
+    components = brute_labels(len(texts), lambda i, j: distance(fps[i], fps[j]) <= LINK)
+    assert all(components[i] <= got[i] for i in got) and sum(components[i] != got[i] for i in got) <= 2  # a pair far beyond 0.8 may not meet
+    assert all(sets[i] & sets[c] or not sets[i] for i, c in got.items())
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, c in got.items() if i == c}
+    assert near_copies(edge_docs).count() == edge_docs.count() and near_copies(no_docs).count() == 0 and keep_one(no_docs).count() == 0
+
+
+def brute_labels(n, near):
+    label = list(range(n))
+    for i, j in combinations(range(n), 2):
+        if label[i] != label[j] and near(i, j):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+def test_large_group():
+    """Links of a group beyond the small size: the same components as all pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (3, WORDS), dtype=np.uint64)
+    fps = np.repeat(base, 50, 0)
+    for row in fps:
+        for b in rng.choice(WORDS * 64, rng.integers(0, 70), replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    a, b = linked(fps)
+    parent = list(range(len(fps)))
+    for x, y in zip(a.tolist(), b.tolist()):
+        low, high = sorted((parent[x], parent[y]))
+        parent = [low if p == high else p for p in parent]
+    assert parent == brute_labels(len(fps), lambda i, j: distance(fps[i], fps[j]) <= LINK)
+    assert len(group_links(0, np.repeat(base[:1], 2, 0))[0]) == 1
 
 
 @pytest.mark.parametrize(("paired", "in_task"), [(64, 50_000), (4, 50_000), (2, 20), (1, 3)])
