@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm.bpe_codec import encode_documents
 from docloom.llm.common import checkpoint, read_table
 from docloom.llm.decontaminate import without_leaks
+from docloom.llm.near_copies import keep_one
 from docloom.llm.quality_rules import fit_rules, keep_documents
-from docloom.llm.simhash_dedup import keep_one
 from docloom.llm.suffix_dedup import without_repeats
 
 
