@@ -258,7 +258,10 @@ def step_group(flow: Flow, spec: dict) -> Flow:
     order = None
     if any(next(iter(v)) in ORDERED for k, v in spec.items() if k != "_id"):
         parts = [c for k, t, d in flow.order for c in ascending(k, t, d)]
-        order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(parts))) if parts else F.struct(F.monotonically_increasing_id().alias("k0"))
+        if len(flow.order) == 1 and isinstance(flow.order[0][1], T.IntegralType) and not flow.order[0][2]:
+            order = F.coalesce(flow.order[0][0].cast("long"), F.lit(-(2**63)))  # a fixed-width key keeps min_by in a hash aggregate
+        else:
+            order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(parts))) if parts else F.monotonically_increasing_id()
     aggregates = [accumulator(*next(iter(v.items())), schema, order, flow.null_means).alias(name) for name, v in spec.items() if name != "_id"]
     constant = key is None or not uses_fields(spec["_id"])
     if constant:  # one group, and none for no rows

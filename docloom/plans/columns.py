@@ -61,14 +61,26 @@ class FilterCompiler:
 
     def _node(self, node, field: Callable[[str], Column], schema: T.StructType) -> Column:
         if isinstance(node, Logical):
+            if node.op == "$nor":
+                return all_of([self._negated(p, field, schema) for p in node.parts])
             parts = [self._node(p, field, schema) for p in node.parts]
-            if node.op == "$and":
-                return all_of(parts)
-            return any_of(parts) if node.op == "$or" else ~known(any_of(parts))
+            return all_of(parts) if node.op == "$and" else any_of(parts)
         if self._single(node.path, schema) and contradicts(node.conds):
             return F.lit(False)
         return all_of([self._cond(node.path, c, field, schema) for c in node.conds])
 
+    def _negated(self, node, field: Callable[[str], Column], schema: T.StructType) -> Column:
+        """The condition doesn't hold. On plain columns that is a comparison again, which can be pushed down."""
+        if isinstance(node, Field):
+            return any_of([self._negated_cond(node.path, c, field, schema) for c in node.conds])
+        return ~known(self._node(node, field, schema))
+
+    def _negated_cond(self, path: tuple[str, ...], c: Cond, field, schema: T.StructType) -> Column:
+        inner, plain = self._cond(path, c, field, schema), self._plain(path, field, schema)
+        if plain is not None and c.arg is not None and (c.op in COMPARISONS or c.op == "$eq"):
+            return ~inner | plain.isNull()
+        return ~known(inner)
+
     def _single(self, path: tuple[str, ...], schema: T.DataType) -> bool:
         for name in path:
             if not isinstance(schema, T.StructType) or name not in schema.names:
@@ -113,7 +125,7 @@ class FilterCompiler:
                 return ~inner | plain.isNull()
             return ~known(self._cond(path, positive, field, schema))
         if op == "$not":
-            return ~known(all_of([self._cond(path, x, field, schema) for x in arg]))
+            return any_of([self._negated_cond(path, x, field, schema) for x in arg])
         if op == "$all":
             return all_of([self._cond(path, x, field, schema) for x in arg]) if arg else F.lit(False)
         if op == "$exists":
