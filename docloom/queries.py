@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.errors import BulkWriteError, QueryError
 from docloom.operators.dynamic import Documents, each, run_documents
 from docloom.operators.pipeline import natural, parse_pipeline, run_pipeline
 from docloom.plans.filters import Regex
@@ -277,3 +278,60 @@ add_mixed(
     "mixed_sort", [{"$sort": {"r": -1, "_id": 1}}, {"$skip": 2}, {"$limit": 9}, {"$project": {"name": 1, "_id": 0}}], "name string",
     "SELECT n_name AS name FROM nation ORDER BY CASE WHEN n_nationkey % 5 = 0 THEN 0 WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END DESC, CASE WHEN n_nationkey % 5 <> 0 THEN n_regionkey END DESC, n_nationkey LIMIT 9 OFFSET 2",
 )
+
+# Writes of documents: a scratch collection of mixed types, read back as columns.
+
+
+def add_documents(key: str, write: Callable[[Collection], None], schema: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-")
+        c = Client(spark, f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}").db().collection("documents")
+        write(c)
+        return c.frame().select(F.from_json("doc", schema).alias("d")).select("d.*")
+
+    QUERIES[key] = run
+    ORACLES[key] = sql
+
+
+def insert_unordered(c: Collection) -> None:
+    """Ten documents of which four have new ids."""
+    try:
+        c.insert_many([{"_id": i % 4, "n": i} for i in range(10)], ordered=False)
+    except BulkWriteError as e:
+        c.insert_one({"_id": 100, "n": len(e.write_errors)})
+
+
+def insert_ordered(c: Collection) -> None:
+    try:
+        c.insert_many([{"_id": 1}, {"_id": 2}, {"_id": 2}, {"_id": 3}])
+    except BulkWriteError as e:
+        c.insert_one({"_id": e.code})
+
+
+def violate_unique(c: Collection) -> None:
+    c.create_index({"login": 1}, unique=True)
+    c.insert_many([{"_id": 1, "login": "a"}, {"_id": 2, "login": ["b", "c"]}])
+    for i, login in enumerate(("c", "d", "a")):
+        try:
+            c.insert_one({"_id": 10 + i, "login": login})
+        except QueryError as e:
+            c.insert_one({"_id": e.code + i, "login": f"refused {login}"})
+
+
+def upsert(c: Collection) -> None:
+    c.update_one({"_id": 1, "a": 2, "z": {"$gt": 5}}, {"$set": {"b": 3}, "$setOnInsert": {"c": 4}}, upsert=True)
+    c.update_one({"_id": 1}, {"$inc": {"a": 10}, "$setOnInsert": {"c": 0}}, upsert=True)
+
+
+def update_arrays(c: Collection) -> None:
+    c.insert_many([{"_id": i, "t": [*range(i)]} for i in range(1, 5)])
+    c.update_many({"t": {"$size": 3}}, {"$push": {"t": {"$each": [9, 8], "$sort": -1, "$slice": 3}}})
+    c.update_many({"t": 3}, {"$pull": {"t": {"$lt": 2}}})
+    c.update_many({"_id": {"$lte": 2}}, {"$addToSet": {"t": {"$each": [0, 7]}}})
+
+
+add_documents("insert_many_unordered", insert_unordered, "_id long, n long", "SELECT range AS _id, range AS n FROM range(4) UNION ALL SELECT 100, 6")
+add_documents("insert_many_ordered", insert_ordered, "_id long", "SELECT unnest([1, 2, 11000])::BIGINT AS _id")
+add_documents("unique_violation", violate_unique, "_id long, login string", "SELECT * FROM (VALUES (1::BIGINT, 'a'), (2, '[\"b\",\"c\"]'), (11000, 'refused c'), (11, 'd'), (11002, 'refused a')) t(_id, login)")
+add_documents("update_upsert", upsert, "_id long, a long, b long, c long", "SELECT 1::BIGINT AS _id, 12::BIGINT AS a, 3::BIGINT AS b, 4::BIGINT AS c")
+add_documents("update_arrays", update_arrays, "_id long, t array<long>", "SELECT * FROM (VALUES (1::BIGINT, [0, 7]::BIGINT[]), (2, [0, 1, 7]::BIGINT[]), (3, [9, 8, 2]::BIGINT[]), (4, [2, 3]::BIGINT[])) t(_id, t)")
