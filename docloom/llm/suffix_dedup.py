@@ -45,7 +45,7 @@ AROUND = LEFT + LENGTH
 STEP = 17
 SAMPLE = LENGTH - STEP + 1
 #: Bytes of input per block of documents and per group of anchors; text handled at once.
-BLOCK_BYTES, GROUP_BYTES, CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 8 << 20, 4 << 20, 60_000
+BLOCK_BYTES, GROUP_BYTES, CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 4 << 20, 1 << 20, 60_000
 WIDE = 2000
 #: Kinds of rows: surroundings that an earlier document has; to be compared under their anchor, or suffix by suffix; masks; for the anchor's group; likewise, of a wide anchor.
 SETTLED, COMPARED, SPLIT, MASKED, GROUPED, MARKED = range(6)
@@ -207,7 +207,7 @@ def _anchor_rows(parts: int, wide: int):
             found = Anchors([t.encode() for t in texts])
             doc = np.array(ids, np.int64).view(np.uint64)
             held.append((found.hash, found.around, doc[found.text] if len(doc) else doc))
-            if sum(len(x) for x, *_ in held) > 1_500_000:
+            if sum(len(x) for x, *_ in held) > 1_000_000:
                 yield flush()
         if any(len(x) for x, *_ in held):
             yield flush()
