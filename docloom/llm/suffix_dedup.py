@@ -311,7 +311,7 @@ def suffix_digests(found: Anchors, which: np.ndarray, o: int) -> tuple[np.ndarra
     return x, y
 
 
-def split_suffixes(found: Anchors, which: np.ndarray, doc: np.ndarray, parts: int) -> list[tuple]:
+def split_suffixes(found: Anchors, which: np.ndarray, doc: np.ndarray) -> tuple[list[tuple], tuple]:
     """The suffixes of wide anchors by digest: those of the least document here go on, the others are settled here."""
     rows = []
     masks = np.zeros(len(which), np.uint64)
@@ -325,12 +325,9 @@ def split_suffixes(found: Anchors, which: np.ndarray, doc: np.ndarray, parts: in
         least = np.minimum.reduceat(signed[order], np.flatnonzero(firsts(rank[order])))[rank]
         masks[fits[signed > least]] |= ONE << np.uint64(o)
         go = signed == least
-        for part, xp, yp, ap, dp in split((x[go] % np.uint64(parts)).astype(np.int64), x[go], y[go], found.around[which][fits][go], doc[fits][go]):
-            rows.append((part, SPLIT, packed(xp), packed(ap), packed(dp), None, packed(yp), packed(np.full(len(xp), o))))
+        rows.append((x[go], y[go], found.around[which][fits][go], doc[fits][go], np.full(int(go.sum()), o)))
     hit = masks > 0
-    for part, ap, dp, mp in split(block_of(doc[hit].view(np.int64), parts), found.around[which][hit], doc[hit], masks[hit]):
-        rows.append((part, MASKED, None, packed(ap), packed(dp), None, packed(mp), None))
-    return rows
+    return rows, (found.around[which][hit], doc[hit], masks[hit])
 
 
 def _fetch(parts: int):
@@ -338,6 +335,9 @@ def _fetch(parts: int):
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         kinds, rows = right.column("kind").to_numpy(), []
+        compared: list[tuple] = []
+        suffixes: list[tuple] = []
+        masked: list[tuple] = []
         wanted, single = (Verdicts(right.filter(pa.array(kinds == k))) for k in (COMPARED, SPLIT))
         if len(kinds):
             for ids, texts in chunks(*_texts(left)):
@@ -350,11 +350,24 @@ def _fetch(parts: int):
                     once = order[firsts(doc[order], found.hash[which][order], found.around[which][order])]
                     which, doc = which[once], doc[once]
                     if verdicts is single:
-                        rows += split_suffixes(found, which, doc, parts)
+                        more, own = split_suffixes(found, which, doc)
+                        suffixes += more
+                        masked.append(own)
                         continue
-                    bytes_ = found.surroundings(which)
-                    for part, h, a, d, x, lft, rgt in split((found.hash[which] % np.uint64(parts)).astype(np.int64), found.hash[which], found.around[which], doc, bytes_, found.left[which], found.right[which]):
-                        rows.append((part, COMPARED, packed(h), packed(a), packed(d), zstandard.compress(x.tobytes(), 3), packed(lft), packed(rgt)))
+                    compared.append((found.hash[which], found.around[which], doc, found.surroundings(which), found.left[which], found.right[which]))
+        # One row per kind and group for the whole block: rows of a few values each would cost more than what they hold.
+        if compared:
+            h, a, d, x, lft, rgt = map(np.concatenate, zip(*compared))
+            for part, h, a, d, x, lft, rgt in split((h % np.uint64(parts)).astype(np.int64), h, a, d, x, lft, rgt):
+                rows.append((part, COMPARED, packed(h), packed(a), packed(d), zstandard.compress(x.tobytes(), 3), packed(lft), packed(rgt)))
+        if suffixes:
+            x, y, a, d, o = map(np.concatenate, zip(*suffixes))
+            for part, x, y, a, d, o in split((x % np.uint64(parts)).astype(np.int64), x, y, a, d, o):
+                rows.append((part, SPLIT, packed(x), packed(a), packed(d), None, packed(y), packed(o)))
+        if masked:
+            a, d, m = map(np.concatenate, zip(*masked))
+            for part, a, d, m in split(block_of(d.view(np.int64), parts), a, d, m):
+                rows.append((part, MASKED, None, packed(a), packed(d), None, packed(m), None))
         return pa.Table.from_batches([_rows(rows, AROUND_ROWS)])
 
     return run
