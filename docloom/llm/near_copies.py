@@ -4,11 +4,14 @@ Texts that share four fifths of their five-word shingles differ in about 15 % of
 for one short fingerprint. So WORDS x 64 bits are taken, cut into 23-bit segments, and the segments into
 pairs. Two words at most two bits apart always share one of their one to six nearby Golay codewords, and
 often so when they are further apart; a pair of documents meets if both segments of any pair do. Met
-pairs are verified by the distance of the whole fingerprints: they link at LINK bits or fewer.
+pairs at LINK bits or fewer are candidates only: the distinct shingle hashes of both texts are fetched
+and a pair links if it shares SIMILARITY of them, counted exactly.
 
 Documents are dealt by the codeword of a pair's first segment, with the whole fingerprint; the second
-segment's codewords are made where they are needed. Groups arrive as a sorted stream. Within a group a
-member that is linked already isn't compared again, so a large cluster costs little more than its size.
+segment's codewords are made where they are needed. Groups arrive as a sorted stream. The first round
+verifies a spanning forest of each group's candidates, so a large cluster costs little more than its
+size. Where that leaves candidates in different components, a second round verifies every candidate
+pair between those components.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import checkpoint, key_and_text, text_groups
@@ -28,38 +31,56 @@ from docloom.llm.simhash_dedup import BLOCK, GROUP_BYTES, SEED, forest, nearby_e
 
 #: Words of a fingerprint, bits of a segment, pairs of segments, and the distance that links. A similarity of 0.8 differs in 87
 #: of 576 bits on average (deviation 9), one of 0.72 in 106; unrelated texts differ in 288 (deviation 12).
+#: LINK makes candidates; SIMILARITY (of the sets of shingles, as a fraction) decides.
 WORDS, SEGMENT = 9, 23
 PAIRS = WORDS * 64 // SEGMENT // 2
 LINK = 106
 SHINGLE = 5
+SIMILARITY = (4, 5)
 #: Groups up to this size are compared pair by pair in one go.
 SMALL = 32
 BYTES = WORDS * 8
 
 
-def long_fingerprint(text: str, shingle: int = SHINGLE) -> bytes:
-    """Majority bits of WORDS hashes of all shingles of the whole text (ASCII lower case); zero without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles of the whole text (ASCII lower case), in order; none without words."""
     words = text.encode().lower().split()
     if not words:
-        return bytes(BYTES)
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     size = min(shingle, len(words))
     starts, ends = starts[: len(starts) - size + 1], ends[size - 1 :]
-    ones = np.zeros(WORDS * 64, np.int64)
-    spread = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = []
     for at in range(0, len(starts), BLOCK):
         a, b = starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(flat.__getitem__, map(slice, a, b)), repeat(SEED)), np.uint64, len(a))
-        for part in range(0, len(hashes), 4096):
-            x = hashes[part : part + 4096, None] + spread
-            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            bits = np.unpackbits(x.view(np.uint8).reshape(len(x), BYTES), axis=1)
-            ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(starts)).tobytes()
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, map(flat.__getitem__, map(slice, a, b)), repeat(SEED)), np.uint64, len(a)))
+    return np.concatenate(out)
+
+
+def fingerprint_of(hashes: np.ndarray) -> bytes:
+    """Majority bits of WORDS hashes of each shingle hash; zero without shingles."""
+    ones = np.zeros(WORDS * 64, np.int64)
+    spread = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for part in range(0, len(hashes), 4096):
+        x = hashes[part : part + 4096, None] + spread
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), BYTES), axis=1)
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def long_fingerprint(text: str, shingle: int = SHINGLE) -> bytes:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def set_vertex(hashes: np.ndarray) -> int:
+    """The name of a set of shingles, sorted and distinct: texts with the same set are one vertex."""
+    x = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+    return x - (x >> 63 << 64)
 
 
 def segments(fps: np.ndarray) -> np.ndarray:
@@ -76,19 +97,18 @@ def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per fingerprint, pair of segments and nearby codeword of the pair's first segment."""
+    """Rows (fp, ...) -> one row per pair of segments and nearby codeword of the pair's first segment, with all columns."""
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
-            column = batch.column(0).slice(start, 2000)
-            if not len(column):
-                continue
-            cut = segments(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES))
+            piece = batch.slice(start, 2000)
+            cut = segments(np.frombuffer(b"".join(piece.column(0).to_pylist()), np.uint8).reshape(-1, BYTES))
             groups, owners = [], []
             for i in range(PAIRS):
                 owner, index = codewords(cut[:, 2 * i])
                 groups.append(i << 12 | index)
                 owners.append(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), column.take(pa.array(np.concatenate(owners)))], ["part", "fp"])
+            at = pa.array(np.concatenate(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), *(c.take(at) for c in piece.columns)], ["part", *piece.schema.names])
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,54 +152,136 @@ def group_links(part: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
-def vertex(fps: np.ndarray) -> list[int]:
-    return [x - (x >> 63 << 64) for x in map(xxhash.xxh64_intdigest, (f.tobytes() for f in fps), repeat(SEED))]
-
-
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, fp) rows sorted by part -> edges (u, v) between vertices."""
-    held: list[np.ndarray] = []
+def cross_pairs(part: int, fps: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate pairs between members of a group whose labels differ."""
+    second = segments(fps.view(np.uint8).reshape(-1, BYTES))[:, 2 * (part >> 12) + 1]
+    owner, index = codewords(second)
+    order = np.argsort(index, kind="stable")
+    owner, index = owner[order], index[order]
+    found = [np.zeros(0, np.int64)]
+    for shift in range(1, len(index)):
+        same = np.flatnonzero(index[shift:] == index[:-shift])
+        if not len(same):
+            break
+        a, b = owner[same], owner[same + shift]
+        other = labels[a] != labels[b]
+        a, b = a[other], b[other]
+        near = distance(fps[a], fps[b]) <= LINK
+        found.append(np.minimum(a, b)[near] * len(fps) + np.maximum(a, b)[near])
+    pairs = np.unique(np.concatenate(found))
+    return pairs // len(fps), pairs % len(fps)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(part, fp, ...) rows sorted by part -> part, fingerprints and the other columns of each group of two members or more."""
+    held: list[list[np.ndarray]] = []
     part = None
 
-    def edges() -> pa.RecordBatch:
-        fps = np.concatenate(held)
-        a, b = group_links(part, fps) if len(fps) > 1 else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(vertex(fps[a]), pa.int64()), pa.array(vertex(fps[b]), pa.int64())], ["u", "v"])
+    def group() -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        fps, *others = (np.concatenate(c) for c in zip(*held))
+        if len(fps) > 1:
+            yield part, fps, others
 
     for batch in batches:
         parts = batch.column(0).to_numpy()
         if not len(parts):
             continue
-        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
+        columns = [np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS), *(c.to_numpy() for c in batch.columns[2:])]
         bounds = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
         for s, e in zip(bounds.tolist(), [*bounds[1:].tolist(), len(parts)]):
             if held and parts[s] != part:
-                yield edges()
-                held = []
+                yield from group()
+                held.clear()
             part = int(parts[s])
-            held.append(fps[s:e])
+            held.append([c[s:e] for c in columns])
     if held:
-        yield edges()
+        yield from group()
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, component_id (the least doc_id that can be reached by links) per row of documents.
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, fp, vertex) rows sorted by part -> a forest of each group's candidates (u, v)."""
+    for part, fps, (vertex,) in _groups(batches):
+        a, b = group_links(part, fps)
+        yield pa.RecordBatch.from_arrays([pa.array(vertex[a], pa.int64()), pa.array(vertex[b], pa.int64())], ["u", "v"])
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, fp, vertex, label) rows sorted by part -> the candidates (u, v) between labels."""
+    for part, fps, (vertex, label) in _groups(batches):
+        a, b = cross_pairs(part, fps, label)
+        yield pa.RecordBatch.from_arrays([pa.array(vertex[a], pa.int64()), pa.array(vertex[b], pa.int64())], ["u", "v"])
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """vertex, hashes (the sorted distinct hashes of its shingles) per row of (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in text_groups(batches, GROUP_BYTES):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in part]
+            ends = np.cumsum([0, *map(len, sets)])
+            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([set_vertex(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["vertex", "hashes"])
+
+    return texts.mapInArrow(run, "vertex long, hashes array<long>")
 
-    Texts without words share the zero fingerprint and form one group. Null ids stay null and don't count
-    for the least id; rows that repeat a doc_id are separate rows. Other columns are ignored; an empty table gives an empty result.
-    """
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets have a similarity of SIMILARITY or more, counted exactly."""
+    top, bottom = SIMILARITY
+    both = pairs.join(sets.select(F.col("vertex").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("vertex").alias("v"), F.col("hashes").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(bottom * shared >= top * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def text_row(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def vertices_and_roots(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, vertex) per row of documents, row being a hash of the text; and (vertex, least, root) per vertex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_groups(batches, GROUP_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([long_fingerprint(t, shingle) for t in texts], pa.binary())], ["doc_id", "fp"])
+            hashes = [shingle_hashes(t, shingle) for t in texts]
+            ids, rows = [k["doc_id"] for k in keys], [k["row"] for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([set_vertex(np.unique(h)) for h in hashes], pa.int64()), pa.array([fingerprint_of(h) for h in hashes], pa.binary())],
+                ["doc_id", "row", "vertex", "fp"],
+            )
+
+    texts = key_and_text(docs).select("doc_id", text_row(F.col("text")).alias("row"), "text")
+    rows = checkpoint(texts.select(F.struct("doc_id", "row"), "text").mapInArrow(run, "doc_id long, row long, vertex long, fp binary"))
+    distinct = checkpoint(rows.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min(F.struct("row", "fp")).alias("one")).select("vertex", "least", "one.*"))
+
+    dealt = distinct.select("fp", "vertex").mapInArrow(_deal, "part long, fp binary, vertex long")
+    first = checkpoint(once(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_link, "u long, v long")))
+    coarse = checkpoint(connected_components(first).withColumnRenamed("root", "coarse"))
+    wanted = distinct.join(coarse.select("vertex"), "vertex", "left_semi").select("row")
+    sets = checkpoint(sets_of(texts.select("row", "text").join(wanted, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text")), shingle))
+    links = checkpoint(verified(first, sets))
+
+    named = checkpoint(coarse.join(connected_components(links), "vertex", "left").select("vertex", "coarse", F.coalesce("root", "vertex").alias("label")))
+    open_ = named.groupBy("coarse").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("coarse")
+    again = distinct.join(named.join(open_, "coarse", "left_semi"), "vertex").select("fp", "vertex", "label")
+    dealt = again.mapInArrow(_deal, "part long, fp binary, vertex long, label long")
+    second = once(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_cross, "u long, v long"))
+    links = links.union(checkpoint(verified(second, sets)))
+    return rows.select("doc_id", "row", "vertex"), checkpoint(distinct.join(connected_components(links), "vertex", "left").select("vertex", "least", F.coalesce("root", "vertex").alias("root")))
+
 
-    rows = checkpoint(key_and_text(docs).mapInArrow(run, "doc_id long, fp binary"))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("vertex", F.xxhash64("fp")))
-    found = distinct.select("fp").mapInArrow(_deal, "part long, fp binary").repartition("part").sortWithinPartitions("part").mapInArrow(_link, "u long, v long")
-    roots = connected_components(found)
-    placed = checkpoint(distinct.join(roots, "vertex", "left").select("fp", "least", F.coalesce("root", "vertex").alias("root")))
+def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, component_id (the least doc_id that can be reached by links) per row of documents.
+
+    Texts without words have the empty set of shingles and form one group. Null ids stay null and don't count
+    for the least id; rows that repeat a doc_id are separate rows. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows, placed = vertices_and_roots(docs, shingle)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return rows.join(placed.join(least, "root").select("vertex", "component_id"), "vertex").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -270,3 +270,30 @@ def test_leaks(spark, small_docs, edge_docs, no_docs):
     assert find_leaks(edge_docs, odd).count() == len(brute_leaks([(r["doc_id"], r["text"]) for r in edge_docs.collect()], [(r["item_id"], r["text"]) for r in odd.collect()]))
     assert without_leaks(edge_docs, odd).columns == edge_docs.columns
     assert find_leaks(no_docs, items).count() == 0 and find_leaks(small_docs, items.filter("false")).count() == 0
+
+
+def mixed_copies(seed, lengths, rates):
+    """Texts with copies of many degrees of similarity, below and above 0.8."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    texts = []
+    for n in lengths:
+        words = [rng.choice(vocabulary) for _ in range(n)]
+        texts.append(" ".join(words))
+        for rate in rates:
+            copy = list(words)
+            for at in rng.sample(range(n), max(1, round(n * rate))):
+                copy[at] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_copies_are_exact(spark):
+    """Components of similarity 0.8 or more over sets of shingles: clean texts below it stay."""
+    texts = mixed_copies(11, [150, 220, 300, 380] * 6, [0.018, 0.022, 0.03, 0.04, 0.05])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [words_shingles(t) for t in texts]
+    expected = brute_labels(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    fps = np.frombuffer(b"".join(long_fingerprint(t) for t in texts), "<u8").reshape(-1, WORDS)
+    assert sum(distance(fps[i], fps[j]) <= LINK and expected[i] != expected[j] for i, j in combinations(range(len(texts)), 2)) > 10
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()} == dict(enumerate(expected))
