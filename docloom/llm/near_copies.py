@@ -1,8 +1,8 @@
 """Near copies by long SimHash fingerprints and Golay keys: for links far beyond two bits.
 
 Texts that share four fifths of their five-word shingles differ in about 15 % of SimHash bits, too many
-for one short fingerprint. So WORDS x 64 bits are taken, cut into 23-bit segments, and the segments into
-pairs. Two words at most two bits apart always share one of their one to six nearby Golay codewords, and
+for one short fingerprint. So WORDS x 64 bits are taken from the distinct shingles and cut into
+23-bit segments; each of PAIRS first segments is paired with SECONDS others. Two words at most two bits apart always share one of their one to six nearby Golay codewords, and
 often so when they are further apart; a pair of documents meets if both segments of any pair do. Met
 pairs at LINK bits or fewer are candidates only: the distinct shingle hashes of both texts are fetched
 and a pair links if it shares SIMILARITY of them, counted exactly.
@@ -29,12 +29,13 @@ from docloom.llm.common import checkpoint, key_and_text, text_groups
 from docloom.llm.components import connected_components
 from docloom.llm.simhash_dedup import BLOCK, GROUP_BYTES, SEED, forest, nearby_errors, syndrome
 
-#: Words of a fingerprint, bits of a segment, pairs of segments, and the distance that links. A similarity of 0.8 differs in 87
+#: Words of a fingerprint, bits of a segment, first segments, second segments of each, and the distance of a candidate. A similarity of 0.8 differs in 87
 #: of 576 bits on average (deviation 9), one of 0.72 in 106; unrelated texts differ in 288 (deviation 12).
-#: LINK makes candidates; SIMILARITY (of the sets of shingles, as a fraction) decides.
+#: The smallest sets at 0.8 (four shingles of five) differ in 108, so LINK is 160. LINK makes candidates; SIMILARITY (of the sets of shingles, as a fraction) decides.
 WORDS, SEGMENT = 9, 23
 PAIRS = WORDS * 64 // SEGMENT // 2
-LINK = 106
+SECONDS = 6
+LINK = 160
 SHINGLE = 5
 SIMILARITY = (4, 5)
 #: Groups up to this size are compared pair by pair in one go.
@@ -43,7 +44,7 @@ BYTES = WORDS * 8
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of all shingles of the whole text (ASCII lower case), in order; none without words."""
+    """Hashes of all shingles of the whole text (ASCII lower case), in order, with repeats; none without words."""
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -60,7 +61,7 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint_of(hashes: np.ndarray) -> bytes:
-    """Majority bits of WORDS hashes of each shingle hash; zero without shingles."""
+    """Majority bits of WORDS hashes of each distinct shingle hash; zero without shingles."""
     ones = np.zeros(WORDS * 64, np.int64)
     spread = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for part in range(0, len(hashes), 4096):
@@ -74,7 +75,7 @@ def fingerprint_of(hashes: np.ndarray) -> bytes:
 
 
 def long_fingerprint(text: str, shingle: int = SHINGLE) -> bytes:
-    return fingerprint_of(shingle_hashes(text, shingle))
+    return fingerprint_of(np.unique(shingle_hashes(text, shingle)))
 
 
 def set_vertex(hashes: np.ndarray) -> int:
@@ -111,6 +112,15 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), *(c.take(at) for c in piece.columns)], ["part", *piece.schema.names])
 
 
+def seconds(part: int, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per second segment of a group's first one: members (rows of 64-bit words) and nearby codewords, in the order of the codewords."""
+    cut = segments(fps.view(np.uint8).reshape(-1, BYTES))
+    for k in range(SECONDS):
+        owner, index = codewords(cut[:, 2 * (((part >> 12) + k) % PAIRS) + 1])
+        order = np.argsort(index, kind="stable")
+        yield owner[order], index[order]
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
@@ -131,43 +141,37 @@ def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def group_links(part: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the members (rows of 64-bit words) of a group, by the codewords of the pair's second segment."""
-    second = segments(fps.view(np.uint8).reshape(-1, BYTES))[:, 2 * (part >> 12) + 1]
-    owner, index = codewords(second)
-    order = np.argsort(index, kind="stable")
-    owner, index = owner[order], index[order]
-    starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    sizes = np.diff(np.r_[starts, len(index)])
+    """Candidates among the members (rows of 64-bit words) of a group, by the codewords of the second segments: a forest of them."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        members = owner[s : s + n]
-        a, b = linked(fps[members])
-        found.append((members[a], members[b]))
-    few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-    owner, index = owner[few], index[few]
-    for shift in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
-        same = np.flatnonzero(index[shift:] == index[:-shift])
-        near = same[distance(fps[owner[same]], fps[owner[same + shift]]) <= LINK]
-        found.append((owner[near], owner[near + shift]))
+    for owner, index in seconds(part, fps):
+        starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+        sizes = np.diff(np.r_[starts, len(index)])
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            members = owner[s : s + n]
+            a, b = linked(fps[members])
+            found.append((members[a], members[b]))
+        few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+        owner, index = owner[few], index[few]
+        for shift in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+            same = np.flatnonzero(index[shift:] == index[:-shift])
+            near = same[distance(fps[owner[same]], fps[owner[same + shift]]) <= LINK]
+            found.append((owner[near], owner[near + shift]))
     return forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
 def cross_pairs(part: int, fps: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All candidate pairs between members of a group whose labels differ."""
-    second = segments(fps.view(np.uint8).reshape(-1, BYTES))[:, 2 * (part >> 12) + 1]
-    owner, index = codewords(second)
-    order = np.argsort(index, kind="stable")
-    owner, index = owner[order], index[order]
     found = [np.zeros(0, np.int64)]
-    for shift in range(1, len(index)):
-        same = np.flatnonzero(index[shift:] == index[:-shift])
-        if not len(same):
-            break
-        a, b = owner[same], owner[same + shift]
-        other = labels[a] != labels[b]
-        a, b = a[other], b[other]
-        near = distance(fps[a], fps[b]) <= LINK
-        found.append(np.minimum(a, b)[near] * len(fps) + np.maximum(a, b)[near])
+    for owner, index in seconds(part, fps):
+        for shift in range(1, len(index)):
+            same = np.flatnonzero(index[shift:] == index[:-shift])
+            if not len(same):
+                break
+            a, b = owner[same], owner[same + shift]
+            other = labels[a] != labels[b]
+            a, b = a[other], b[other]
+            near = distance(fps[a], fps[b]) <= LINK
+            found.append(np.minimum(a, b)[near] * len(fps) + np.maximum(a, b)[near])
     pairs = np.unique(np.concatenate(found))
     return pairs // len(fps), pairs % len(fps)
 
@@ -246,10 +250,10 @@ def vertices_and_roots(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_groups(batches, GROUP_BYTES):
-            hashes = [shingle_hashes(t, shingle) for t in texts]
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in texts]
             ids, rows = [k["doc_id"] for k in keys], [k["row"] for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([set_vertex(np.unique(h)) for h in hashes], pa.int64()), pa.array([fingerprint_of(h) for h in hashes], pa.binary())],
+                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([set_vertex(h) for h in hashes], pa.int64()), pa.array([fingerprint_of(h) for h in hashes], pa.binary())],
                 ["doc_id", "row", "vertex", "fp"],
             )
 

@@ -14,7 +14,7 @@ import xxhash
 from docloom.llm import simhash_dedup
 from docloom.llm.components import connected_components
 from docloom.llm.decontaminate import find_leaks, without_leaks
-from docloom.llm.near_copies import LINK, WORDS, distance, group_links, keep_one, linked, long_fingerprint, near_copies
+from docloom.llm.near_copies import LINK, PAIRS, WORDS, codewords, distance, fingerprint_of, group_links, keep_one, linked, long_fingerprint, near_copies, segments
 from docloom.llm.simhash_dedup import fingerprint, forest, golay_keys, link_by_midpoints, near_duplicates, nearby_errors
 from docloom.llm.suffix_dedup import remove_repeats, without_repeats
 
@@ -297,3 +297,20 @@ def test_near_copies_are_exact(spark):
     fps = np.frombuffer(b"".join(long_fingerprint(t) for t in texts), "<u8").reshape(-1, WORDS)
     assert sum(distance(fps[i], fps[j]) <= LINK and expected[i] != expected[j] for i, j in combinations(range(len(texts)), 2)) > 10
     assert {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()} == dict(enumerate(expected))
+
+
+def test_candidates_at_the_limit():
+    """Pairs at a similarity of exactly 0.8 meet in a group and are candidates; repeats of a shingle don't count."""
+    rng = np.random.default_rng(17)
+    for shared, own in ((8, 1), (200, 25)):
+        lost = 0
+        for _ in range(400):
+            h = rng.integers(0, 2**63, shared + 2 * own, dtype=np.uint64)
+            fps = np.frombuffer(fingerprint_of(h[: shared + own]) + fingerprint_of(np.r_[h[:shared], h[shared + own :]]), "<u8").reshape(2, WORDS)
+            cut = segments(fps.view(np.uint8).reshape(2, -1))
+            lost += not any(len(group_links(i << 12, fps)[0]) for i in range(PAIRS) if len(set.intersection(*(set(codewords(c[2 * i : 2 * i + 1])[1].tolist()) for c in cut))))
+        assert lost == 0
+    words, line = [f"w{i}" for i in range(200)], " ".join(f"l{i}" for i in range(20))
+    once, often = (" ".join([*words, *[line] * n]) for n in (1, 8))
+    a, b = (np.frombuffer(long_fingerprint(t), "<u8") for t in (once, often))
+    assert len(words_shingles(once) & words_shingles(often)) > 0.9 * len(words_shingles(once) | words_shingles(often)) and distance(a, b) < 106
