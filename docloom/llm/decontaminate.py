@@ -2,8 +2,8 @@
 
 Texts are lower-cased words (runs of letters and digits), their shingles five words. A window of a
 benchmark item's size that is similar to it shares most of its shingles, so windows are formed only
-around shingles that occur in the benchmark (an exact look-up) and only in documents with enough of
-them for an item; every start that such a window can have is tried. Windows and items get 64-bit
+around shingles that occur in the benchmark (an exact look-up), in any order: every start whose window
+holds as many of an item's shingles as the similarity takes is tried. Windows and items get 64-bit
 SimHash fingerprints weighted by the shingles' counts. A multi-index finds all pairs within RADIUS
 bits: of five blocks one has at most three errors, so an item is entered under every block value that
 far away. Pairs are verified by the exact similarity of the weighted shingles, sum of minima over
@@ -12,9 +12,11 @@ sum of maxima of their counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import checkpoint
+
 SHINGLE, SIMILARITY = 5, 0.8
 #: (lowest bit, bits) of the blocks, the errors a block may have, and the radius these guarantee.
 BLOCKS = ((51, 13), (38, 13), (25, 13), (12, 13), (0, 12))
@@ -76,21 +78,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), shingles_of(words_of(F.col("text"))).alias("shingles")).filter("item is not null").filter("size(shingles) > 0").withColumn("m", F.size("shingles"))
     items = with_fingerprint(items, "shingles", "item_fp")
-    entries = items.select("item", "m", F.posexplode("shingles").alias("q", "h"))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"), shingles_of(words_of(F.col("text"))).alias("s"))
-    hits = rows.select("doc_id", "row", "s", F.posexplode_outer("s").alias("p", "h")).join(bounded(entries), "h")
-    # A similar window shares 4/5 of the shingles at least, so its start is within a fifth of the item's size of any shared shingle's.
-    slack = F.ceil((1 - similarity) * F.col("m")).cast("int")
-    first = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q") - slack, F.size("s") - F.col("m")))
-    hits = hits.select("doc_id", "row", "item", "m", (F.col("p") - F.col("q")).alias("a"), first.alias("first"), F.slice("s", first + 1, F.col("m") + 2 * slack).alias("piece"))
-    found = hits.groupBy("doc_id", "row", "item", "m", "a", "first").agg(F.count(F.lit(1)).alias("hits"), F.first("piece").alias("piece"))
-    total = F.sum("hits").over(Window.partitionBy("doc_id", "row", "item"))
-    found = found.withColumn("total", total).filter(F.col("total") >= F.ceil(F.lit(similarity) * F.col("m")))
-
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("piece") - F.col("m")))
-    windows = found.select("doc_id", "row", "m", "first", "piece", F.explode(starts).alias("shift"))
-    windows = windows.select("doc_id", "row", "m", (F.col("first") + F.col("shift")).alias("start"), F.slice("piece", F.col("shift") + 1, F.col("m")).alias("win"))
+    entries = items.select("item", "m", F.explode(F.array_distinct("shingles")).alias("h"))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"), F.col("text"))
+    hits = texts.select("doc_id", "row", shingles_of(words_of(F.col("text"))).alias("s"))
+    hits = hits.select("doc_id", "row", F.size("s").alias("n"), F.posexplode_outer("s").alias("p", "h")).join(bounded(entries), "h")
+    # What the windows and the item share is at most the hits in the window, so a similar window has `need` of them, and starts where the first and last of `need` hits in a row are in it.
+    need = F.ceil(similarity / (1 + similarity) * (F.least("n", "m") + F.col("m")) - 1e-9).cast("int")
+    found = hits.groupBy("doc_id", "row", "item", "m", "n").agg(F.sort_array(F.collect_set("p")).alias("at")).withColumn("need", need).filter("size(at) >= need")
+    ranges = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("m") + 1).alias("low"), F.least(F.get("at", i), F.greatest(F.lit(0), F.col("n") - F.col("m"))).alias("high")))
+    ranges = F.filter(ranges, lambda r: r["low"] <= r["high"])
+    places = found.select(F.col("doc_id").alias("of_doc"), F.col("row").alias("of_row"), "m", F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["low"], r["high"])))).alias("starts"))
+    places = checkpoint(places.filter("size(starts) > 0"))
+
+    hit = texts.join(bounded(places), (F.col("row") == F.col("of_row")) & F.col("doc_id").eqNullSafe(F.col("of_doc")))
+    cut = F.get(F.transform(F.array(shingles_of(words_of(F.col("text")))), lambda s: F.transform("starts", lambda a: F.struct(a.alias("start"), F.slice(s, a + 1, F.col("m")).alias("win")))), F.lit(0))
+    windows = hit.select("doc_id", "row", "m", F.explode(cut).alias("cut")).select("doc_id", "row", "m", "cut.start", "cut.win")
     windows = windows.groupBy("doc_id", "row", "m", "start").agg(F.first("win").alias("win"))
     windows = with_fingerprint(windows, "win", "fp")
 

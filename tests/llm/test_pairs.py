@@ -314,3 +314,21 @@ def test_candidates_at_the_limit():
     once, often = (" ".join([*words, *[line] * n]) for n in (1, 8))
     a, b = (np.frombuffer(long_fingerprint(t), "<u8") for t in (once, often))
     assert len(words_shingles(once) & words_shingles(often)) > 0.9 * len(words_shingles(once) | words_shingles(often)) and distance(a, b) < 106
+
+
+def test_reordered_leaks(spark):
+    """Items whose blocks are moved are found at their best window, as by trying every start."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items, docs = [], []
+    for i, n in enumerate([40, 60, 60, 120, 150]):
+        words = [word() for _ in range(n)]
+        items.append((i, " ".join(words)))
+        cut = n // (2 + i % 2)
+        docs.append((i, " ".join([*[word() for _ in range(200)], *words[cut:], *words[:cut], *[word() for _ in range(200)]])))
+        docs.append((100 + i, " ".join([*words[cut:], *[word() for _ in range(n)], *words[:cut]])))  # torn apart: no window holds it
+        docs.append((200 + i, " ".join([*words[cut:], *words[:cut]])))
+    expected = brute_leaks(docs, items)
+    made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in find_leaks(*made).collect()}
+    assert {(1, 1), (3, 3)} <= expected.keys() and found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
