@@ -180,6 +180,11 @@ add(
     "unwind_index", "embeddings", [{"$match": {"vec_id": {"$lt": 20}}}, {"$unwind": {"path": "$embedding", "includeArrayIndex": "i"}}, keep("vec_id", "embedding", "i")],
     "SELECT vec_id, unnest(embedding) AS embedding, (generate_subscripts(embedding, 1) - 1)::BIGINT AS i FROM embeddings WHERE vec_id < 20",
 )
+add("unwind_all", "embeddings", [{"$unwind": "$embedding"}, keep("vec_id", "embedding")], "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings")
+add(
+    "unwind_index_all", "embeddings", [{"$unwind": {"path": "$embedding", "includeArrayIndex": "i"}}, keep("vec_id", "embedding", "i")],
+    "SELECT vec_id, unnest(embedding) AS embedding, (generate_subscripts(embedding, 1) - 1)::BIGINT AS i FROM embeddings",
+)
 add("unwind_scalar", "nation", [{"$unwind": "$n_name"}, keep("n_name")], "SELECT n_name FROM nation")
 add("unwind_preserve", "nation", [{"$unwind": {"path": "$nothing", "preserveNullAndEmptyArrays": True}}, keep("n_name")], "SELECT n_name FROM nation")
 add(

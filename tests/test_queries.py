@@ -33,3 +33,9 @@ def test_query(spark, con, key):
     assert sorted(relation.columns) == names
     expected = [dict(zip(relation.columns, r)) for r in relation.fetchall()]
     assert sorted([plain(r[n]) for n in names] for r in df.collect()) == sorted([plain(r[n]) for n in names] for r in expected)
+
+
+@pytest.mark.parametrize("key", ["unwind_all", "unwind_index_all"])
+def test_unwind_whole_table(spark, con, key):
+    """$unwind is checked over every row of the table, not a range of ids."""
+    assert QUERIES[key](spark, DATA).count() == con.sql("SELECT sum(len(embedding)) FROM embeddings").fetchall()[0][0]
