@@ -1,25 +1,24 @@
 """Exact removal of byte strings that also start in an earlier document, by blockwise suffix sorting.
 
-Every string of LENGTH bytes is a suffix cut off at that depth. Its bucket is the hash of the least
-GRAM-byte word in it (its anchor) with the anchor's place in it, so equal strings always share a
-bucket, and anchors are one position in eighteen. The steps:
-
-1. Anchors: documents send (anchor hash, hash of the whole surroundings, doc_id) to the anchor's group.
-   A surrounding that an earlier document has too is settled: all strings around it go. One that is
-   alone under its anchor is settled as well: they stay. Only anchors with several surroundings go on.
-2. Buckets: the surroundings of those are fetched, and per group one suffix bucket after the other
-   (one place of the anchor at a time) is sorted. Cover samples at fixed places of the surroundings
-   have ranks for 34 bytes, computed once per group; every suffix of a bucket meets its next sample
-   after the same number of bytes, so 16 bytes of head and tail and one rank decide the long ties.
-   Suffixes in a run of equals that don't come from its least doc_id are removed.
-3. Removal: each document gets the verdicts on its anchors and drops the covered bytes.
-
-Nothing that many documents share is gathered as a whole. A task settles equal surroundings among its own
-documents and sends one of each. An anchor with more than WIDE surroundings (the edge of a passage that a
-large part of the corpus holds) isn't one group: its suffixes go one by one to buckets by their 128-bit
-digest, again after each task has settled its own.
-
-Texts travel in compressed blocks, keys as compressed columns; the work of a task is one block or group.
+Every string of LENGTH bytes is a suffix cut off at that depth. Its bucket is the word of GRAM bytes in it
+whose hash is least (its anchor) with the anchor's place in it, so equal strings always share a bucket, and
+anchors are one position in eighteen. Hashes only choose anchors and deal rows; whatever is called equal
+has been compared byte by byte. The steps:
+
+1. Blocks: documents are packed into compressed blocks, with all their columns, and written once.
+2. Anchors: per unit (a stretch of a block) equal surroundings of anchors form a class. All strings around
+   an occurrence go if its document isn't the least of the class; one occurrence of the least goes on,
+   with its bytes, to the group of its anchor.
+3. Buckets: groups join equal surroundings in the same way. Where an anchor has several surroundings, its
+   suffix buckets are sorted one at a time. The ranks of a difference cover's samples are computed
+   once per group; every suffix meets a sample within three bytes, so a rank and three more bytes order a
+   bucket however long its ties are. Suffixes in a run of equals that don't come from its least document go.
+4. Removal: each block gets the verdicts on its classes and drops the covered bytes.
+
+Nothing that many documents share is gathered as a whole: units and tasks settle equal surroundings among
+their own documents and send one of each. An anchor with more than WIDE surroundings (the edge of a passage
+that a large part of the corpus holds) isn't one bucket group: its suffixes go one by one, with their bytes, to
+groups by their hash, again after each unit has settled its own.
 """
 
 from __future__ import annotations
@@ -30,27 +29,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, key_and_text, text_groups
+from docloom.llm.common import checkpoint, key_and_text
 
 LENGTH, GRAM = 50, 16
 PLACES = LENGTH - GRAM + 1
 LEFT = PLACES - 1
 AROUND = LEFT + LENGTH
-#: Cover samples: their distance, and how many bytes a sample's rank covers.
-STEP = 17
-SAMPLE = LENGTH - STEP + 1
-#: Bytes of input per block of documents and per group of anchors; text handled at once.
-BLOCK_BYTES, GROUP_BYTES, CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 4 << 20, 1 << 20, 60_000
+#: A record: the surroundings of an anchor (zero outside its text), how many of them lie before and from the anchor on, and zeros.
+RECORD = AROUND + 4
+#: The difference cover {0, 1, 3} modulo 7, in which any two places have a common distance; its greatest gap.
+COVER, PERIOD, GAP = (0, 1, 3), 7, 3
+SAMPLE = LENGTH - GAP
+#: Bytes of input per block and per group of anchors; places looked at in one go; anchors after which a unit ends.
+BLOCK_BYTES, GROUP_BYTES, STRETCH, UNIT_ANCHORS = 4 << 20, 4 << 20, 1 << 19, 250_000
 WIDE = 2000
-#: Kinds of rows: surroundings that an earlier document has; to be compared under their anchor, or suffix by suffix; masks; for the anchor's group; likewise, of a wide anchor.
-SETTLED, COMPARED, SPLIT, MASKED, GROUPED, MARKED = range(6)
+#: Kinds of rows: classes for their anchor's group, anchors that are wide, single suffixes, verdicts.
+GROUPED, MARKED, SUFFIX, VERDICT = range(4)
 ONE = np.uint64(1)
+WHOLE = np.uint64((1 << PLACES) - 1)
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+BEFORE, AFTER = 64, 128
+
+BLOCKS = "block long, ids binary, flags binary, lengths binary, bytes binary, others binary"
+#: Bits of a row's flags.
+NAMED, TEXTLESS = 1, 2
+ROWS = "part long, kind int, blocks binary, classes binary, docs binary, bytes binary, places binary"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def mixed(x: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -68,46 +78,105 @@ def slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - width + size], x[width - size :]) if size < width else x
 
 
-class Anchors:
-    """The anchors of some texts: place, text number, hash, hash of the surroundings (48 bits), bytes to the left and right."""
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def per_group(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row the sum of values over its group."""
+    return np.add.reduceat(values, np.flatnonzero(starts))[np.cumsum(starts) - 1] if len(values) else values
+
+
+def equal_rows(records: np.ndarray) -> np.ndarray:
+    """The number of the class of each row (bytes, a multiple of eight): equal rows, and only these, have the same number.
+
+    Rows are brought together by a hash and then compared; if unequal ones have the same hash, all are sorted by their bytes.
+    """
+    words = np.ascontiguousarray(records).view("<u8")
+    h = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        h = mixed(h, column)
+    order = np.argsort(h, kind="stable")
+    new = firsts(h[order])
+    same = np.flatnonzero(~new)
+    if (words[order[same]] != words[order[same - 1]]).any():
+        order = np.lexsort(words.T)
+        new = firsts(*words[order].T)
+    out = np.empty(len(words), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def least_of(classes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Per row the least document of its class."""
+    if not len(docs):
+        return docs
+    least = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, classes, docs)
+    return least[classes]
 
-    def __init__(self, texts: list[bytes]):
-        self.ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        self.starts = np.r_[0, self.ends[:-1]] if len(texts) else self.ends
-        n = int(self.ends[-1]) if len(texts) else 0
-        self.padded = b"\0" * 64 + b"".join(texts) + b"\0" * 128
+
+class Block:
+    """The joined texts of a block, and the units of anchors in it, the same ones whenever they are asked for."""
+
+    def __init__(self, lengths: np.ndarray, data: bytes):
+        self.ends = np.cumsum(lengths.astype(np.int64))
+        self.starts = self.ends - lengths
+        self.size = len(data)
+        self.padded = bytes(BEFORE) + data + bytes(AFTER)
         self.bytes = np.frombuffer(self.padded, np.uint8)
-        self.words = np.ndarray((n + 184,), "<u8", self.padded, 0, (1,))  # the eight bytes from each place on; place p is at p + 64
-        empty = np.zeros(0, np.int64)
-        self.place = self.text = self.left = self.right = empty
-        self.hash = self.around = np.zeros(0, np.uint64)
-        if n < LENGTH:
-            return
-        h = mixed(self.words[64 : n + 64] * MIX2, self.words[72 : n + 72])
+        self.words = np.ndarray((self.size + BEFORE + AFTER - 8,), "<u8", self.padded, 0, (1,))  # the eight bytes from each place on; place p is at p + BEFORE
+
+    def anchors(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in [start, end) that are anchors of a string of LENGTH bytes, their text numbers and hashes."""
+        a, b = max(0, start - LEFT), min(self.size, end + LEFT)  # the words of all strings around these places
+        h = mixed(self.words[BEFORE + a : BEFORE + b] * MIX2, self.words[BEFORE + 8 + a : BEFORE + 8 + b])
         h = (h * MIX2) ^ (h >> np.uint64(32)) | ONE
+        first, last = np.searchsorted(self.ends, [a, b - 1], side="right") if b > a else (0, -1)
+        reach = np.minimum(self.ends[first : last + 1], b) - np.maximum(self.starts[first : last + 1], a)
+        owner = np.repeat(np.arange(first, last + 1), reach)
+        if b - a < PLACES:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
         least = slide(h, PLACES, np.minimum)
-        owner = np.repeat(np.arange(len(texts)), self.ends - self.starts)
-        whole = np.arange(len(least)) + LENGTH <= self.ends[owner[: len(least)]]
-        least = np.r_[np.zeros(LEFT, np.uint64), np.where(whole, least, 0), np.zeros(n - len(least), np.uint64)]
-        self.place = np.flatnonzero(slide(least, PLACES, np.maximum)[:n] == h)
-        self.text, self.hash = owner[self.place], h[self.place]
-        self.left = np.minimum(LEFT, self.place - self.starts[self.text])
-        self.right = np.minimum(LENGTH, self.ends[self.text] - self.place)
-        x = np.zeros(len(self.place), np.uint64)
-        cut = np.flatnonzero((self.left < LEFT) | (self.right < LENGTH))
-        rows = np.zeros((len(cut), AROUND + 4), np.uint8)
-        rows[:, :AROUND] = self.surroundings(cut)
-        for at in (*range(0, AROUND - 8, 8), AROUND - 8):
-            word = self.words[self.place + (64 - LEFT + at)]
-            word[cut] = np.ascontiguousarray(rows[:, at : at + 8]).view("<u8")[:, 0]
-            x = mixed(x, word)
-        self.around = mixed(x, (self.left * 256 + self.right).astype(np.uint64)) >> np.uint64(16)
-
-    def surroundings(self, which: np.ndarray) -> np.ndarray:
-        """AROUND bytes about each anchor, zero outside its text."""
-        out = self.bytes[(self.place[which] + (64 - LEFT))[:, None] + np.arange(AROUND)]
+        whole = a + np.arange(len(least)) + LENGTH <= self.ends[owner[: len(least)]]
+        least = np.r_[np.zeros(LEFT, np.uint64), np.where(whole, least, 0), np.zeros(LEFT, np.uint64)]
+        found = np.flatnonzero(slide(least, PLACES, np.maximum)[: b - a] == h)
+        found = found[(found >= start - a) & (found < end - a)]
+        return found + a, owner[found], h[found]
+
+    def records(self, places: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(places), RECORD), np.uint8)
+        out[:, :AROUND] = self.bytes[(places + (BEFORE - LEFT))[:, None] + np.arange(AROUND)]
+        left, right = np.minimum(LEFT, places - self.starts[texts]), np.minimum(LENGTH, self.ends[texts] - places)
+        cut = np.flatnonzero((left < LEFT) | (right < LENGTH))
         steps = np.arange(AROUND) - LEFT
-        return np.where((steps >= -self.left[which][:, None]) & (steps < self.right[which][:, None]), out, 0).astype(np.uint8)
+        out[cut, :AROUND] *= (steps >= -left[cut][:, None]) & (steps < right[cut][:, None])
+        out[:, AROUND], out[:, AROUND + 1] = left, right
+        return out
+
+    def units(self, named: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Places, text numbers, hashes, records and classes of the anchors of documents that have an id, unit by unit. Classes count on through the block."""
+        held: list[tuple] = []
+        before = count = 0
+        for start in range(0, self.size, STRETCH):
+            end = min(self.size, start + STRETCH)
+            places, texts, h = self.anchors(start, end)
+            own = named[texts]
+            places, texts, h = places[own], texts[own], h[own]
+            held.append((places, texts, h, self.records(places, texts)))
+            count += len(places)
+            if count >= UNIT_ANCHORS or end == self.size:
+                places, texts, h, records = (np.concatenate(c) for c in zip(*held))
+                held, count = [], 0
+                classes = equal_rows(records)
+                yield places, texts, h, records, classes + before
+                before += int(classes.max(initial=-1)) + 1
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -117,400 +186,313 @@ def packed(x: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8")[:, 0]
-
-
-def block_of(doc_ids: np.ndarray, blocks: int) -> np.ndarray:
-    x = mixed(np.zeros(len(doc_ids), np.uint64), doc_ids.astype(np.int64).view(np.uint64))
-    return (x >> np.uint64(20)).astype(np.int64) % blocks
-
-
-def chunks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and (size + len(t) > CHUNK_BYTES or i - start >= CHUNK_DOCS):
-            yield ids[start:i], texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield ids[start:], texts[start:]
+    return np.ascontiguousarray(planes.T).view("<i8")[:, 0]
 
 
 def split(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(key, columns of its rows) for each distinct key."""
     order = np.argsort(keys, kind="stable")
     keys, columns = keys[order], [c[order] for c in columns]
-    bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-    for s, e in zip(bounds, np.r_[bounds[1:], len(keys)] if len(keys) else []):
+    bounds = np.flatnonzero(firsts(keys))
+    for s, e in zip(bounds, np.r_[bounds[1:], len(keys)]):
         yield int(keys[s]), *(c[s:e] for c in columns)
 
 
-ANCHOR_ROWS = "part long, kind int, hash binary, around binary, doc binary"
-VERDICT_ROWS = "block long, kind int, doc binary, around binary, mask binary"
-AROUND_ROWS = "part long, kind int, hash binary, around binary, doc binary, bytes binary, left binary, right binary"
-TEXT_ROWS = "block long, ids binary, lengths binary, bytes binary"
-
-
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
-
-
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-    columns = list(zip(*rows)) if rows else [[] for _ in _names(schema)]
-    types = [kinds[c.split()[1]] for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _names(schema))
-
-
-def _gather(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in table.column(n).to_pylist())]) for n in names]
-
-
-def firsts(*columns: np.ndarray) -> np.ndarray:
-    """Where a row of sorted columns differs from the one before."""
-    out = np.ones(len(columns[0]), bool)
-    if len(out):
-        out[1:] = False
-        for c in columns:
-            out[1:] |= c[1:] != c[:-1]
-    return out
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names)
 
 
-def per_group(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each row the sum of values over its group."""
-    return np.add.reduceat(values, np.flatnonzero(starts))[np.cumsum(starts) - 1] if len(values) else values
-
+def gathered(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, np.int64), *(unpacked(x) for x in table.column(n).to_pylist())]) for n in names]
 
-def _anchor_rows(parts: int, wide: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            h, a, d = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            order = np.lexsort((d.view(np.int64), a, h))
-            h, a, d = h[order], a[order], d[order]
-            once = firsts(h, a, d)
-            h, a, d = h[once], a[once], d[once]
-            new = firsts(h, a)
-            rows = [(part, SETTLED, None, packed(ap), packed(dp)) for part, ap, dp in split(block_of(d[~new].view(np.int64), parts), a[~new], d[~new])]
-            h, a, d = h[new], a[new], d[new]
-            starts = firsts(h)
-            many = per_group(starts, np.ones(len(h), np.int64)) > wide
-            rows += [(part, SPLIT, None, packed(ap), packed(dp)) for part, ap, dp in split(block_of(d[many].view(np.int64), parts), a[many], d[many])]
-            for kind, which in ((GROUPED, ~many), (MARKED, many & starts)):
-                for part, hp, ap, dp in split((h[which] % np.uint64(parts)).astype(np.int64), h[which], a[which], d[which]):
-                    rows.append((part, kind, packed(np.diff(hp, prepend=np.uint64(0))), packed(ap), packed(dp)))
-            return _rows(rows, ANCHOR_ROWS)
-
-        for ids, texts in text_groups(batches, CHUNK_BYTES):
-            found = Anchors([t.encode() for t in texts])
-            doc = np.array(ids, np.int64).view(np.uint64)
-            held.append((found.hash, found.around, doc[found.text] if len(doc) else doc))
-            if sum(len(x) for x, *_ in held) > 1_000_000:
-                yield flush()
-        if any(len(x) for x, *_ in held):
-            yield flush()
-
-    return run
-
-
-def _judge(blocks: int, wide: int):
-    """Of one group of anchors: which surroundings an earlier document has, and which are to be compared piece by piece. What tasks settled passes through."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        rows = []
-        for kind in (SETTLED, SPLIT):
-            a, d = _gather(table.filter(pa.array(kinds == kind)), "around", "doc")
-            rows += verdict_rows(kind, d.view(np.int64), a, blocks)
-        own = table.filter(pa.array(kinds >= GROUPED))
-        a, d = _gather(own, "around", "doc")
-        parts = [np.cumsum(unpacked(x)) for x in own.column("hash").to_pylist()]
-        h = np.concatenate([np.zeros(0, np.uint64), *parts])
-        marked = np.concatenate([np.zeros(0, bool), *(np.full(len(x), k == MARKED) for x, k in zip(parts, own.column("kind").to_pylist()))])
-        d = d.view(np.int64)
-        order = np.lexsort((d, a, h))
-        h, a, d, marked = h[order], a[order], d[order], marked[order]
-        anchor, new = firsts(h), firsts(h, a)
-        count = per_group(anchor, new.astype(np.int64))
-        many = (count > wide) | (per_group(anchor, marked.astype(np.int64)) > 0)
-        later = d > d[new][np.cumsum(new) - 1] if len(d) else new
-        rows += verdict_rows(SETTLED, d[later], a[later], blocks)
-        rows += verdict_rows(COMPARED, d[new & ~many & (count > 1)], a[new & ~many & (count > 1)], blocks)
-        rows += verdict_rows(SPLIT, d[new & many], a[new & many], blocks)
-        return pa.Table.from_batches([_rows(rows, VERDICT_ROWS)])
-
-    return run
 
+def gathered_bytes(table: pa.Table, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zstandard.decompress, table.column("bytes").to_pylist())), np.uint8).reshape(-1, width)
 
-def verdict_rows(kind: int, d: np.ndarray, a: np.ndarray, blocks: int, mask: np.ndarray | None = None) -> list[tuple]:
-    """Rows of VERDICT_ROWS, by the block of the documents."""
-    columns = (d, a) if mask is None else (d, a, mask)
-    return [(block, kind, packed(x[0].view(np.uint64)), packed(x[1]), packed(x[2]) if mask is not None else None) for block, *x in split(block_of(d, blocks), *columns)]
 
+def verdict_rows(blocks: np.ndarray, classes: np.ndarray, masks: np.ndarray) -> list[tuple]:
+    """Rows for the blocks: the places to remove, by class."""
+    hit = masks > 0
+    return [(block, VERDICT, None, packed(c), None, None, packed(m)) for block, c, m in split(blocks[hit], classes[hit], masks[hit])]
 
-def _pack_texts(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts in text_groups(iter([batch]), 16 << 20):
-                at = {}
-                for i, b in enumerate(block_of(np.array(ids, np.int64), blocks).tolist()):
-                    at.setdefault(b, []).append(i)
-                rows = []
-                for b, which in at.items():
-                    own = [texts[i].encode() for i in which]
-                    rows.append((b, packed(np.array([ids[i] for i in which], np.int64).view(np.uint64)), packed(np.array([*map(len, own)])), zstandard.compress(b"".join(own), 3)))
-                yield _rows(rows, TEXT_ROWS)
 
-    return run
+def fitting(records: np.ndarray, o: int) -> np.ndarray:
+    """Rows whose text holds the whole string at place o of the surroundings."""
+    return np.flatnonzero((o >= LEFT - records[:, AROUND].astype(int)) & (o + LENGTH <= LEFT + records[:, AROUND + 1].astype(int)))
 
 
-def _texts(table: pa.Table) -> tuple[list[int], list[bytes]]:
-    ids, texts = [], []
-    for i, n, data in zip(*(table.column(c).to_pylist() for c in ("ids", "lengths", "bytes"))):
-        ends = np.cumsum(unpacked(n)).tolist()
-        data = zstandard.decompress(data)
-        ids += unpacked(i).view(np.int64).tolist()
-        texts += [data[s:e] for s, e in zip([0, *ends[:-1]], ends)]
-    return ids, texts
-
-
-class Verdicts:
-    """(doc_id, surroundings) -> mask of the places to remove."""
-
-    def __init__(self, table: pa.Table):
-        whole = np.uint64((1 << PLACES) - 1)
-        self.doc, self.around = _gather(table, "doc", "around")
-        masks = [np.full(len(unpacked(d)), whole) if m is None else unpacked(m) for d, m in zip(table.column("doc").to_pylist(), table.column("mask").to_pylist())]
-        self.mask = np.concatenate([np.zeros(0, np.uint64), *masks])
-
-    def of(self, found: Anchors, ids: list[int]) -> np.ndarray:
-        """The mask per anchor, 0 where there's no verdict."""
-        known = np.unique(np.array(ids, np.int64).view(np.uint64))
-        own = np.flatnonzero(np.isin(self.doc, known))
-        keys = np.searchsorted(known, self.doc[own]).astype(np.uint64) << np.uint64(48) | self.around[own]
-        order = np.argsort(keys, kind="stable")
-        keys, masks = keys[order], self.mask[own][order]
-        if not len(keys):
-            return np.zeros(len(found.place), np.uint64)
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, masks = keys[starts], np.bitwise_or.reduceat(masks, starts)
-        sought = np.searchsorted(known, np.array(ids, np.int64).view(np.uint64)).astype(np.uint64)[found.text] << np.uint64(48) | found.around
-        at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-        return np.where(keys[at] == sought, masks[at], 0)
-
-
-def suffix_digests(found: Anchors, which: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the LENGTH bytes from place o of these anchors' surroundings."""
-    at = found.place[which] + (64 - LEFT + o)
-    x, y = np.zeros(len(which), np.uint64), np.full(len(which), MIX2)
-    for step in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        word = found.words[at + step]
-        x, y = mixed(x, word), mixed(y ^ MIX1, word * MIX2)
-    return x, y
-
-
-def split_suffixes(found: Anchors, which: np.ndarray, doc: np.ndarray) -> tuple[list[tuple], tuple]:
-    """The suffixes of wide anchors by digest: those of the least document here go on, the others are settled here."""
-    rows = []
-    masks = np.zeros(len(which), np.uint64)
+def suffix_rows(records: np.ndarray, blocks: np.ndarray, classes: np.ndarray, docs: np.ndarray, parts: int) -> list[tuple]:
+    """The suffixes of wide anchors: those of the least document here go on to groups by their hash, the others are settled here."""
+    held, masks = [], np.zeros(len(records), np.uint64)
     for o in range(PLACES):
-        fits = np.flatnonzero((o >= LEFT - found.left[which]) & (o + LENGTH <= LEFT + found.right[which]))
+        fits = fitting(records, o)
         if not len(fits):
             continue
-        x, y = suffix_digests(found, which[fits], o)
-        order, rank = ranked(x, y)
-        signed = doc[fits].view(np.int64)
-        least = np.minimum.reduceat(signed[order], np.flatnonzero(firsts(rank[order])))[rank]
-        masks[fits[signed > least]] |= ONE << np.uint64(o)
-        go = signed == least
-        rows.append((x[go], y[go], found.around[which][fits][go], doc[fits][go], np.full(int(go.sum()), o)))
-    hit = masks > 0
-    return rows, (found.around[which][hit], doc[hit], masks[hit])
-
-
-def _fetch(parts: int):
-    """The surroundings that are to be compared, from the texts of a block."""
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, rows = right.column("kind").to_numpy(), []
-        compared: list[tuple] = []
-        suffixes: list[tuple] = []
-        masked: list[tuple] = []
-        wanted, single = (Verdicts(right.filter(pa.array(kinds == k))) for k in (COMPARED, SPLIT))
-        if len(kinds):
-            for ids, texts in chunks(*_texts(left)):
-                found = Anchors(texts)
-                named = np.array(ids, np.int64).view(np.uint64)
-                for verdicts in (wanted, single):
-                    which = np.flatnonzero(verdicts.of(found, ids))
-                    doc = named[found.text[which]]
-                    order = np.lexsort((found.around[which], found.hash[which], doc))
-                    once = order[firsts(doc[order], found.hash[which][order], found.around[which][order])]
-                    which, doc = which[once], doc[once]
-                    if verdicts is single:
-                        more, own = split_suffixes(found, which, doc)
-                        suffixes += more
-                        masked.append(own)
-                        continue
-                    compared.append((found.hash[which], found.around[which], doc, found.surroundings(which), found.left[which], found.right[which]))
-        # One row per kind and group for the whole block: rows of a few values each would cost more than what they hold.
-        if compared:
-            h, a, d, x, lft, rgt = map(np.concatenate, zip(*compared))
-            for part, h, a, d, x, lft, rgt in split((h % np.uint64(parts)).astype(np.int64), h, a, d, x, lft, rgt):
-                rows.append((part, COMPARED, packed(h), packed(a), packed(d), zstandard.compress(x.tobytes(), 3), packed(lft), packed(rgt)))
-        if suffixes:
-            x, y, a, d, o = map(np.concatenate, zip(*suffixes))
-            for part, x, y, a, d, o in split((x % np.uint64(parts)).astype(np.int64), x, y, a, d, o):
-                rows.append((part, SPLIT, packed(x), packed(a), packed(d), None, packed(y), packed(o)))
-        if masked:
-            a, d, m = map(np.concatenate, zip(*masked))
-            for part, a, d, m in split(block_of(d.view(np.int64), parts), a, d, m):
-                rows.append((part, MASKED, None, packed(a), packed(d), None, packed(m), None))
-        return pa.Table.from_batches([_rows(rows, AROUND_ROWS)])
+        strings = np.zeros((len(fits), LENGTH + 6), np.uint8)
+        strings[:, :LENGTH] = records[fits, o : o + LENGTH]
+        least = least_of(equal_rows(strings), docs[fits])
+        masks[fits[docs[fits] > least]] |= ONE << np.uint64(o)
+        go = docs[fits] == least
+        h = np.zeros(int(go.sum()), np.uint64)
+        for column in strings[go].view("<u8").T:
+            h = mixed(h, column)
+        held.append((h % np.uint64(parts), blocks[fits][go], classes[fits][go], docs[fits][go], strings[go], np.full(len(h), o)))
+    rows = verdict_rows(blocks, classes, masks)
+    if held:
+        for part, b, c, d, s, o in split(*map(np.concatenate, zip(*held))):
+            rows.append((part, SUFFIX, packed(b), packed(c), packed(d), zstandard.compress(s.tobytes(), 1), packed(o)))
+    return rows
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, other columns) -> blocks of whole documents of about BLOCK_BYTES; a longer document is a block of its own."""
+    task, held, size, count = TaskContext.get().partitionId(), [], 0, 0
+
+    def block() -> pa.RecordBatch:
+        nonlocal held, size, count
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held, size, count = [], 0, count + 1
+        texts = [(t or "").encode() for t in rows.column(1).to_pylist()]
+        ids = rows.column(0)
+        flags = pc.is_valid(ids).to_numpy() * NAMED + pc.is_null(rows.column(1)).to_numpy() * TEXTLESS
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema.remove(0).remove(0), options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows.drop_columns(rows.column_names[:2]))
+        numbers = (pc.fill_null(ids, 0).to_numpy(), flags, np.array([*map(len, texts)], np.int64))
+        return batch_of([((task << 32) + count, *map(packed, numbers), zstandard.compress(b"".join(texts), 3), sink.getvalue().to_pybytes())], BLOCKS)
+
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            if size and size + n > BLOCK_BYTES:
+                held.append(batch.slice(start, i - start))
+                start = i
+                yield block()
+            size += n
+        held.append(batch.slice(start))
+    if any(b.num_rows for b in held):
+        yield block()
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, Block]:
+    return unpacked(row["ids"]), unpacked(row["flags"]), Block(unpacked(row["lengths"]), zstandard.decompress(row["bytes"]))
 
-    return run
 
+def _anchor_rows(parts: int, wide: int):
+    """Blocks -> the classes of their units, dealt by their anchors; those of wide anchors suffix by suffix."""
 
-def ranked(groups: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (group, words) and, in the given order of rows, the rank of each distinct row."""
-    order = np.lexsort((*words[::-1], groups))
-    differs = np.zeros(len(order), bool)
-    differs[:1] = True
-    for w in (groups, *words):
-        s = w[order]
-        differs[1:] |= s[1:] != s[:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(differs) - 1
-    return order, rank
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                ids, flags, block = _unpack(row)
+                for _, texts, h, records, classes in block.units(flags & NAMED > 0):
+                    docs = ids[texts]
+                    order = np.lexsort((docs, classes))
+                    one = order[firsts(classes[order])]  # an occurrence in the least document of each class
+                    one = one[np.argsort(h[one], kind="stable")]
+                    h, records, classes, docs = h[one], records[one], classes[one], docs[one]
+                    starts = firsts(h)
+                    many = per_group(starts, np.ones(len(h), np.int64)) > wide
+                    rows = suffix_rows(records[many], np.full(int(many.sum()), row["block"]), classes[many], docs[many], parts) if many.any() else []
+                    for kind, which in ((GROUPED, ~many), (MARKED, many & starts)):
+                        for part, c, d, x in split((h[which] % np.uint64(parts)).astype(np.int64), classes[which], docs[which], records[which]):
+                            rows.append((part, kind, packed(np.full(len(c), row["block"])), packed(c), packed(d), zstandard.compress(x.tobytes(), 1), None))
+                    yield batch_of(rows, ROWS)
 
+    return run
 
-def sort_buckets(h: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Mask per row of the places whose suffix also comes from an earlier document.
 
-    h: anchor hash, doc: signed ids, around: rows of AROUND bytes, left and right: how many of them lie before and from the anchor on.
-    """
-    padded = np.zeros((len(h), AROUND + 8), np.uint8)
-    padded[:, :AROUND] = around
-    word = lambda at, size=8: np.ascontiguousarray(padded[:, at : at + 8]).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(8 * (8 - size))
-    samples = {}
-    for p in range(0, PLACES + STEP - 1, STEP):
-        if p < PLACES:
-            samples[p] = ranked(h, *(word(p + 8 * i) for i in range(SAMPLE // 8)), word(p + SAMPLE // 8 * 8, SAMPLE % 8))[1]
-    masks = np.zeros(len(h), np.uint64)
-    for o in range(PLACES):
-        rows = np.flatnonzero((o >= LEFT - left) & (o + LENGTH <= LEFT + right))
-        if not len(rows):
+def sort_buckets(anchors: np.ndarray, docs: np.ndarray, records: np.ndarray) -> np.ndarray:
+    """Mask per row of the places whose suffix also comes from an earlier document. anchors: numbers of the anchors, docs: ids, records: distinct under their anchor."""
+    padded = np.zeros((len(records), RECORD + 8), np.uint8)
+    padded[:, :RECORD] = records
+
+    def word(at: int, size: int) -> np.ndarray:
+        return np.ascontiguousarray(padded[:, at : at + 8]).view(">u8")[:, 0].astype(np.uint64) >> np.uint64(64 - 8 * size)
+
+    nearest = [next(p for p in range(o, o + PERIOD) if p % PERIOD in COVER) for o in range(PLACES)]
+    ranks = {}
+    for p in set(nearest):
+        words = [anchors.astype(np.uint64), *(word(p + at, min(8, SAMPLE - at)) for at in range(0, SAMPLE, 8))]
+        order = np.lexsort(words[::-1])
+        ranks[p] = np.empty(len(order), np.int64)
+        ranks[p][order] = np.cumsum(firsts(*(w[order] for w in words))) - 1
+    masks = np.zeros(len(records), np.uint64)
+    for o, p in enumerate(nearest):
+        rows = fitting(records, o)
+        if len(rows) < 2:
             continue
-        p = -(-o // STEP) * STEP
-        ends = np.zeros((len(rows), 16), np.uint8)  # the bytes before the sample and those after it
-        ends[:, : p - o], ends[:, p - o : LENGTH - SAMPLE] = padded[rows, o:p], padded[rows, p + SAMPLE : o + LENGTH]
-        head = ends.view(">u8").astype(np.uint64)
-        order, rank = ranked(samples[p][rows], head[:, 0], head[:, 1])
-        starts = np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0])
-        least = np.minimum.reduceat(doc[rows][order], starts)
-        masks[rows] |= (doc[rows] > least[rank]).astype(np.uint64) << np.uint64(o)
+        key = ranks[p][rows]
+        for at in (*range(o, p), *range(p + SAMPLE, o + LENGTH)):  # the bytes before the sample and those after it
+            key = key << 8 | padded[rows, at]
+        order = np.argsort(key, kind="stable")
+        new = firsts(key[order])
+        least = np.minimum.reduceat(docs[rows][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        masks[rows[order]] |= (docs[rows][order] > least).astype(np.uint64) << np.uint64(o)
     return masks
 
 
-def _sort(blocks: int):
-    """Masks of the suffixes that an earlier document has, for one group of anchors and one of single suffixes."""
+def _judge(parts: int, wide: int):
+    """Of one group of anchors: which strings an earlier document has. Suffixes of wide anchors, and what units settled, go on."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds, rows = table.column("kind").to_numpy(), []
-        own = table.filter(pa.array(kinds == COMPARED))
-        h, a, d, left, right = _gather(own, "hash", "around", "doc", "left", "right")
-        around = np.frombuffer(b"".join(map(zstandard.decompress, own.column("bytes").to_pylist())), np.uint8).reshape(-1, AROUND)
-        masks = sort_buckets(h, d.view(np.int64), around, left.astype(np.int64), right.astype(np.int64))
-        rows += verdict_rows(MASKED, d[masks > 0].view(np.int64), a[masks > 0], blocks, masks[masks > 0])
-        x, a, d, y, o = _gather(table.filter(pa.array(kinds == SPLIT)), "hash", "around", "doc", "left", "right")
-        if len(x):
-            d = d.view(np.int64)
-            order, rank = ranked(x, y)
-            later = d > np.minimum.reduceat(d[order], np.flatnonzero(firsts(rank[order])))[rank]
-            rows += verdict_rows(MASKED, d[later], a[later], blocks, ONE << o[later])
-        a, d, masks = _gather(table.filter(pa.array(kinds == MASKED)), "around", "doc", "left")
-        rows += verdict_rows(MASKED, d.view(np.int64), a, blocks, masks)
-        return pa.Table.from_batches([_rows(rows, VERDICT_ROWS)])
+        kinds = table.column("kind").to_numpy()
+        passed = table.filter(pa.array(kinds >= SUFFIX))
+        rows = list(zip(*(passed.column(c.split()[0]).to_pylist() for c in ROWS.split(", "))))
+        own = table.filter(pa.array(kinds < SUFFIX))
+        sizes = [len(unpacked(x)) for x in own.column("classes").to_pylist()]
+        marked = np.repeat(own.column("kind").to_numpy() == MARKED, sizes)
+        blocks, classes, docs = gathered(own, "blocks", "classes", "docs")
+        records = gathered_bytes(own, RECORD)
+        words = np.ascontiguousarray(records[:, LEFT : LEFT + GRAM]).view("<u8")
+        order = np.lexsort(words.T)
+        starts = firsts(*words[order].T)
+        shared = np.flatnonzero(per_group(starts, np.ones(len(order), np.int64)) > 1)  # alone under its anchor, a class stays as it is
+        anchors, order = (np.cumsum(starts) - 1)[shared], order[shared]
+        blocks, classes, docs, records, marked = blocks[order], classes[order], docs[order], records[order], marked[order]
+        split_up = per_group(firsts(anchors), marked.astype(np.int64)) > 0
+        anchors, blocks, classes, docs, records, split_up = (x[~marked] for x in (anchors, blocks, classes, docs, records, split_up))
+        if not len(docs):
+            return pa.Table.from_batches([batch_of(rows, ROWS)])
+        same = equal_rows(records)  # equal surroundings have the same anchor
+        least = least_of(same, docs)
+        later = docs > least
+        rows += verdict_rows(blocks, classes, later * WHOLE)
+        order = np.lexsort((docs, same, anchors))
+        one = order[firsts(same[order])]  # a row of the least document per class, in the order of the anchors
+        starts = firsts(anchors[one])
+        count = per_group(starts, np.ones(len(one), np.int64))
+        wide_here = np.zeros(int(anchors.max()) + 1, bool)
+        wide_here[anchors[one][count > wide]] = True
+        wide_here[anchors[split_up]] = True
+        sorted_here = one[(count > 1) & ~wide_here[anchors[one]]]
+        masks = np.zeros(int(same.max()) + 1, np.uint64)
+        masks[same[sorted_here]] = sort_buckets(anchors[sorted_here], docs[sorted_here], records[sorted_here])
+        rows += verdict_rows(blocks[~later], classes[~later], masks[same[~later]])
+        go = ~later & wide_here[anchors]
+        if go.any():
+            rows += suffix_rows(records[go], blocks[go], classes[go], docs[go], parts)
+        return pa.Table.from_batches([batch_of(rows, ROWS)])
 
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, source long, kept string"
-
-
-def removed_bytes(found: Anchors, masks: np.ndarray) -> np.ndarray:
-    """Whether each byte of the joined texts is covered by a removed string."""
-    n = int(found.ends[-1]) if len(found.ends) else 0
-    starts = np.zeros(n + 1, np.int32)
-    for o in range(PLACES):
-        starts[(found.place - LEFT + o)[(masks >> np.uint64(o) & ONE).astype(bool) & (o >= LEFT - found.left) & (o + LENGTH <= LEFT + found.right)]] = 1
-    total = np.cumsum(starts[:n])
-    return total > np.r_[np.zeros(min(LENGTH, n), np.int32), total[: max(0, n - LENGTH)]]
-
-
-def _remove(with_text: bool):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        verdicts, rows, seen = Verdicts(right), [], set()
-        for ids, texts in chunks(*_texts(left)):
-            found = Anchors(texts)
-            gone = removed_bytes(found, verdicts.of(found, ids))
-            for i, s, e, text in zip(ids, found.starts.tolist(), found.ends.tolist(), texts):
-                source = xxhash.xxh64_intdigest(text, 42) if with_text else 0
-                if with_text and (i, source) in seen:
-                    continue
-                seen.add((i, source))
-                own = gone[s:e]
-                count = int(own.sum())
-                kept = np.frombuffer(text, np.uint8)[~own].tobytes() if count else text
-                spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if count else 0
-                rows.append((i, e - s, count, spans, hashlib.sha256(kept).hexdigest(), source - (source >> 63 << 64), kept.decode("utf-8", "ignore") if with_text else None))
-        return pa.Table.from_batches([_rows(rows, RESULT)])
+def _judge_suffixes(table: pa.Table) -> pa.Table:
+    """Of one group of single suffixes of wide anchors: which ones an earlier document has."""
+    blocks, classes, docs, places = gathered(table, "blocks", "classes", "docs", "places")
+    least = least_of(equal_rows(gathered_bytes(table, LENGTH + 6)), docs)
+    masks = np.where(docs > least, ONE << places.astype(np.uint64), np.uint64(0))
+    return pa.Table.from_batches([batch_of(verdict_rows(blocks, classes, masks), ROWS)])
+
+
+def removed_bytes(block: Block, ids: np.ndarray, named: np.ndarray, verdicts: pa.Table) -> np.ndarray:
+    """Whether each byte of a block is covered by a removed string."""
+    gone = np.zeros(block.size, bool)
+    classes, masks = gathered(verdicts, "classes", "places")
+    order = np.argsort(classes, kind="stable")
+    classes, masks = classes[order], masks[order].view(np.uint64)
+    starts = np.flatnonzero(firsts(classes))
+    classes, masks = classes[starts], np.bitwise_or.reduceat(masks, starts) if len(masks) else masks
+    begins = np.zeros(block.size + 1, bool)
+    for places, texts, _, records, own in block.units(named):
+        if not len(own):
+            continue
+        low = int(own.min())
+        mask = np.zeros(int(own.max()) - low + 1, np.uint64)
+        here = (classes >= low) & (classes < low + len(mask))
+        mask[classes[here] - low] = masks[here]
+        mask = mask[own - low]
+        docs = ids[texts]
+        mask[docs > least_of(own - low, docs)] = WHOLE
+        hit = np.flatnonzero(mask)
+        places, mask, records = places[hit], mask[hit], records[hit]
+        for o in range(PLACES):
+            fits = fitting(records, o)
+            begins[(places[fits] - LEFT + o)[(mask[fits] >> np.uint64(o) & ONE).astype(bool)]] = True
+    at = np.flatnonzero(begins[: block.size])
+    for s in range(0, len(at), 100_000):
+        gone[(at[s : s + 100_000, None] + np.arange(LENGTH)).ravel()] = True
+    return gone
+
+
+def _digest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block and its verdicts -> what is removed of each document."""
+    (row,) = left.to_pylist()
+    ids, flags, block = _unpack(row)
+    gone, rows = removed_bytes(block, ids, flags & NAMED > 0, right), []
+    for i, flag, s, e in zip(ids.tolist(), flags.tolist(), block.starts.tolist(), block.ends.tolist()):
+        own, data = gone[s:e], block.bytes[BEFORE + s : BEFORE + e]
+        count = int(own.sum())
+        spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if count else 0
+        rows.append((i if flag & NAMED else None, e - s, count, spans, hashlib.sha256(data[~own] if count else data).hexdigest()))
+    return pa.Table.from_batches([batch_of(rows, DIGESTS)])
+
+
+def _keep(names: list[str]):
+    """A block and its verdicts -> the rows of which something remains or that were empty before, with all their columns."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        ids, flags, block = _unpack(row)
+        gone = removed_bytes(block, ids, flags & NAMED > 0, right)
+        others = iter(pa.ipc.open_stream(row["others"]).read_all().combine_chunks().columns)
+        texts, cut, stays = [], [], []
+        for flag, s, e in zip(flags.tolist(), block.starts.tolist(), block.ends.tolist()):
+            own, data = gone[s:e], block.bytes[BEFORE + s : BEFORE + e]
+            count = int(own.sum())
+            texts.append(None if flag & TEXTLESS else (data[~own] if count else data).tobytes().decode("utf-8", "ignore"))
+            cut.append(count > 0)
+            stays.append(count < e - s or s == e)
+        columns = []
+        for name in names:
+            if name == "text":
+                columns.append(pa.array(texts, pa.string()))
+                continue
+            column = next(others)
+            if name == "n_chars":
+                column = pc.if_else(pa.array(cut), pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(column.type), column)
+            columns.append(column)
+        return pa.Table.from_arrays(columns, names).filter(pa.array(stays))
 
     return run
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of the input, to choose how many blocks there are."""
+    """Catalyst's estimate of the size of the input, to choose how many groups there are."""
     return max(1, min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50))
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, wide: int = WIDE) -> DataFrame:
+def _blocks_and_verdicts(docs: DataFrame, others: list[str], wide: int) -> tuple[DataFrame, DataFrame]:
+    keyed = key_and_text(docs)
+    parts = math.ceil(input_bytes(keyed) / GROUP_BYTES)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[f"`{c}`"] for c in others)).toDF("id", "text", *(f"c{i}" for i in range(len(others))))
+    blocks = checkpoint(rows.mapInArrow(_pack, BLOCKS))  # written once, so a block and its classes are the same for all that follows
+    judged = checkpoint(blocks.mapInArrow(_anchor_rows(parts, wide), ROWS).groupBy("part").applyInArrow(_judge(parts, wide), ROWS))
+    single = judged.filter(f"kind = {SUFFIX}").groupBy("part").applyInArrow(_judge_suffixes, ROWS)
+    verdicts = judged.filter(f"kind = {VERDICT}").unionByName(single)
+    return blocks, verdicts.select(F.col("part").alias("block"), "classes", "places")
+
+
+def remove_repeats(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of documents.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller
-    doc_id. With with_text there is one row per distinct (doc_id, text): kept is the remaining text, source the XXH64 of the whole one. Null and empty texts have no bytes. A row without doc_id is before and after no other: nothing of it
+    doc_id. Null and empty texts have no bytes. A row without doc_id is before and after no other: nothing of it
     goes. Rows that share a doc_id don't match each other. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = key_and_text(docs)
-    size = input_bytes(rows)
-    blocks, parts = math.ceil(size / BLOCK_BYTES), math.ceil(size / GROUP_BYTES)
-    named = rows.filter("doc_id is not null")
-    anchors = named.mapInArrow(_anchor_rows(parts, wide), ANCHOR_ROWS)
-    verdicts = checkpoint(anchors.groupBy("part").applyInArrow(_judge(blocks, wide), VERDICT_ROWS))
-    texts = named.mapInArrow(_pack_texts(blocks), TEXT_ROWS)
-    around = texts.groupBy("block").cogroup(verdicts.filter(f"kind <> {SETTLED}").groupBy("block")).applyInArrow(_fetch(parts), AROUND_ROWS)
-    masks = around.groupBy("part").applyInArrow(_sort(blocks), VERDICT_ROWS)
-    settled = verdicts.filter(f"kind = {SETTLED}").unionByName(masks)
-    done = texts.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(with_text), RESULT)
-    text = F.coalesce("text", F.lit(""))
-    nameless = rows.filter("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), F.xxhash64(text).alias("source"), text.alias("kept"))
-    if with_text:
-        return done.unionByName(nameless.distinct())
-    return done.unionByName(nameless).drop("source", "kept")
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
+    blocks, verdicts = _blocks_and_verdicts(docs, [], wide)
+    return blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_digest, DIGESTS)
+
+
+def without_repeats(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """documents with the remaining text (a character cut in two is dropped) and its length in n_chars, if there's such a column.
 
-    A document of which nothing remains goes; one that was empty before stays.
+    A document of which nothing remains goes; one that was empty before stays, null text stays null. All
+    other columns travel with the text, whatever their names. Repeated rows stay; rows without an id are unchanged; an empty table gives an empty one.
     """
-    done = remove_repeats(docs, with_text=True).filter("n_removed < n_bytes or n_bytes = 0")
-    done = done.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("kept").alias("__kept"), (F.col("n_removed") > 0).alias("__cut"))
-    marked = docs.withColumn("__own", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    empty = F.col("text").isNull()
-    lean = marked.withColumn("text", F.when(empty, F.lit(None)).otherwise(F.lit("")).cast("string"))
-    joined = lean.join(done, lean["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__source")))
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("__kept")), "n_chars": F.when(F.col("__cut"), F.length("__kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return joined.select(*(new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns))
+    blocks, verdicts = _blocks_and_verdicts(docs, [c for c in docs.columns if c != "text"], wide)
+    return blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_keep(docs.columns), docs.schema)

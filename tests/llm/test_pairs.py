@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from docloom.llm import simhash_dedup
+from docloom.llm import simhash_dedup, suffix_dedup
 from docloom.llm.components import connected_components
 from docloom.llm.decontaminate import find_leaks, without_leaks
 from docloom.llm.near_copies import LINK, PAIRS, WORDS, codewords, distance, fingerprint_of, group_links, keep_one, linked, long_fingerprint, near_copies, segments
@@ -214,6 +214,76 @@ def test_repeats(spark, small_docs, edge_docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
+def suffix_steps(rows, parts=3, wide=2000):
+    """The steps of remove_repeats() without Spark: (doc_id, text) -> result rows."""
+
+    def grouped(tables, key):
+        table = pa.Table.from_batches([*tables], suffix_dedup.batch_of([], suffix_dedup.ROWS).schema)
+        for k in dict.fromkeys(table.column(key).to_pylist()):
+            yield table.filter(pa.compute.equal(table.column(key), k))
+
+    docs = pa.table({"id": pa.array([d for d, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    blocks = [*suffix_dedup._pack(iter(docs.to_batches(max_chunksize=4)))]
+    judged = [b for t in grouped(suffix_dedup._anchor_rows(parts, wide)(iter(blocks)), "part") for b in suffix_dedup._judge(parts, wide)(t).to_batches()]
+    of_kind = lambda k: (b.filter(pa.compute.equal(b.column("kind"), k)) for b in judged)
+    verdicts = [*of_kind(suffix_dedup.VERDICT), *(b for t in grouped(of_kind(suffix_dedup.SUFFIX), "part") for b in suffix_dedup._judge_suffixes(t).to_batches())]
+    verdicts = pa.Table.from_batches(verdicts, suffix_dedup.batch_of([], suffix_dedup.ROWS).schema)
+    out = []
+    for block in blocks:
+        own = verdicts.filter(pa.compute.equal(verdicts.column("part"), block.column("block")[0]))
+        out += suffix_dedup._digest((), pa.Table.from_batches([block]), own).to_pylist()
+    return [tuple(r.values()) for r in out]
+
+
+class FirstTask:
+    @staticmethod
+    def get():
+        return FirstTask
+
+    @staticmethod
+    def partitionId():  # noqa: N802
+        return 0
+
+
+@pytest.mark.parametrize("weak", [False, True])
+@pytest.mark.parametrize(("stretch", "unit", "block", "wide"), [(1 << 19, 250_000, 4 << 20, 2000), (64, 40, 700, 2000), (64, 1, 300, 3), (97, 10, 1, 1)])
+def test_repeats_by_steps(monkeypatch, weak, stretch, unit, block, wide):
+    """Units, blocks and groups of any size give what brute force gives, also where nearly all hashes are equal."""
+    monkeypatch.setattr(suffix_dedup, "TaskContext", FirstTask)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    monkeypatch.setattr(suffix_dedup, "UNIT_ANCHORS", unit)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    if weak:
+        monkeypatch.setattr(suffix_dedup, "mixed", lambda x, word: (x ^ word) & np.uint64(3))
+    rows = odd_repeats()
+    assert Counter(suffix_steps(rows, wide=wide)) == Counter(brute_repeats([(d, (t or "").encode()) for d, t in rows]))
+
+
+def test_colliding_surroundings():
+    """Records whose hashes are equal are told apart by their bytes; what shares a suffix only is cut, not the whole."""
+    mixed = suffix_dedup.mixed
+    a = np.frombuffer(b"0123456789abcdef" + b"x" * 72, "<u8").copy()
+    b = a.copy()
+    b[0] ^= np.uint64(0x0101)
+    zero = np.zeros(1, np.uint64)
+    b[1] = a[1] ^ (mixed(zero, a[:1]) ^ mixed(zero, b[:1]))[0]  # two neighbouring words cancel
+    records = np.array([a, b, a, b]).view(np.uint8)
+    assert (a != b).sum() == 2 and suffix_dedup.equal_rows(records).tolist() in ([0, 1, 0, 1], [1, 0, 1, 0])
+
+
+def test_long_repeats(spark):
+    """Texts of several megabytes, one of them beyond a block, with shared stretches at odd places."""
+    rng = np.random.default_rng(6)
+    first = rng.integers(97, 123, 5_000_000, np.uint8).tobytes()
+    other = rng.integers(97, 123, 2_000_000, np.uint8).tobytes()
+    second = other[:700_001] + first[4_300_000:4_300_049] + other[700_001:1_000_000] + first[524_250:1_200_007] + other[1_000_000:] + first[-50:]
+    run = "z" * 300_000
+    made = spark.createDataFrame([(2, second.decode()), (1, first.decode()), (3, run), (4, run + "y")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in remove_repeats(made).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 1_200_007 - 524_250 + 50, 0, 300_000]
+    assert got[2]["n_spans"] == 2 and got[2]["kept_sha256"] == hashlib.sha256(other[:700_001] + first[4_300_000:4_300_049] + other[700_001:]).hexdigest()
+
+
 def test_repeats_taken_out(small_docs, edge_docs):
     for docs in (small_docs, edge_docs):
         kept = without_repeats(docs)
