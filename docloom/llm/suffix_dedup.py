@@ -1,22 +1,24 @@
 """Exact removal of byte strings that also start in an earlier document, by blockwise suffix sorting.
 
 Every string of LENGTH bytes is a suffix cut off at that depth. Its bucket is the word of GRAM bytes in it
-whose hash is least (its anchor) with the anchor's place in it, so equal strings always share a bucket, and
-anchors are one position in eighteen. Hashes only choose anchors and deal rows; whatever is called equal
+whose hash is least (its anchor, the first one if it repeats) with the anchor's place in it, so equal strings always share a bucket.
+Neighbouring strings mostly have one anchor in common: a record holds an anchor with the bytes of all its strings, one
+record for about eighteen positions. Hashes only choose anchors and deal rows; whatever is called equal
 has been compared byte by byte. The steps:
 
 1. Blocks: documents are packed into compressed blocks, with all their columns, and written once.
-2. Anchors: per unit (a stretch of a block) equal surroundings of anchors form a class. All strings around
-   an occurrence go if its document isn't the least of the class; one occurrence of the least goes on,
-   with its bytes, to the group of its anchor.
-3. Buckets: groups join equal surroundings in the same way. Where an anchor has several surroundings, its
+2. Look-up: blocks send 32 bits per anchor; the groups answer with one bit, whether another one has the same.
+   A record whose anchor nobody else has needs no more than that.
+3. Anchors: per unit (a stretch of a block) equal records form a class. All strings of a record go if its
+   document isn't the least of the class; one of the least goes on, with its bytes, to the group of its anchor.
+4. Buckets: groups join equal records in the same way. Where an anchor has several, its
    suffix buckets are sorted one at a time. The ranks of a difference cover's samples are computed
    once per group; every suffix meets a sample within three bytes, so a rank and three more bytes order a
    bucket however long its ties are. Suffixes in a run of equals that don't come from its least document go.
-4. Removal: each block gets the verdicts on its classes and drops the covered bytes.
+5. Removal: each block gets the verdicts on its classes and drops the covered bytes.
 
-Nothing that many documents share is gathered as a whole: units and tasks settle equal surroundings among
-their own documents and send one of each. An anchor with more than WIDE surroundings (the edge of a passage
+Nothing that many documents share is gathered as a whole: units and tasks settle equal records among
+their own documents and send one of each. An anchor with more than WIDE records (the edge of a passage
 that a large part of the corpus holds) isn't one bucket group: its suffixes go one by one, with their bytes, to
 groups by their hash, again after each unit has settled its own.
 """
@@ -41,13 +43,14 @@ LENGTH, GRAM = 50, 16
 PLACES = LENGTH - GRAM + 1
 LEFT = PLACES - 1
 AROUND = LEFT + LENGTH
-#: A record: the surroundings of an anchor (zero outside its text), how many of them lie before and from the anchor on, and zeros.
+#: A record: the bytes around an anchor (zero outside its strings), how many of them lie before and from the anchor on, and zeros.
 RECORD = AROUND + 4
 #: The difference cover {0, 1, 3} modulo 7, in which any two places have a common distance; its greatest gap.
 COVER, PERIOD, GAP = (0, 1, 3), 7, 3
 SAMPLE = LENGTH - GAP
-#: Bytes of input per block and per group of anchors; places looked at in one go; anchors after which a unit ends.
-BLOCK_BYTES, GROUP_BYTES, STRETCH, UNIT_ANCHORS = 4 << 20, 4 << 20, 1 << 19, 250_000
+#: Bytes of input per block, per group of records and per group of the look-up; strings looked at in one go (their places take PLACE_BITS); anchors after which a unit ends.
+BLOCK_BYTES, GROUP_BYTES, LOOKUP_BYTES, STRETCH, UNIT_ANCHORS = 4 << 20, 4 << 20, 16 << 20, 1 << 19, 250_000
+PLACE_BITS = np.uint64(20)
 WIDE = 2000
 #: Kinds of rows: classes for their anchor's group, anchors that are wide, single suffixes, verdicts.
 GROUPED, MARKED, SUFFIX, VERDICT = range(4)
@@ -59,6 +62,8 @@ BEFORE, AFTER = 64, 128
 BLOCKS = "block long, ids binary, flags binary, lengths binary, bytes binary, others binary"
 #: Bits of a row's flags.
 NAMED, TEXTLESS = 1, 2
+LOOKUPS = "part long, block long, hashes binary"
+ANSWERS = "block long, part long, shared binary"
 ROWS = "part long, kind int, blocks binary, classes binary, docs binary, bytes binary, places binary"
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -133,50 +138,52 @@ class Block:
         self.bytes = np.frombuffer(self.padded, np.uint8)
         self.words = np.ndarray((self.size + BEFORE + AFTER - 8,), "<u8", self.padded, 0, (1,))  # the eight bytes from each place on; place p is at p + BEFORE
 
-    def anchors(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in [start, end) that are anchors of a string of LENGTH bytes, their text numbers and hashes."""
-        a, b = max(0, start - LEFT), min(self.size, end + LEFT)  # the words of all strings around these places
-        h = mixed(self.words[BEFORE + a : BEFORE + b] * MIX2, self.words[BEFORE + 8 + a : BEFORE + 8 + b])
-        h = (h * MIX2) ^ (h >> np.uint64(32)) | ONE
-        first, last = np.searchsorted(self.ends, [a, b - 1], side="right") if b > a else (0, -1)
-        reach = np.minimum(self.ends[first : last + 1], b) - np.maximum(self.starts[first : last + 1], a)
-        owner = np.repeat(np.arange(first, last + 1), reach)
-        if b - a < PLACES:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-        least = slide(h, PLACES, np.minimum)
-        whole = a + np.arange(len(least)) + LENGTH <= self.ends[owner[: len(least)]]
-        least = np.r_[np.zeros(LEFT, np.uint64), np.where(whole, least, 0), np.zeros(LEFT, np.uint64)]
-        found = np.flatnonzero(slide(least, PLACES, np.maximum)[: b - a] == h)
-        found = found[(found >= start - a) & (found < end - a)]
-        return found + a, owner[found], h[found]
-
-    def records(self, places: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    def anchors(self, start: int, end: int) -> tuple[np.ndarray, ...]:
+        """For the strings that start in [start, end): places of their anchors, text numbers, hashes, and where the first string of each starts and the last one ends."""
+        b = min(self.size, end + LEFT)
+        if b - start < PLACES:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
+        h = mixed(self.words[BEFORE + start : BEFORE + b] * MIX2, self.words[BEFORE + 8 + start : BEFORE + 8 + b])
+        h = (h * MIX2) ^ (h >> np.uint64(32))
+        least = slide(h >> PLACE_BITS << PLACE_BITS | np.arange(len(h), dtype=np.uint64), PLACES, np.minimum)
+        first, last = np.searchsorted(self.ends, [start, b - 1], side="right")
+        reach = np.minimum(self.ends[first : last + 1], b) - np.maximum(self.starts[first : last + 1], start)
+        owner = np.repeat(np.arange(first, last + 1), reach)[: len(least)]
+        at = np.flatnonzero(start + np.arange(len(least)) + LENGTH <= self.ends[owner])
+        place = (least[at] & ((ONE << PLACE_BITS) - ONE)).astype(np.int64)
+        begins = np.flatnonzero(firsts(place) | firsts(at - np.arange(len(at))))
+        stops = np.r_[begins[1:], len(at)] - 1 if len(at) else begins
+        return place[begins] + start, owner[at[begins]], h[place[begins]], at[begins] + start, at[stops] + start + LENGTH
+
+    def records(self, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         out = np.zeros((len(places), RECORD), np.uint8)
-        out[:, :AROUND] = self.bytes[(places + (BEFORE - LEFT))[:, None] + np.arange(AROUND)]
-        left, right = np.minimum(LEFT, places - self.starts[texts]), np.minimum(LENGTH, self.ends[texts] - places)
-        cut = np.flatnonzero((left < LEFT) | (right < LENGTH))
-        steps = np.arange(AROUND) - LEFT
-        out[cut, :AROUND] *= (steps >= -left[cut][:, None]) & (steps < right[cut][:, None])
+        around, left, right = out[:, :AROUND], places - low, high - places
+        around[:] = self.bytes[(places + (BEFORE - LEFT))[:, None] + np.arange(AROUND, dtype=np.int32)]
+        steps = np.arange(AROUND, dtype=np.int8) - np.int8(LEFT)
+        around *= (steps >= -left.astype(np.int8)[:, None]) & (steps < right.astype(np.int8)[:, None])
         out[:, AROUND], out[:, AROUND + 1] = left, right
         return out
 
     def units(self, named: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """Places, text numbers, hashes, records and classes of the anchors of documents that have an id, unit by unit. Classes count on through the block."""
+        """What anchors() gives for documents that have an id, unit by unit."""
         held: list[tuple] = []
-        before = count = 0
         for start in range(0, self.size, STRETCH):
             end = min(self.size, start + STRETCH)
-            places, texts, h = self.anchors(start, end)
-            own = named[texts]
-            places, texts, h = places[own], texts[own], h[own]
-            held.append((places, texts, h, self.records(places, texts)))
-            count += len(places)
-            if count >= UNIT_ANCHORS or end == self.size:
-                places, texts, h, records = (np.concatenate(c) for c in zip(*held))
-                held, count = [], 0
-                classes = equal_rows(records)
-                yield places, texts, h, records, classes + before
-                before += int(classes.max(initial=-1)) + 1
+            found = self.anchors(start, end)
+            own = named[found[1]]
+            held.append(tuple(c[own] for c in found))
+            if end == self.size or sum(len(c[0]) for c in held) >= UNIT_ANCHORS:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held = []
+
+    def classes(self, named: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Places, text numbers, hashes, records and classes of the anchors, unit by unit. Classes count on through the block."""
+        before = 0
+        for places, texts, h, low, high in self.units(named):
+            records = self.records(places, low, high)
+            classes = equal_rows(records)
+            yield places, texts, h, records, classes + before
+            before += int(classes.max(initial=-1)) + 1
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -220,7 +227,7 @@ def verdict_rows(blocks: np.ndarray, classes: np.ndarray, masks: np.ndarray) ->
 
 
 def fitting(records: np.ndarray, o: int) -> np.ndarray:
-    """Rows whose text holds the whole string at place o of the surroundings."""
+    """Rows that hold the string at place o of their bytes."""
     return np.flatnonzero((o >= LEFT - records[:, AROUND].astype(int)) & (o + LENGTH <= LEFT + records[:, AROUND + 1].astype(int)))
 
 
@@ -281,33 +288,75 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, Block]:
     return unpacked(row["ids"]), unpacked(row["flags"]), Block(unpacked(row["lengths"]), zstandard.decompress(row["bytes"]))
 
 
-def _anchor_rows(parts: int, wide: int):
-    """Blocks -> the classes of their units, dealt by their anchors; those of wide anchors suffix by suffix."""
+def lookup_keys(h: np.ndarray, parts: int) -> np.ndarray:
+    """Group and 32 bits of each distinct hash of a unit, in one number."""
+    return np.unique((h % np.uint64(parts)) << np.uint64(32) | h >> np.uint64(32))
 
+
+def block_keys(block: Block, named: np.ndarray, parts: int) -> np.ndarray:
+    """The keys of all units of a block, sorted; a key of several units is repeated."""
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(lookup_keys(h, parts) for _, _, h, _, _ in block.units(named))]))
+
+
+def _look_up(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (row,) = batch.slice(i, 1).to_pylist()
-                ids, flags, block = _unpack(row)
-                for _, texts, h, records, classes in block.units(flags & NAMED > 0):
-                    docs = ids[texts]
-                    order = np.lexsort((docs, classes))
-                    one = order[firsts(classes[order])]  # an occurrence in the least document of each class
-                    one = one[np.argsort(h[one], kind="stable")]
-                    h, records, classes, docs = h[one], records[one], classes[one], docs[one]
-                    starts = firsts(h)
-                    many = per_group(starts, np.ones(len(h), np.int64)) > wide
-                    rows = suffix_rows(records[many], np.full(int(many.sum()), row["block"]), classes[many], docs[many], parts) if many.any() else []
-                    for kind, which in ((GROUPED, ~many), (MARKED, many & starts)):
-                        for part, c, d, x in split((h[which] % np.uint64(parts)).astype(np.int64), classes[which], docs[which], records[which]):
-                            rows.append((part, kind, packed(np.full(len(c), row["block"])), packed(c), packed(d), zstandard.compress(x.tobytes(), 1), None))
-                    yield batch_of(rows, ROWS)
+                _, flags, block = _unpack(row)
+                keys = block_keys(block, flags & NAMED > 0, parts)
+                yield batch_of([(part, row["block"], packed(np.diff(low, prepend=np.uint64(0)))) for part, low in split((keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF))], LOOKUPS)
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Per row one bit for each of its keys: whether the group has it more than once."""
+    sent = [np.cumsum(unpacked(x)) for x in table.column("hashes").to_pylist()]
+    _, at, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+    shared = np.split(counts[at] > 1, np.cumsum([*map(len, sent)])[:-1])
+    rows = [(block, part, zstandard.compress(np.packbits(x).tobytes(), 1)) for block, part, x in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), shared)]
+    return pa.Table.from_batches([batch_of(rows, ANSWERS)])
+
+
+def _record_rows(lookup_parts: int, parts: int, wide: int):
+    """A block and the answers it got -> the classes of its units whose anchors others have, dealt by their anchors; those of wide anchors suffix by suffix."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = left.to_pylist()
+        ids, flags, block = _unpack(row)
+        named = flags & NAMED > 0
+        keys = block_keys(block, named, lookup_parts)
+        answers = dict(zip(right.column("part").to_pylist(), right.column("shared").to_pylist()))
+        known = [keys[:0]]
+        for part, own in split((keys >> np.uint64(32)).astype(np.int64), keys):
+            bits = np.unpackbits(np.frombuffer(zstandard.decompress(answers[part]), np.uint8), count=len(own))
+            known.append(own[bits > 0])
+        shared = np.concatenate(known)
+        rows = []
+        for _, texts, h, records, classes in block.classes(named):
+            docs = ids[texts]
+            order = np.lexsort((docs, classes))
+            one = order[firsts(classes[order])]  # an occurrence in the least document of each class
+            one = one[np.argsort(h[one], kind="stable")]
+            count = per_group(firsts(h[one]), np.ones(len(one), np.int64))
+            own_keys = (h[one] % np.uint64(lookup_parts)) << np.uint64(32) | h[one] >> np.uint64(32)
+            one = one[(count > 1) | np.isin(own_keys, shared)]
+            h, records, classes, docs = h[one], records[one], classes[one], docs[one]
+            starts = firsts(h)
+            many = per_group(starts, np.ones(len(h), np.int64)) > wide
+            if many.any():
+                rows += suffix_rows(records[many], np.full(int(many.sum()), row["block"]), classes[many], docs[many], parts)
+            for kind, which in ((GROUPED, ~many), (MARKED, many & starts)):
+                for part, c, d, x in split((h[which] % np.uint64(parts)).astype(np.int64), classes[which], docs[which], records[which]):
+                    rows.append((part, kind, packed(np.full(len(c), row["block"])), packed(c), packed(d), zstandard.compress(x.tobytes(), 3), None))
+        return pa.Table.from_batches([batch_of(rows, ROWS)])
 
     return run
 
 
 def sort_buckets(anchors: np.ndarray, docs: np.ndarray, records: np.ndarray) -> np.ndarray:
-    """Mask per row of the places whose suffix also comes from an earlier document. anchors: numbers of the anchors, docs: ids, records: distinct under their anchor."""
+    """Mask per row of the places whose suffix also comes from an earlier document. anchors: their numbers, docs: ids, records: distinct ones."""
     padded = np.zeros((len(records), RECORD + 8), np.uint8)
     padded[:, :RECORD] = records
 
@@ -341,8 +390,7 @@ def _judge(parts: int, wide: int):
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
-        passed = table.filter(pa.array(kinds >= SUFFIX))
-        rows = list(zip(*(passed.column(c.split()[0]).to_pylist() for c in ROWS.split(", "))))
+        rows = passed_on(table.filter(pa.array(kinds >= SUFFIX)))
         own = table.filter(pa.array(kinds < SUFFIX))
         sizes = [len(unpacked(x)) for x in own.column("classes").to_pylist()]
         marked = np.repeat(own.column("kind").to_numpy() == MARKED, sizes)
@@ -358,7 +406,7 @@ def _judge(parts: int, wide: int):
         anchors, blocks, classes, docs, records, split_up = (x[~marked] for x in (anchors, blocks, classes, docs, records, split_up))
         if not len(docs):
             return pa.Table.from_batches([batch_of(rows, ROWS)])
-        same = equal_rows(records)  # equal surroundings have the same anchor
+        same = equal_rows(records)  # equal records have the same anchor
         least = least_of(same, docs)
         later = docs > least
         rows += verdict_rows(blocks, classes, later * WHOLE)
@@ -381,12 +429,20 @@ def _judge(parts: int, wide: int):
     return run
 
 
+def passed_on(table: pa.Table) -> list[tuple]:
+    return list(zip(*(table.column(c.split()[0]).to_pylist() for c in ROWS.split(", "))))
+
+
 def _judge_suffixes(table: pa.Table) -> pa.Table:
-    """Of one group of single suffixes of wide anchors: which ones an earlier document has."""
-    blocks, classes, docs, places = gathered(table, "blocks", "classes", "docs", "places")
-    least = least_of(equal_rows(gathered_bytes(table, LENGTH + 6)), docs)
-    masks = np.where(docs > least, ONE << places.astype(np.uint64), np.uint64(0))
-    return pa.Table.from_batches([batch_of(verdict_rows(blocks, classes, masks), ROWS)])
+    """Of one group of single suffixes of wide anchors: which ones an earlier document has. Verdicts go on."""
+    kinds = table.column("kind").to_numpy()
+    rows = passed_on(table.filter(pa.array(kinds == VERDICT)))
+    own = table.filter(pa.array(kinds == SUFFIX))
+    if own.num_rows:
+        blocks, classes, docs, places = gathered(own, "blocks", "classes", "docs", "places")
+        least = least_of(equal_rows(gathered_bytes(own, LENGTH + 6)), docs)
+        rows += verdict_rows(blocks, classes, np.where(docs > least, ONE << places.astype(np.uint64), np.uint64(0)))
+    return pa.Table.from_batches([batch_of(rows, ROWS)])
 
 
 def removed_bytes(block: Block, ids: np.ndarray, named: np.ndarray, verdicts: pa.Table) -> np.ndarray:
@@ -398,7 +454,7 @@ def removed_bytes(block: Block, ids: np.ndarray, named: np.ndarray, verdicts: pa
     starts = np.flatnonzero(firsts(classes))
     classes, masks = classes[starts], np.bitwise_or.reduceat(masks, starts) if len(masks) else masks
     begins = np.zeros(block.size + 1, bool)
-    for places, texts, _, records, own in block.units(named):
+    for places, texts, _, records, own in block.classes(named):
         if not len(own):
             continue
         low = int(own.min())
@@ -467,13 +523,14 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def _blocks_and_verdicts(docs: DataFrame, others: list[str], wide: int) -> tuple[DataFrame, DataFrame]:
-    keyed = key_and_text(docs)
-    parts = math.ceil(input_bytes(keyed) / GROUP_BYTES)
+    """Blocks (block, ...) and verdicts (block, classes, places). Within one query the blocks are shuffled once."""
+    size = input_bytes(key_and_text(docs))
+    lookup_parts, parts = math.ceil(size / LOOKUP_BYTES), math.ceil(size / GROUP_BYTES)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[f"`{c}`"] for c in others)).toDF("id", "text", *(f"c{i}" for i in range(len(others))))
     blocks = checkpoint(rows.mapInArrow(_pack, BLOCKS))  # written once, so a block and its classes are the same for all that follows
-    judged = checkpoint(blocks.mapInArrow(_anchor_rows(parts, wide), ROWS).groupBy("part").applyInArrow(_judge(parts, wide), ROWS))
-    single = judged.filter(f"kind = {SUFFIX}").groupBy("part").applyInArrow(_judge_suffixes, ROWS)
-    verdicts = judged.filter(f"kind = {VERDICT}").unionByName(single)
+    answers = blocks.mapInArrow(_look_up(lookup_parts), LOOKUPS).groupBy("part").applyInArrow(_answer, ANSWERS)
+    records = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_record_rows(lookup_parts, parts, wide), ROWS)
+    verdicts = records.groupBy("part").applyInArrow(_judge(parts, wide), ROWS).groupBy("part").applyInArrow(_judge_suffixes, ROWS)
     return blocks, verdicts.select(F.col("part").alias("block"), "classes", "places")
 
 

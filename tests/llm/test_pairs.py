@@ -216,23 +216,25 @@ def test_repeats(spark, small_docs, edge_docs, no_docs):
 
 def suffix_steps(rows, parts=3, wide=2000):
     """The steps of remove_repeats() without Spark: (doc_id, text) -> result rows."""
+    dedup = suffix_dedup
 
-    def grouped(tables, key):
-        table = pa.Table.from_batches([*tables], suffix_dedup.batch_of([], suffix_dedup.ROWS).schema)
-        for k in dict.fromkeys(table.column(key).to_pylist()):
-            yield table.filter(pa.compute.equal(table.column(key), k))
+    def grouped(tables, schema, key):
+        table = pa.Table.from_batches([b for t in tables for b in t.to_batches()], dedup.batch_of([], schema).schema)
+        return {k: table.filter(pa.compute.equal(table.column(key), k)) for k in dict.fromkeys(table.column(key).to_pylist())}
+
+    def table_of(batches):
+        return [pa.Table.from_batches([b]) for b in batches]
 
     docs = pa.table({"id": pa.array([d for d, _ in rows], pa.int64()), "text": [t for _, t in rows]})
-    blocks = [*suffix_dedup._pack(iter(docs.to_batches(max_chunksize=4)))]
-    judged = [b for t in grouped(suffix_dedup._anchor_rows(parts, wide)(iter(blocks)), "part") for b in suffix_dedup._judge(parts, wide)(t).to_batches()]
-    of_kind = lambda k: (b.filter(pa.compute.equal(b.column("kind"), k)) for b in judged)
-    verdicts = [*of_kind(suffix_dedup.VERDICT), *(b for t in grouped(of_kind(suffix_dedup.SUFFIX), "part") for b in suffix_dedup._judge_suffixes(t).to_batches())]
-    verdicts = pa.Table.from_batches(verdicts, suffix_dedup.batch_of([], suffix_dedup.ROWS).schema)
-    out = []
-    for block in blocks:
-        own = verdicts.filter(pa.compute.equal(verdicts.column("part"), block.column("block")[0]))
-        out += suffix_dedup._digest((), pa.Table.from_batches([block]), own).to_pylist()
-    return [tuple(r.values()) for r in out]
+    blocks = table_of(dedup._pack(iter(docs.to_batches(max_chunksize=4))))
+    look_ups = table_of(dedup._look_up(2)(b for t in blocks for b in t.to_batches()))
+    answers = grouped(map(dedup._answer, grouped(look_ups, dedup.LOOKUPS, "part").values()), dedup.ANSWERS, "block")
+    nothing = lambda schema: pa.Table.from_batches([dedup.batch_of([], schema)])
+    id_of = lambda t: t.column("block")[0].as_py()
+    records = [dedup._record_rows(2, parts, wide)((), b, answers.get(id_of(b), nothing(dedup.ANSWERS))) for b in blocks]
+    judged = map(dedup._judge(parts, wide), grouped(records, dedup.ROWS, "part").values())
+    verdicts = grouped(map(dedup._judge_suffixes, grouped(judged, dedup.ROWS, "part").values()), dedup.ROWS, "part")
+    return [tuple(r.values()) for b in blocks for r in dedup._digest((), b, verdicts.get(id_of(b), nothing(dedup.ROWS))).to_pylist()]
 
 
 class FirstTask:
