@@ -1,8 +1,8 @@
 """Connected components of an edge table, on DataFrames: alternating large and small stars.
 
 Every round points vertices at smaller ones of their component until only stars are left. Minima are
-aggregated before they are joined back, so the centre of a large star is never gathered in one task;
-each round is cut off by a reliable checkpoint.
+aggregated before they are joined back, and the join splits the edges of a hub over several tasks;
+each half round is cut off by a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, spread_join
 
 
-def _star(pairs: DataFrame, small: bool) -> DataFrame:
-    """pairs (u, v), each edge from the sides the star looks at; the result points at the least vertex around u."""
+def _star(pairs: DataFrame, small: bool, rows: int) -> DataFrame:
+    """pairs (u, v), each edge from the sides the star looks at; the result points at the least vertex around u. rows: about how many there are."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = pairs.join(least, "u")
+    moved = spread_join(pairs, least, "u", rows=rows)
     if small:
         edges = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = checkpoint(_star(_star(both, small=False), small=True))
+        half = checkpoint(_star(both, small=False, rows=2 * state[0]))
+        edges = checkpoint(_star(half, small=True, rows=2 * state[0]))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, key_and_text, text_groups
+from docloom.llm.common import checkpoint, key_and_text, spread_join, text_groups
 from docloom.llm.components import connected_components
 
 #: The Golay generator polynomial, the segments (lowest bit, bits), the seed of the hash.
@@ -210,5 +210,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     roots = connected_components(fingerprint_links(distinct)).select(F.col("vertex").alias("fp"), "root")
     placed = checkpoint(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = spread_join(placed, least, "root").select("fp", "component_id")
+    return spread_join(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
