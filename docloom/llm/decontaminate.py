@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint
+from docloom.llm.common import checkpoint, drop_rows, text_row
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: (lowest bit, bits) of the blocks, the errors a block may have, and the radius these guarantee.
@@ -80,7 +80,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     items = with_fingerprint(items, "shingles", "item_fp")
     entries = items.select("item", "m", F.explode(F.array_distinct("shingles")).alias("h"))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"), F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_row(F.col("text")).alias("row"), F.col("text"))
     hits = texts.select("doc_id", "row", shingles_of(words_of(F.col("text"))).alias("s"))
     hits = hits.select("doc_id", "row", F.size("s").alias("n"), F.posexplode_outer("s").alias("p", "h")).join(bounded(entries), "h")
     # What the windows and the item share is at most the hits in the window, so a similar window has `need` of them, and starts where the first and last of `need` hits in a row are in it.
@@ -116,6 +116,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__row"))
-    return docs.join(leaks, same, "left_anti")
+    return drop_rows(docs, find_leaks(docs, benchmark).select("doc_id", "row").distinct())

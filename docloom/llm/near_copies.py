@@ -4,14 +4,19 @@ Texts that share four fifths of their five-word shingles differ in about 15 % of
 for one short fingerprint. So WORDS x 64 bits are taken from the distinct shingles and cut into
 23-bit segments; each of PAIRS first segments is paired with SECONDS others. Two words at most two bits apart always share one of their one to six nearby Golay codewords, and
 often so when they are further apart; a pair of documents meets if both segments of any pair do. Met
-pairs at LINK bits or fewer are candidates only: the distinct shingle hashes of both texts are fetched
+pairs at LINK bits or fewer whose sets have sizes that allow SIMILARITY are candidates only: the distinct shingle hashes of both texts are fetched
 and a pair links if it shares SIMILARITY of them, counted exactly.
 
 Documents are dealt by the codeword of a pair's first segment, with the whole fingerprint; the second
-segment's codewords are made where they are needed. Groups arrive as a sorted stream. The first round
+segment's codewords are made where they are needed. Groups arrive as a sorted stream. A first segment's
+codeword that more than a given number of documents have isn't one group: its members are dealt by the second segments'
+codewords too. The first round
 verifies a spanning forest of each group's candidates, so a large cluster costs little more than its
 size. Where that leaves candidates in different components, a second round verifies every candidate
 pair between those components.
+
+Documents with the same set of shingles are one vertex, named by 128 bits of a hash of the set and
+numbered afterwards.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, key_and_text, text_groups
+from docloom.llm.common import checkpoint, drop_rows, key_and_text, spread_join, text_groups, text_row
 from docloom.llm.components import connected_components
 from docloom.llm.simhash_dedup import BLOCK, GROUP_BYTES, SEED, forest, nearby_errors, syndrome
 
@@ -38,6 +43,8 @@ SECONDS = 6
 LINK = 160
 SHINGLE = 5
 SIMILARITY = (4, 5)
+#: Members of a group that a task holds, at the most, before the group is dealt by second codewords.
+IN_TASK = 500_000
 #: Groups up to this size are compared pair by pair in one go.
 SMALL = 32
 BYTES = WORDS * 8
@@ -78,10 +85,9 @@ def long_fingerprint(text: str, shingle: int = SHINGLE) -> bytes:
     return fingerprint_of(np.unique(shingle_hashes(text, shingle)))
 
 
-def set_vertex(hashes: np.ndarray) -> int:
-    """The name of a set of shingles, sorted and distinct: texts with the same set are one vertex."""
-    x = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-    return x - (x >> 63 << 64)
+def set_name(hashes: np.ndarray) -> bytes:
+    """The name of a set of shingles, sorted and distinct."""
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
 
 
 def segments(fps: np.ndarray) -> np.ndarray:
@@ -97,26 +103,49 @@ def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(there)[0], ((words[:, None] ^ errors) >> 11)[there]
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, ...) -> one row per pair of segments and nearby codeword of the pair's first segment, with all columns."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2000):
-            piece = batch.slice(start, 2000)
-            cut = segments(np.frombuffer(b"".join(piece.column(0).to_pylist()), np.uint8).reshape(-1, BYTES))
-            groups, owners = [], []
-            for i in range(PAIRS):
-                owner, index = codewords(cut[:, 2 * i])
-                groups.append(i << 12 | index)
-                owners.append(owner)
-            at = pa.array(np.concatenate(owners))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), *(c.take(at) for c in piece.columns)], ["part", *piece.schema.names])
-
-
-def seconds(part: int, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def group_key(part: np.ndarray, k: int = -1, second: np.ndarray | int = 0) -> np.ndarray:
+    """The key of a group: the first segment with its codeword, and for wide groups the number of the second one with its codeword."""
+    return part << 16 | (k + 1) << 12 | second
+
+
+def second_of(part: int, k: int) -> int:
+    """The segment that is paired k-th with the first segment of a part."""
+    return 2 * (((part >> 12) + k) % PAIRS) + 1
+
+
+def _deal(wide: frozenset[int] = frozenset()):
+    """Rows (fp, ...) -> one row per group: first segments with every nearby codeword, with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                piece = batch.slice(start, 2000)
+                cut = segments(np.frombuffer(b"".join(piece.column(0).to_pylist()), np.uint8).reshape(-1, BYTES))
+                keys, owners = [], []
+                for i in range(PAIRS):
+                    owner, index = codewords(cut[:, 2 * i])
+                    part = i << 12 | index
+                    split_up = np.isin(part, [*wide])
+                    keys.append(group_key(part[~split_up]))
+                    owners.append(owner[~split_up])
+                    for k in range(SECONDS if split_up.any() else 0):
+                        at, second = codewords(cut[owner[split_up], second_of(i << 12, k)])
+                        keys.append(group_key(part[split_up][at], k, second))
+                        owners.append(owner[split_up][at])
+                at = pa.array(np.concatenate(owners))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(c.take(at) for c in piece.columns)], ["key", *piece.schema.names])
+
+    return run
+
+
+def seconds(key: int, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per second segment of a group's first one: members (rows of 64-bit words) and nearby codewords, in the order of the codewords."""
+    if key >> 12 & 15:  # a part of a wide group: all members have the codeword
+        yield np.arange(len(fps)), np.zeros(len(fps), np.int64)
+        return
     cut = segments(fps.view(np.uint8).reshape(-1, BYTES))
     for k in range(SECONDS):
-        owner, index = codewords(cut[:, 2 * (((part >> 12) + k) % PAIRS) + 1])
+        owner, index = codewords(cut[:, second_of(key >> 16, k)])
         order = np.argsort(index, kind="stable")
         yield owner[order], index[order]
 
@@ -125,44 +154,54 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of a group's links: what a component has reached isn't compared again."""
+def near(fps: np.ndarray, sizes: np.ndarray, a, b) -> np.ndarray:
+    """Whether members a and b are candidates: sets whose sizes allow SIMILARITY, LINK bits or fewer apart."""
+    top, bottom = SIMILARITY
+    out = np.minimum(sizes[a], sizes[b]) * bottom >= np.maximum(sizes[a], sizes[b]) * top
+    at = np.flatnonzero(out)
+    pick = lambda x: x if np.ndim(x) == 0 else x[at]
+    out[at] = distance(fps[pick(a)], fps[pick(b)]) <= LINK
+    return out
+
+
+def linked(fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a group's candidates: what a component has reached isn't compared again."""
     rest, out = np.arange(len(fps)), ([], [])
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             u = frontier.pop()
-            near = distance(fps[u], fps[rest]) <= LINK
-            found, rest = rest[near], rest[~near]
+            hit = near(fps, sizes, u, rest)
+            found, rest = rest[hit], rest[~hit]
             out[0].extend([u] * len(found))
             out[1].extend(found.tolist())
             frontier.extend(found.tolist())
     return np.array(out[0], np.int64), np.array(out[1], np.int64)
 
 
-def group_links(part: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def group_links(key: int, fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidates among the members (rows of 64-bit words) of a group, by the codewords of the second segments: a forest of them."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for owner, index in seconds(part, fps):
+    for owner, index in seconds(key, fps):
         starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-        sizes = np.diff(np.r_[starts, len(index)])
-        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        counts = np.diff(np.r_[starts, len(index)])
+        for s, n in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
             members = owner[s : s + n]
-            a, b = linked(fps[members])
+            a, b = linked(fps[members], sizes[members])
             found.append((members[a], members[b]))
-        few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+        few = np.repeat((counts > 1) & (counts <= SMALL), counts)
         owner, index = owner[few], index[few]
-        for shift in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
+        for shift in range(1, int(counts[counts <= SMALL].max(initial=1))):
             same = np.flatnonzero(index[shift:] == index[:-shift])
-            near = same[distance(fps[owner[same]], fps[owner[same + shift]]) <= LINK]
-            found.append((owner[near], owner[near + shift]))
+            same = same[near(fps, sizes, owner[same], owner[same + shift])]
+            found.append((owner[same], owner[same + shift]))
     return forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
-def cross_pairs(part: int, fps: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cross_pairs(key: int, fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All candidate pairs between members of a group whose labels differ."""
     found = [np.zeros(0, np.int64)]
-    for owner, index in seconds(part, fps):
+    for owner, index in seconds(key, fps):
         for shift in range(1, len(index)):
             same = np.flatnonzero(index[shift:] == index[:-shift])
             if not len(same):
@@ -170,125 +209,144 @@ def cross_pairs(part: int, fps: np.ndarray, labels: np.ndarray) -> tuple[np.ndar
             a, b = owner[same], owner[same + shift]
             other = labels[a] != labels[b]
             a, b = a[other], b[other]
-            near = distance(fps[a], fps[b]) <= LINK
-            found.append(np.minimum(a, b)[near] * len(fps) + np.maximum(a, b)[near])
+            hit = near(fps, sizes, a, b)
+            found.append(np.minimum(a, b)[hit] * len(fps) + np.maximum(a, b)[hit])
     pairs = np.unique(np.concatenate(found))
     return pairs // len(fps), pairs % len(fps)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """(part, fp, ...) rows sorted by part -> part, fingerprints and the other columns of each group of two members or more."""
+    """(key, fp, ...) rows sorted by key -> key, fingerprints and the other columns of each group of two members or more."""
     held: list[list[np.ndarray]] = []
-    part = None
+    key = None
 
     def group() -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         fps, *others = (np.concatenate(c) for c in zip(*held))
         if len(fps) > 1:
-            yield part, fps, others
+            yield key, fps, others
 
     for batch in batches:
-        parts = batch.column(0).to_numpy()
-        if not len(parts):
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
             continue
         columns = [np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS), *(c.to_numpy() for c in batch.columns[2:])]
-        bounds = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
-        for s, e in zip(bounds.tolist(), [*bounds[1:].tolist(), len(parts)]):
-            if held and parts[s] != part:
+        bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for s, e in zip(bounds.tolist(), [*bounds[1:].tolist(), len(keys)]):
+            if held and keys[s] != key:
                 yield from group()
                 held.clear()
-            part = int(parts[s])
+            key = int(keys[s])
             held.append([c[s:e] for c in columns])
     if held:
         yield from group()
 
 
+def _edges(vertex: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(vertex[a], pa.int64()), pa.array(vertex[b], pa.int64())], ["u", "v"])
+
+
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, fp, vertex) rows sorted by part -> a forest of each group's candidates (u, v)."""
-    for part, fps, (vertex,) in _groups(batches):
-        a, b = group_links(part, fps)
-        yield pa.RecordBatch.from_arrays([pa.array(vertex[a], pa.int64()), pa.array(vertex[b], pa.int64())], ["u", "v"])
+    """(key, fp, vertex, size) rows sorted by key -> a forest of each group's candidates (u, v)."""
+    for key, fps, (vertex, sizes) in _groups(batches):
+        yield _edges(vertex, *group_links(key, fps, sizes))
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, fp, vertex, label) rows sorted by part -> the candidates (u, v) between labels."""
-    for part, fps, (vertex, label) in _groups(batches):
-        a, b = cross_pairs(part, fps, label)
-        yield pa.RecordBatch.from_arrays([pa.array(vertex[a], pa.int64()), pa.array(vertex[b], pa.int64())], ["u", "v"])
+    """(key, fp, vertex, size, label) rows sorted by key -> the candidates (u, v) between labels."""
+    for key, fps, (vertex, sizes, label) in _groups(batches):
+        yield _edges(vertex, *cross_pairs(key, fps, sizes, label))
 
 
 def once(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
 
 
+def met(vertices: DataFrame, link, columns: str, most: int) -> DataFrame:
+    """The candidates (u, v) that link() finds in the groups of vertices (fp, vertex, size, ...; columns: their schema). Groups of more than `most` members are dealt by second codewords too."""
+    wide: frozenset[int] = frozenset()
+    if vertices.count() > most:  # else no group can be that large; there are PAIRS x 4,096 first codewords
+        sizes = vertices.select("fp").mapInArrow(_deal(), "key long, fp binary").groupBy("key").count()
+        wide = frozenset(r["key"] >> 16 for r in sizes.filter(F.col("count") > most).collect())
+    dealt = vertices.mapInArrow(_deal(wide), f"key long, {columns}")
+    return once(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long"))
+
+
 def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
-    """vertex, hashes (the sorted distinct hashes of its shingles) per row of (row, text)."""
+    """vertex, hashes (the sorted distinct hashes of its shingles) per row of (vertex, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in text_groups(batches, GROUP_BYTES):
+        for vertices, part in text_groups(batches, GROUP_BYTES):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in part]
             ends = np.cumsum([0, *map(len, sets)])
             values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([set_vertex(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["vertex", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(vertices, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["vertex", "hashes"])
 
     return texts.mapInArrow(run, "vertex long, hashes array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets have a similarity of SIMILARITY or more, counted exactly."""
+    """The pairs (u, v), a checkpoint, whose sets have a similarity of SIMILARITY or more, counted exactly. A vertex of many pairs is split over several tasks."""
     top, bottom = SIMILARITY
-    both = pairs.join(sets.select(F.col("vertex").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("vertex").alias("v"), F.col("hashes").alias("b")), "v")
+    rows = pairs.count()
+    both = spread_join(pairs, sets.select(F.col("vertex").alias("u"), F.col("hashes").alias("a")), "u", rows=rows)
+    both = both.join(sets.select(F.col("vertex").alias("v"), F.col("hashes").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(bottom * shared >= top * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def text_row(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
-def vertices_and_roots(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, vertex) per row of documents, row being a hash of the text; and (vertex, least, root) per vertex."""
+def vertices_and_roots(docs: DataFrame, shingle: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, name) per row of documents, row being a hash of the text; and (vertex, name, first, root) per set of shingles, first being its least (no id, doc_id, row) with the number of such rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_groups(batches, GROUP_BYTES):
             hashes = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            ids, rows = [k["doc_id"] for k in keys], [k["row"] for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([set_vertex(h) for h in hashes], pa.int64()), pa.array([fingerprint_of(h) for h in hashes], pa.binary())],
-                ["doc_id", "row", "vertex", "fp"],
-            )
+            columns = [[k["doc_id"] for k in keys], [k["row"] for k in keys], [set_name(h) for h in hashes], [fingerprint_of(h) for h in hashes], [len(h) for h in hashes]]
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "row", "name", "fp", "size"])
 
     texts = key_and_text(docs).select("doc_id", text_row(F.col("text")).alias("row"), "text")
-    rows = checkpoint(texts.select(F.struct("doc_id", "row"), "text").mapInArrow(run, "doc_id long, row long, vertex long, fp binary"))
-    distinct = checkpoint(rows.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.min(F.struct("row", "fp")).alias("one")).select("vertex", "least", "one.*"))
-
-    dealt = distinct.select("fp", "vertex").mapInArrow(_deal, "part long, fp binary, vertex long")
-    first = checkpoint(once(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_link, "u long, v long")))
-    coarse = checkpoint(connected_components(first).withColumnRenamed("root", "coarse"))
-    wanted = distinct.join(coarse.select("vertex"), "vertex", "left_semi").select("row")
-    sets = checkpoint(sets_of(texts.select("row", "text").join(wanted, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text")), shingle))
-    links = checkpoint(verified(first, sets))
+    rows = checkpoint(texts.select(F.struct("doc_id", "row"), "text").mapInArrow(run, "doc_id long, row long, name binary, fp binary, size long"))
+    repeats = rows.groupBy("name", "doc_id", "row").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("fp", "size")).alias("print"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "rows")).alias("first")
+    sets_named = repeats.groupBy("name").agg(first, F.min("print").alias("print")).select(F.monotonically_increasing_id().alias("vertex"), "name", "first", "print.*")
+    distinct = checkpoint(sets_named)
+    members = distinct.select("fp", "vertex", "size")
+
+    forest_pairs = checkpoint(met(members, _link, "fp binary, vertex long, size long", most))
+    coarse = checkpoint(connected_components(forest_pairs).withColumnRenamed("root", "coarse"))
+    wanted = distinct.join(coarse.select("vertex"), "vertex").select("vertex", "first.doc_id", "first.row")
+    own = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["row"] == wanted["row"])).groupBy("vertex").agg(F.first("text").alias("text"))
+    sets = checkpoint(sets_of(own, shingle))
+    links = checkpoint(verified(forest_pairs, sets))
 
     named = checkpoint(coarse.join(connected_components(links), "vertex", "left").select("vertex", "coarse", F.coalesce("root", "vertex").alias("label")))
     open_ = named.groupBy("coarse").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("coarse")
-    again = distinct.join(named.join(open_, "coarse", "left_semi"), "vertex").select("fp", "vertex", "label")
-    dealt = again.mapInArrow(_deal, "part long, fp binary, vertex long, label long")
-    second = once(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_cross, "u long, v long"))
-    links = links.union(checkpoint(verified(second, sets)))
-    return rows.select("doc_id", "row", "vertex"), checkpoint(distinct.join(connected_components(links), "vertex", "left").select("vertex", "least", F.coalesce("root", "vertex").alias("root")))
+    again = checkpoint(members.join(named.join(open_, "coarse", "left_semi"), "vertex").select("fp", "vertex", "size", "label"))
+    second = checkpoint(met(again, _cross, "fp binary, vertex long, size long, label long", most))
+    links = links.union(verified(second, sets))
+    roots = connected_components(links)
+    placed = checkpoint(distinct.join(roots, "vertex", "left").select("vertex", "name", "first", F.coalesce("root", "vertex").alias("root")))
+    return rows.select("doc_id", "row", "name"), placed
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = IN_TASK) -> DataFrame:
     """doc_id, component_id (the least doc_id that can be reached by links) per row of documents.
 
     Texts without words have the empty set of shingles and form one group. Null ids stay null and don't count
     for the least id; rows that repeat a doc_id are separate rows. Other columns are ignored; an empty table gives an empty result.
     """
-    rows, placed = vertices_and_roots(docs, shingle)
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("vertex", "component_id"), "vertex").select("doc_id", "component_id")
+    rows, placed = vertices_and_roots(docs, shingle, most)
+    least = placed.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.doc_id").alias("component_id"))
+    named = spread_join(placed, least, "root").select("name", "component_id")
+    return spread_join(rows, named, "name").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents without those in a component of a smaller doc_id. Rows that repeat the kept id all stay, as do rows without an id."""
-    gone = near_copies(docs, shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = IN_TASK) -> DataFrame:
+    """One row of each component: the one with the least doc_id (a null id comes last) and, among different texts under this id, the least text hash.
+
+    Rows that repeat id and text are one document, of which one row stays. All columns are kept, whatever their names; an empty table gives an empty one.
+    """
+    rows, placed = vertices_and_roots(docs, shingle, most)
+    kept = checkpoint(placed.groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    gone = rows.select("doc_id", "row").subtract(kept.select("doc_id", "row"))
+    return drop_rows(drop_rows(docs, gone), kept.filter("rows > 1").select("doc_id", "row"), but_one=True)

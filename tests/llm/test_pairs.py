@@ -115,13 +115,14 @@ def test_large_group():
     for row in fps:
         for b in rng.choice(WORDS * 64, rng.integers(0, 70), replace=False):
             row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    a, b = linked(fps)
+    sizes = np.full(len(fps), 100)
+    a, b = linked(fps, sizes)
     parent = list(range(len(fps)))
     for x, y in zip(a.tolist(), b.tolist()):
         low, high = sorted((parent[x], parent[y]))
         parent = [low if p == high else p for p in parent]
     assert parent == brute_labels(len(fps), lambda i, j: distance(fps[i], fps[j]) <= LINK)
-    assert len(group_links(0, np.repeat(base[:1], 2, 0))[0]) == 1
+    assert len(group_links(0, np.repeat(base[:1], 2, 0), sizes[:2])[0]) == 1 and len(group_links(0, np.repeat(base[:1], 2, 0), np.array([100, 79]))[0]) == 0
 
 
 @pytest.mark.parametrize(("paired", "in_task"), [(64, 50_000), (4, 50_000), (2, 20), (1, 3)])
@@ -368,7 +369,19 @@ def test_near_copies_are_exact(spark):
     expected = brute_labels(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     fps = np.frombuffer(b"".join(long_fingerprint(t) for t in texts), "<u8").reshape(-1, WORDS)
     assert sum(distance(fps[i], fps[j]) <= LINK and expected[i] != expected[j] for i, j in combinations(range(len(texts)), 2)) > 10
-    assert {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()} == dict(enumerate(expected))
+    for most in (500_000, 20):  # wide groups are dealt by second codewords too
+        assert {r["doc_id"]: r["component_id"] for r in near_copies(docs, most=most).collect()} == dict(enumerate(expected))
+
+
+def test_one_document_stays(spark):
+    """Null ids, repeated ids and repeated rows: one row of each group of near copies, with all columns whatever their names."""
+    text = " ".join(f"w{i}" for i in range(300))
+    near, other = text + " more", " ".join(f"v{i}" for i in range(300))
+    rows = [(None, text, 1, "a"), (None, text, 2, "b"), (9, near, 3, "c"), (4, text, 4, "d"), (4, other, 5, "e"), (4, text, 6, "f"), (None, "nothing like it at all", 7, "g"), (None, "nothing like it at all", 8, "h"), (3, None, 9, "i"), (2, "", 10, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int, row string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(4, text), (4, other), (0, "nothing like it at all"), (2, "")])
 
 
 def test_candidates_at_the_limit():
@@ -380,7 +393,7 @@ def test_candidates_at_the_limit():
             h = rng.integers(0, 2**63, shared + 2 * own, dtype=np.uint64)
             fps = np.frombuffer(fingerprint_of(h[: shared + own]) + fingerprint_of(np.r_[h[:shared], h[shared + own :]]), "<u8").reshape(2, WORDS)
             cut = segments(fps.view(np.uint8).reshape(2, -1))
-            lost += not any(len(group_links(i << 12, fps)[0]) for i in range(PAIRS) if len(set.intersection(*(set(codewords(c[2 * i : 2 * i + 1])[1].tolist()) for c in cut))))
+            lost += not any(len(group_links(i << 28, fps, np.full(2, shared + own))[0]) for i in range(PAIRS) if len(set.intersection(*(set(codewords(c[2 * i : 2 * i + 1])[1].tolist()) for c in cut))))
         assert lost == 0
     words, line = [f"w{i}" for i in range(200)], " ".join(f"l{i}" for i in range(20))
     once, often = (" ".join([*words, *[line] * n]) for n in (1, 8))
