@@ -13,7 +13,7 @@ import xxhash
 
 from docloom.llm import simhash_dedup, suffix_dedup
 from docloom.llm.components import connected_components
-from docloom.llm.decontaminate import find_leaks, without_leaks
+from docloom.llm.decontaminate import RADIUS, find_leaks, with_fingerprint, without_leaks
 from docloom.llm.near_copies import LINK, PAIRS, WORDS, codewords, distance, fingerprint_of, group_links, keep_one, linked, long_fingerprint, near_copies, segments
 from docloom.llm.simhash_dedup import fingerprint, forest, golay_keys, link_by_midpoints, near_duplicates, nearby_errors
 from docloom.llm.suffix_dedup import remove_repeats, without_repeats
@@ -303,15 +303,17 @@ def brute_leaks(docs, items):
     import regex
 
     words = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
-    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    prepared = {i: shingles(words(t)) for i, t in items if i is not None}
     out = {}
+    prepared = [(i, words(t)) for i, t in items if i is not None]
     for d, t in docs:
-        s = shingles(words(t))
-        for i, item in prepared.items():
-            if not item or not set(s) & set(item):
+        text = words(t)
+        for i, item in prepared:
+            k = min(5, len(item))
+            shingles = lambda w: [tuple(w[a : a + k]) for a in range(len(w) - k + 1)]  # noqa: B023, E731
+            s, own = shingles(text) if k else [], shingles(item) if k else []
+            if not own or not set(s) & set(own):
                 continue
-            counts, m = Counter(item), len(item)
+            counts, m = Counter(own), len(own)
             for a in range(max(1, len(s) - m + 1)):
                 window = Counter(s[a : a + m])
                 shared = sum((window & counts).values())
@@ -417,3 +419,45 @@ def test_reordered_leaks(spark):
     made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["score"] for r in find_leaks(*made).collect()}
     assert {(1, 1), (3, 3)} <= expected.keys() and found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
+
+
+def test_odd_items(spark):
+    """Short items, items of repeated words, interleaved and repeated passages, and items that share an id."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    long_, chorus = [word() for _ in range(40)], [word() for _ in range(9)] * 4
+    items = [(1, "single"), (2, "two words"), (3, "one two three four"), (4, " ".join(long_)), (5, " ".join(chorus)), (6, "again " * 30), (7, " ".join(long_[:20])), (7, " ".join(chorus[:15])), (8, " , ")]
+    filler = lambda n: [word() for _ in range(n)]
+    docs = [
+        (1, "a single one"), (2, "two or words, two  WORDS"), (3, "one two three, four"), (4, "one two three"), (5, " ".join([*filler(30), *chorus, *filler(30)])), (6, " ".join([*filler(9), *chorus[4:], *chorus[:4], *filler(9)])),
+        (7, "again " * 28), (8, "again " * 60), (9, " ".join([*long_[:20], *long_[:20], *long_[20:]])), (10, " ".join(x for pair in zip(long_, filler(40)) for x in pair)), (11, " ".join([*filler(50), *long_[30:], *long_[:30], *filler(50)])),
+        (12, " ".join(long_[3:38])), (13, None), (14, ""), (14, " ".join(long_)),
+    ]
+    expected = brute_leaks(docs, items)
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found) and {(1, 1), (2, 2), (3, 3), (5, 5), (7, 6), (14, 4)} <= found.keys()
+
+
+def test_radius():
+    """Of 10,000 pairs of a window and an item at similarities from 0.8 on, the radius loses next to none."""
+    rng = np.random.default_rng(5)
+    lost = 0
+    for i in range(10_000):
+        shared = (8, 12, 40, 96)[i % 4]
+        own = shared // 8  # shared / (shared + 2 * own) is 0.8
+        h = rng.integers(0, 2**64, shared + 2 * own, dtype=np.uint64)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+        common, n = bits[:shared].sum(0), shared + own
+        a, b = 2 * (common + bits[shared:n].sum(0)) > n, 2 * (common + bits[n:].sum(0)) > n
+        lost += (a != b).sum() > RADIUS
+    assert lost <= 3
+
+
+def test_large_fingerprint(spark):
+    """More shingles than a lane of 16 bits can count, with the same fingerprint as by hand."""
+    rng = np.random.default_rng(9)
+    for n in (70_000, 1000):
+        h = rng.integers(-(2**63), 2**63, n) | 0x10001
+        bits = np.unpackbits(h.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+        expected = int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
+        assert with_fingerprint(spark.createDataFrame([(h.tolist(),)], "h array<long>"), "h", "fp").first()["fp"] == expected
