@@ -32,6 +32,19 @@ PRETOKEN = regex.compile(
     rf"{CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+"
     rf"| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
 )
+#: Letters and numbers of Unicode versions after that of the tokenizers library, which counts them as neither; and the pattern for texts that hold any.
+NEWER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee"
+    "\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81"
+    "\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e"
+    "\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+NOT_YET = regex.compile(f"[{NEWER}]")
+YET_PRETOKEN = regex.compile(
+    rf"(?V1){CONTRACTIONS}| ?[\p{{L}}--[{NEWER}]]+| ?[\p{{N}}--[{NEWER}]]+"
+    rf"| ?[[^{WHITE_SPACE}\p{{L}}\p{{N}}]||[{NEWER}]]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
+)
 #: The same for texts in which only ASCII digits are numbers and only these characters are letters.
 LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_PRETOKEN = re.compile(
@@ -95,8 +108,8 @@ class ForcedBoundaryBPE:
         self.known.update(zip(tokens, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
 
     def _pretoken_blocks(self, text: str) -> Iterator[list[str]]:
-        """Pre-tokens of a text, in blocks: a very long text isn't split as a whole."""
-        pattern = PRETOKEN if NOT_LATIN.search(text) else LATIN_PRETOKEN
+        """Pre-tokens of a text: one block, or several of a long text, made one after the other."""
+        pattern = (YET_PRETOKEN if NOT_YET.search(text) else PRETOKEN) if NOT_LATIN.search(text) else LATIN_PRETOKEN
         if len(text) <= BLOCK_CHARS:
             yield pattern.findall(text)
             return
@@ -110,26 +123,35 @@ class ForcedBoundaryBPE:
             self.known.clear()
             self.long_kept = False
 
-    def prepare(self, texts: list[str]) -> list[list[list[str]]]:
-        """Pre-token blocks of several texts whose new pre-tokens are encoded in one go."""
-        blocks = [[*self._pretoken_blocks(t)] for t in texts]
-        new = set().union(*(b for bs in blocks for b in bs)) - self.known.keys()
+    def learn(self, blocks: list[list[str]]) -> None:
+        """Encode the pre-tokens of some blocks that aren't known yet in one go."""
+        new = set().union(*blocks) - self.known.keys()
         if new:
             self.long_kept |= max(map(len, new)) > KEPT_CHARS
             self._learn([*new])
-        return blocks
+
+    def _ids(self, block: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, block))
+
+    def _encode_long(self, text: str) -> bytes:
+        """Ids of a text that is cut into several blocks; one of them is held at a time."""
+        out = []
+        for block in self._pretoken_blocks(text):
+            self.forget()
+            self.learn([block])
+            out.append(self._ids(block))
+        return b"".join(out)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Special strings in it become their ids."""
         self.forget()
         parts = [self.special_split.split(t) if self.special_split and any(s in t for s in self.special) else [t] for t in texts]
-        blocks = self.prepare([p for ps in parts for p in ps[::2]])
-        found, out = iter(blocks), []
-        get = self.known.__getitem__
+        blocks = [b for ps in parts for p in ps[::2] if len(p) <= BLOCK_CHARS for b in self._pretoken_blocks(p)]
+        self.learn(blocks)
+        short = [self._ids(b) for b in blocks]  # before a long text clears the dictionary
+        found, out = iter(short), []
         for ps in parts:
-            ids = []
-            for i, p in enumerate(ps):
-                ids.extend([struct.pack("<I", self.special[p])] if i % 2 else [b"".join(map(get, b)) for b in next(found)])
+            ids = [struct.pack("<I", self.special[p]) if i % 2 else next(found) if len(p) <= BLOCK_CHARS else self._encode_long(p) for i, p in enumerate(ps)]
             out.append(b"".join(ids))
         return out
 

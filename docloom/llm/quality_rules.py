@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docloom.llm.boosted_trees import FlatTrees, fit
-from docloom.llm.common import key_and_text, text_groups
+from docloom.llm.common import fresh, key_and_text, text_groups
 from docloom.llm.labelled import GROUP_BYTES, label_sample, sample_stats
 from docloom.llm.text_stats import FEATURES, all_stats, ratios
 
@@ -47,16 +47,20 @@ def judge_documents(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) -
 
 
 def keep_documents(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents that judge_documents() keeps, with all their columns, without a join."""
-    place = docs.columns.index("text")
+    """The rows of documents that judge_documents() keeps, with all their columns, whatever their names, without a join.
+
+    A null or empty text has no words and goes. Repeated rows go or stay alike, rows without an id are judged like any other; an empty table gives an empty one.
+    """
+    place = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for _, texts in text_groups(iter([pa.RecordBatch.from_arrays([batch.column(place), batch.column(place)], ["doc_id", "text"])]), GROUP_BYTES):
+            text = batch.column(place)
+            for _, texts in text_groups(iter([pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])]), GROUP_BYTES):
                 stats = np.array([all_stats(t) for t in texts], np.int64)
                 failed = (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
                 keep.append(~failed & (model.probability(ratios(stats)) >= threshold))
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+            yield batch.select(range(place)).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select("*", docs["text"].cast("string").alias(fresh(docs, "judged_text"))).mapInArrow(run, docs.schema)

@@ -6,13 +6,20 @@ from collections import Counter
 from datetime import date
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from docloom.llm.queries import ORACLES, QUERIES
+from docloom.llm.quality_rules import fit_rules
 from docloom.llm.sharding import assign_shards
+from docloom.llm.text_stats import all_stats, ratios
 from docloom.llm.url_lists import judge_captures, validity
+from tests.llm.test_classifiers import brute_stats, walked
+from tests.llm.test_pairs import brute_labels, brute_leaks, words_shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -102,6 +109,57 @@ def test_pipeline(spark, tmp_path):
     assert ids == {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()}
 
 
+def test_pipeline_by_brute_force(spark):
+    """Each stage's rows against plain Python over all that the stage before kept."""
+    docs = [r.asDict() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    plain = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    quality, copies, repeats, leaks, tokens = (f for _, f in corpus_pipeline.STAGES)
+
+    model = fit_rules(frame(docs), labels)
+    kept = []
+    for r in docs:
+        n, *_, often = brute_stats(r["text"])
+        if n >= 50 and 100 * often <= 50 * n and walked(model, ratios(np.array([all_stats(r["text"])]))[0].tolist()) >= 0:
+            kept.append(r)
+    assert plain(quality(spark, frame(docs), DATA)) == sorted(repr(tuple(r.values())) for r in kept) and 0 < len(kept) < len(docs)
+
+    sets = [words_shingles(r["text"]) for r in kept]
+    labels_of = brute_labels(len(kept), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    least = {}
+    for r, c in zip(kept, labels_of):
+        least[c] = min(r["doc_id"], least.get(c, r["doc_id"]))
+    one = [r for r, c in zip(kept, labels_of) if r["doc_id"] == least[c]]
+    assert plain(copies(spark, frame(kept), DATA)) == sorted(repr(tuple(r.values())) for r in one) and len(one) < len(kept)
+
+    first = {}
+    for r in sorted(one, key=lambda r: r["doc_id"]):
+        t = r["text"].encode()
+        for a in range(len(t) - 49):
+            first.setdefault(t[a : a + 50], r["doc_id"])
+    cut = []
+    for r in one:
+        t = r["text"].encode()
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - 49):
+            if first[t[a : a + 50]] < r["doc_id"]:
+                gone[a : a + 50] = True
+        text = bytes(np.frombuffer(t, np.uint8)[~gone]).decode("utf-8", "ignore")
+        if not gone.all():
+            cut.append(r | {"text": text, "n_chars": len(text)} if gone.any() else r)
+    assert plain(repeats(spark, frame(one), DATA)) == sorted(repr(tuple(r.values())) for r in cut) and cut != one
+
+    benchmark = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    found = {d for d, _ in brute_leaks([(r["doc_id"], r["text"]) for r in cut], benchmark)}
+    clean = [r for r in cut if r["doc_id"] not in found]
+    assert plain(leaks(spark, frame(cut), DATA)) == sorted(repr(tuple(r.values())) for r in clean) and len(clean) < len(cut)
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: np.array(library.encode(r["text"], add_special_tokens=False).ids, "<u4").tobytes() for r in clean}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in tokens(spark, frame(clean), DATA).collect()} == ids
+
+
 def test_pipeline_edges(spark, edge_docs, no_docs):
     for docs in (edge_docs, no_docs):
         for i, (name, stage) in enumerate(corpus_pipeline.STAGES):

@@ -40,6 +40,16 @@ def test_any_text(text):
     assert counter(WORDS).count_many([text]) == [len(library_ids(WORDS, text))]
 
 
+def test_all_kinds_of_characters():
+    """Letters, numbers, marks and capitals of any Unicode version, as the library takes them."""
+    spans = ((0, 0x2400), (0xA640, 0xAC00), (0xF900, 0x10000), (0x10000, 0x12000), (0x16E00, 0x17100), (0x1D600, 0x1E700), (0x32300, 0x32400))
+    characters = [chr(c) for span in spans for c in range(*span)]
+    for start in range(0, len(characters), 64):
+        text = "".join(f"a{c}a 1{c}1 !{c}! {c}\u0301 e{c}\u0323\u0301 " for c in characters[start : start + 64])
+        assert np.frombuffer(codec(BYTES).encode(text), "<u4").tolist() == library_ids(BYTES, text), hex(start)
+        assert counter(WORDS).count_many([text]) == [len(library_ids(WORDS, text))], hex(start)
+
+
 def test_documents(spark, small_docs, edge_docs):
     for docs in (small_docs, edge_docs):
         source = docs.select("doc_id", "text").collect()
@@ -68,3 +78,16 @@ def test_merge_overlaps():
     table = PairTable([(0, 0, 1), (1, 1, 2), (2, 0, 3)])
     symbols, counts = merge_ragged(np.zeros(15, int), np.array([1, 5, 9]), table)
     assert counts.tolist() == [1, 1, 2] and symbols.tolist() == [0, 3, 2, 3]  # 0 | 1 1 0 -> 2 0 -> 3 | 1 1 1 1 0 -> 2 2 0 -> 2 3
+
+
+def test_long_texts(monkeypatch):
+    """Texts beyond a block are encoded and counted block by block, beside short ones, with dictionaries that are cleared on the way."""
+    from docloom.llm import bpe_codec, token_count
+
+    for module in (bpe_codec, token_count):
+        monkeypatch.setattr(module, "BLOCK_CHARS", 40)
+        monkeypatch.setattr(module, "KEPT_ENTRIES", 5)
+    texts = ["short one", *(t * 3 for t in ODD), "", "It's a text<|endoftext|> of words, numbers 12 345 and more. " * 30, "日本語のテキスト " * 20, "short one"]
+    for text, ids, n in zip(texts, codec(BYTES).encode_many(texts), counter(WORDS).count_many(texts)):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library_ids(BYTES, text)
+        assert n == len(library_ids(WORDS, text))
