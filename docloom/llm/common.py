@@ -57,18 +57,22 @@ def drop_rows(docs: DataFrame, gone: DataFrame, but_one: bool = False) -> DataFr
     return docs.join(gone, same, "left_anti").unionByName(docs.join(gone, same).dropDuplicates([doc_id, row]).drop(doc_id, row))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left joined with right on one column, a key that many rows of left have being split over several tasks.
 
     A key is hot with more than a thousandth of the rows of left (1,000 rows at least), so at most HOT_KEYS keys are,
-    and the table of them is broadcast. Rows of left with a hot key are dealt by a hash of the whole row,
-    and the rows of right with it are repeated once per share: at most 2 * HOT_KEYS more for a right side with distinct keys. left should be a checkpoint: it's read twice.
-    rows: how many rows left has, or a number of that order, if the caller knows.
+    and the table of them is small. Rows of left with a hot key are dealt by a hash of the whole row,
+    and the rows of right with it are repeated once per share: at most 2 * HOT_KEYS more for a right side with distinct keys.
+    Without a hot key it's a plain join. left should be a checkpoint: its keys are counted first.
     """
     n, shares, share = (fresh(left, fresh(right, x)) for x in ("n_rows", "n_shares", "share"))
-    most = max(1000, -(-(left.count() if rows is None else rows) // HOT_KEYS))
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias(shares))
-    hot = F.broadcast(hot)
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    rows, greatest = counts.agg(F.sum(n), F.max(n)).first()
+    most = max(1000, -(-(rows or 0) // HOT_KEYS))
+    if (greatest or 0) <= most:
+        return left.join(right, key, how)
+    hot = counts.filter(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias(shares))
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot.collect(), hot.schema))
     dealt = left.join(hot, key, "left").withColumn(share, F.when(F.col(shares).isNull(), 0).otherwise(F.pmod(F.xxhash64(*(left[c] for c in left.columns)), F.col(shares)).cast("int"))).drop(shares)
     copies = right.join(hot, key, "left").withColumn(share, F.explode(F.sequence(F.lit(0), F.coalesce(shares, F.lit(1)) - 1))).drop(shares)
     return dealt.join(copies, [key, share], how).drop(share)

@@ -287,8 +287,7 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v), a checkpoint, whose sets have a similarity of SIMILARITY or more, counted exactly. A vertex of many pairs is split over several tasks."""
     top, bottom = SIMILARITY
-    rows = pairs.count()
-    both = spread_join(pairs, sets.select(F.col("vertex").alias("u"), F.col("hashes").alias("a")), "u", rows=rows)
+    both = spread_join(pairs, sets.select(F.col("vertex").alias("u"), F.col("hashes").alias("a")), "u")
     both = both.join(sets.select(F.col("vertex").alias("v"), F.col("hashes").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(bottom * shared >= top * (F.size("a") + F.size("b") - shared)).select("u", "v")
@@ -319,12 +318,12 @@ def vertices_and_roots(docs: DataFrame, shingle: int, most: int) -> tuple[DataFr
     sets = checkpoint(sets_of(own, shingle))
     links = checkpoint(verified(forest_pairs, sets))
 
-    named = checkpoint(coarse.join(connected_components(links), "vertex", "left").select("vertex", "coarse", F.coalesce("root", "vertex").alias("label")))
+    stars = connected_components(links)
+    named = checkpoint(coarse.join(stars, "vertex", "left").select("vertex", "coarse", F.coalesce("root", "vertex").alias("label")))
     open_ = named.groupBy("coarse").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("coarse")
     again = checkpoint(members.join(named.join(open_, "coarse", "left_semi"), "vertex").select("fp", "vertex", "size", "label"))
     second = checkpoint(met(again, _cross, "fp binary, vertex long, size long, label long", most))
-    links = links.union(verified(second, sets))
-    roots = connected_components(links)
+    roots = connected_components(stars.select(F.col("vertex").alias("u"), F.col("root").alias("v")).union(verified(second, sets)))
     placed = checkpoint(distinct.join(roots, "vertex", "left").select("vertex", "name", "first", F.coalesce("root", "vertex").alias("root")))
     return rows.select("doc_id", "row", "name"), placed
 
