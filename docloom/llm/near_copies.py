@@ -90,10 +90,23 @@ def set_name(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
 
 
+def bit_words(fps: np.ndarray) -> np.ndarray:
+    """Rows of fingerprint bytes as rows of 64-bit words, the first bit first."""
+    return np.ascontiguousarray(fps).view(np.uint8).reshape(-1, BYTES).view(">u8").astype(np.uint64)
+
+
+def segment(words: np.ndarray, j: int) -> np.ndarray:
+    """The values of segment j, from rows of bit_words()."""
+    at, skip = divmod(j * SEGMENT, 64)
+    left = words[:, at] << np.uint64(skip) >> np.uint64(64 - SEGMENT)
+    over = skip + SEGMENT - 64
+    return (left | words[:, at + 1] >> np.uint64(64 - over) if over > 0 else left).astype(np.int64)
+
+
 def segments(fps: np.ndarray) -> np.ndarray:
     """Rows of fingerprint bytes -> rows of segment values."""
-    bits = np.unpackbits(fps, axis=1)[:, : 2 * PAIRS * SEGMENT].reshape(len(fps), 2 * PAIRS, SEGMENT)
-    return bits.astype(np.int64) @ (1 << np.arange(SEGMENT - 1, -1, -1))
+    words = bit_words(fps)
+    return np.stack([segment(words, j) for j in range(2 * PAIRS)], axis=1)
 
 
 def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +133,16 @@ def _deal(wide: frozenset[int] = frozenset()):
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 piece = batch.slice(start, 2000)
-                cut = segments(np.frombuffer(b"".join(piece.column(0).to_pylist()), np.uint8).reshape(-1, BYTES))
+                words = bit_words(np.frombuffer(b"".join(piece.column(0).to_pylist()), np.uint8))
                 keys, owners = [], []
                 for i in range(PAIRS):
-                    owner, index = codewords(cut[:, 2 * i])
+                    owner, index = codewords(segment(words, 2 * i))
                     part = i << 12 | index
                     split_up = np.isin(part, [*wide])
                     keys.append(group_key(part[~split_up]))
                     owners.append(owner[~split_up])
                     for k in range(SECONDS if split_up.any() else 0):
-                        at, second = codewords(cut[owner[split_up], second_of(i << 12, k)])
+                        at, second = codewords(segment(words[owner[split_up]], second_of(i << 12, k)))
                         keys.append(group_key(part[split_up][at], k, second))
                         owners.append(owner[split_up][at])
                 at = pa.array(np.concatenate(owners))
@@ -143,9 +156,9 @@ def seconds(key: int, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]
     if key >> 12 & 15:  # a part of a wide group: all members have the codeword
         yield np.arange(len(fps)), np.zeros(len(fps), np.int64)
         return
-    cut = segments(fps.view(np.uint8).reshape(-1, BYTES))
+    words = bit_words(fps)
     for k in range(SECONDS):
-        owner, index = codewords(cut[:, second_of(key >> 16, k)])
+        owner, index = codewords(segment(words, second_of(key >> 16, k)))
         order = np.argsort(index, kind="stable")
         yield owner[order], index[order]
 
