@@ -4,7 +4,7 @@ Texts that share four fifths of their five-word shingles differ in about 15 % of
 for one short fingerprint. So WORDS x 64 bits are taken from the distinct shingles and cut into
 23-bit segments; each of PAIRS first segments is paired with SECONDS others. Two words at most two bits apart always share one of their one to six nearby Golay codewords, and
 often so when they are further apart; a pair of documents meets if both segments of any pair do. Met
-pairs at LINK bits or fewer whose sets have sizes that allow SIMILARITY are candidates only: the distinct shingle hashes of both texts are fetched
+pairs whose sets have sizes that allow SIMILARITY, and that differ in no more bits than such sets of their size do, are candidates only: the distinct shingle hashes of both texts are fetched
 and a pair links if it shares SIMILARITY of them, counted exactly.
 
 Documents are dealt by the codeword of a pair's first segment, with the whole fingerprint; the second
@@ -12,8 +12,8 @@ segment's codewords are made where they are needed. Groups arrive as a sorted st
 codeword that more than a given number of documents have isn't one group: its members are dealt by the second segments'
 codewords too. The first round
 verifies a spanning forest of each group's candidates, so a large cluster costs little more than its
-size. Where that leaves candidates in different components, a second round verifies every candidate
-pair between those components.
+size. Where that leaves what candidates hold together in several components, a second round brings the sets of these documents
+together, in blocks of bounded size, and verifies every candidate pair between different components. Only pairs that join two of them leave a task.
 
 Documents with the same set of shingles are one vertex, named by 128 bits of a hash of the set and
 numbered afterwards.
@@ -22,7 +22,9 @@ numbered afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,19 @@ from docloom.llm.common import checkpoint, drop_rows, key_and_text, spread_join,
 from docloom.llm.components import connected_components
 from docloom.llm.simhash_dedup import BLOCK, GROUP_BYTES, SEED, forest, nearby_errors, syndrome
 
-#: Words of a fingerprint, bits of a segment, first segments, second segments of each, and the distance of a candidate. A similarity of 0.8 differs in 87
-#: of 576 bits on average (deviation 9), one of 0.72 in 106; unrelated texts differ in 288 (deviation 12).
-#: The smallest sets at 0.8 (four shingles of five) differ in 108, so LINK is 160. LINK makes candidates; SIMILARITY (of the sets of shingles, as a fraction) decides.
+#: Words of a fingerprint, bits of a segment, first segments, second segments of each. A similarity of 0.8 differs in 87
+#: of 576 bits on average (deviation 9), one of 0.7 in 111; unrelated texts differ in 288 (deviation 12).
 WORDS, SEGMENT = 9, 23
 PAIRS = WORDS * 64 // SEGMENT // 2
 SECONDS = 6
-LINK = 160
+#: A candidate differs by so many deviations at the most from the distance of equally large sets of exactly SIMILARITY (which decides, of the sets of shingles, as a fraction).
+DEVIATIONS = 6
 SHINGLE = 5
 SIMILARITY = (4, 5)
 #: Members of a group that a task holds, at the most, before the group is dealt by second codewords.
 IN_TASK = 500_000
+#: Bytes of sets in a block of the second round.
+SETS_BYTES = 16_000_000
 #: Groups up to this size are compared pair by pair in one go.
 SMALL = 32
 BYTES = WORDS * 8
@@ -167,13 +171,38 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
+@lru_cache(maxsize=1)
+def limits() -> np.ndarray:
+    """The greatest distance of candidates by the size of the smaller set (the last one for all larger ones).
+
+    A bit of two sets of n shingles that share SIMILARITY is a majority of n fair bits, shared ones in common: the chance that it differs is summed over their numbers.
+    """
+    top, bottom = SIMILARITY
+    binomial = lambda n: np.array([comb(n, k) for k in range(n + 1)], float) / 2.0**n
+    out = [0]
+    for n in range(1, 128):
+        shared = min(n, -(-2 * n * top // (top + bottom)))  # of the union 2 * n - shared
+        own = binomial(n - shared)
+        ones = np.array([own[2 * (k + np.arange(len(own))) > n].sum() for k in range(shared + 1)])
+        p = float((binomial(shared) * 2 * ones * (1 - ones)).sum())
+        mean = WORDS * 64 * p
+        out.append(int(mean + DEVIATIONS * (mean * (1 - p)) ** 0.5) + 1)
+    top_ones = 2 * top / (top + bottom)
+    p = float(np.arccos(top_ones) / np.pi)
+    mean = WORDS * 64 * p
+    out.append(int(mean + DEVIATIONS * (mean * (1 - p)) ** 0.5) + 1)
+    return np.maximum.accumulate(np.array(out)[::-1])[::-1]
+
+
 def near(fps: np.ndarray, sizes: np.ndarray, a, b) -> np.ndarray:
-    """Whether members a and b are candidates: sets whose sizes allow SIMILARITY, LINK bits or fewer apart."""
+    """Whether members a and b are candidates: sets whose sizes allow SIMILARITY, with a distance that such sets have."""
     top, bottom = SIMILARITY
-    out = np.minimum(sizes[a], sizes[b]) * bottom >= np.maximum(sizes[a], sizes[b]) * top
+    least = np.minimum(sizes[a], sizes[b])
+    out = least * bottom >= np.maximum(sizes[a], sizes[b]) * top
     at = np.flatnonzero(out)
+    most = limits()
     pick = lambda x: x if np.ndim(x) == 0 else x[at]
-    out[at] = distance(fps[pick(a)], fps[pick(b)]) <= LINK
+    out[at] = distance(fps[pick(a)], fps[pick(b)]) <= most[np.minimum(least[at], len(most) - 1)]
     return out
 
 
@@ -211,23 +240,6 @@ def group_links(key: int, fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     return forest(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (np.zeros(0, np.int64),) * 2
 
 
-def cross_pairs(key: int, fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All candidate pairs between members of a group whose labels differ."""
-    found = [np.zeros(0, np.int64)]
-    for owner, index in seconds(key, fps):
-        for shift in range(1, len(index)):
-            same = np.flatnonzero(index[shift:] == index[:-shift])
-            if not len(same):
-                break
-            a, b = owner[same], owner[same + shift]
-            other = labels[a] != labels[b]
-            a, b = a[other], b[other]
-            hit = near(fps, sizes, a, b)
-            found.append(np.minimum(a, b)[hit] * len(fps) + np.maximum(a, b)[hit])
-    pairs = np.unique(np.concatenate(found))
-    return pairs // len(fps), pairs % len(fps)
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """(key, fp, ...) rows sorted by key -> key, fingerprints and the other columns of each group of two members or more."""
     held: list[list[np.ndarray]] = []
@@ -264,10 +276,80 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(vertex, *group_links(key, fps, sizes))
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, vertex, size, label) rows sorted by key -> the candidates (u, v) between labels."""
-    for key, fps, (vertex, sizes, label) in _groups(batches):
-        yield _edges(vertex, *cross_pairs(key, fps, sizes, label))
+def joined(labels: np.ndarray, sides: np.ndarray, two: bool, sizes: np.ndarray, fps: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join components (labels): every candidate pair with different labels (from different sides, if it takes two) is verified, unless links found before join it.
+
+    sets: the sorted hashes of all members' sets, one after the other.
+    """
+    _, words = np.unique(sets, return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    labels, out = labels.copy(), ([], [])
+    mark = np.zeros(int(words.max(initial=-1)) + 1, bool)
+    top, bottom = SIMILARITY
+    for i in range(len(labels) - 1):
+        rest = i + 1 + np.flatnonzero((labels[i + 1 :] != labels[i]) & ((sides[i + 1 :] != sides[i]) | (not two)))
+        rest = rest[near(fps, sizes, i, rest)] if len(rest) else rest
+        if not len(rest):
+            continue
+        mark[words[starts[i] : ends[i]]] = True
+        shared = np.array([int(mark[words[starts[j] : ends[j]]].sum()) for j in rest.tolist()])
+        mark[words[starts[i] : ends[i]]] = False
+        for j in rest[bottom * shared >= top * (sizes[i] + sizes[rest] - shared)].tolist():
+            if labels[i] != labels[j]:
+                out[0].append(i)
+                out[1].append(j)
+                labels[labels == labels[j]] = labels[i]
+    return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit columns ..., side, vertex, label, size, fp, hashes) rows sorted by unit -> links (u, v) that join components."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def unit() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        sides, vertex, labels, sizes = (rows.column(c).to_numpy() for c in ("side", "vertex", "label", "size"))
+        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(-1, WORDS)
+        return _edges(vertex, *joined(labels, sides, last[1] != last[2], sizes, fps, rows.column("hashes").combine_chunks().flatten().to_numpy()))
+
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("coarse", "low", "high")], axis=1) if batch.num_rows else np.zeros((0, 3), np.int64)
+        bounds = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, np.int64)
+        for s, e in zip(bounds.tolist(), [*bounds[1:].tolist(), len(keys)]):
+            if held and tuple(keys[s]) != last:
+                yield unit()
+            last = tuple(keys[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield unit()
+
+
+def in_blocks(members: DataFrame, most: int) -> DataFrame:
+    """members (coarse, label, vertex, size, ...) -> rows of units (coarse, low, high) in which every two members of different labels under one coarse component meet once.
+
+    A block holds about `most` bytes of sets: of one label if it has more than that, else of several. A unit is two blocks that aren't of one label, or a block of several with itself.
+    """
+    held = members.groupBy("coarse", "label").agg(F.sum(8 * F.col("size") + BYTES).alias("bytes"))
+    large = F.col("bytes") > most
+    blocks = held.groupBy("coarse").agg(
+        F.ceil(F.coalesce(F.sum(F.when(~large, F.col("bytes"))), F.lit(0)) / most).cast("int").alias("mixed"),
+        F.array_sort(F.collect_list(F.when(large, F.struct("label", F.ceil(F.col("bytes") / most).cast("int").alias("n"))))).alias("large"),
+    )
+    none = F.lit(None).cast("long")
+    several = F.when(F.col("mixed") > 0, F.transform(F.sequence(F.lit(1), F.col("mixed")), lambda i: F.struct(none.alias("label"), i.alias("i")))).otherwise(F.array().cast("array<struct<label:bigint,i:int>>"))
+    single = F.flatten(F.transform("large", lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.struct(x["label"].alias("label"), i.alias("i")))))
+    blocks = checkpoint(blocks.withColumn("all", F.concat(several, single)).select("coarse", "all"))
+    rows = spread_join(members, blocks, "coarse")
+    own_label = F.filter("all", lambda x: x["label"] == F.col("label"))
+    pick = lambda some: F.get(some, F.pmod(F.xxhash64("vertex"), F.size(some)).cast("int"))
+    rows = rows.withColumn("own", F.when(F.size(own_label) > 0, pick(own_label)).otherwise(pick(F.filter("all", lambda x: x["label"].isNull()))))
+    rows = rows.withColumn("side", F.array_position("all", F.col("own")).cast("long"))
+    partners = F.filter(F.transform("all", lambda x, i: F.struct(x["label"].alias("label"), (i + 1).cast("long").alias("at"))), lambda x: ~x["label"].eqNullSafe(F.col("own.label")) | x["label"].isNull())
+    rows = rows.withColumn("partner", F.explode(F.transform(partners, lambda x: x["at"])))
+    return rows.withColumn("low", F.least("side", "partner")).withColumn("high", F.greatest("side", "partner")).drop("all", "own", "partner")
 
 
 def once(pairs: DataFrame) -> DataFrame:
@@ -334,9 +416,12 @@ def vertices_and_roots(docs: DataFrame, shingle: int, most: int) -> tuple[DataFr
     stars = connected_components(links)
     named = checkpoint(coarse.join(stars, "vertex", "left").select("vertex", "coarse", F.coalesce("root", "vertex").alias("label")))
     open_ = named.groupBy("coarse").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("coarse")
-    again = checkpoint(members.join(named.join(open_, "coarse", "left_semi"), "vertex").select("fp", "vertex", "size", "label"))
-    second = checkpoint(met(again, _cross, "fp binary, vertex long, size long, label long", most))
-    roots = connected_components(stars.select(F.col("vertex").alias("u"), F.col("root").alias("v")).union(verified(second, sets)))
+    units = in_blocks(checkpoint(members.join(named.join(open_, "coarse", "left_semi"), "vertex")), SETS_BYTES)
+    units = units.select("coarse", "low", "high", "side", "vertex", "label", "size", "fp")
+    fetched = units.join(sets, "vertex").select(*units.columns, "hashes")
+    joining = fetched.repartition("coarse", "low", "high").sortWithinPartitions("coarse", "low", "high").mapInArrow(_join, "u long, v long")
+    joining = checkpoint(joining)
+    roots = connected_components(stars.select(F.col("vertex").alias("u"), F.col("root").alias("v")).union(joining))
     placed = checkpoint(distinct.join(roots, "vertex", "left").select("vertex", "name", "first", F.coalesce("root", "vertex").alias("root")))
     return rows.select("doc_id", "row", "name"), placed
 

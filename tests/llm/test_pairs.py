@@ -14,7 +14,7 @@ import xxhash
 from docloom.llm import simhash_dedup, suffix_dedup
 from docloom.llm.components import connected_components
 from docloom.llm.decontaminate import RADIUS, find_leaks, with_fingerprint, without_leaks
-from docloom.llm.near_copies import LINK, PAIRS, WORDS, codewords, distance, fingerprint_of, group_links, keep_one, linked, long_fingerprint, near_copies, segments
+from docloom.llm.near_copies import PAIRS, WORDS, codewords, distance, fingerprint_of, group_links, in_blocks, joined, keep_one, limits, linked, long_fingerprint, near, near_copies, segments
 from docloom.llm.simhash_dedup import fingerprint, forest, golay_keys, link_by_midpoints, near_duplicates, nearby_errors
 from docloom.llm.suffix_dedup import remove_repeats, without_repeats
 
@@ -89,9 +89,6 @@ def test_near_copies(spark, edge_docs, no_docs):
     sets = [words_shingles(t) for t in texts]
     similar = [(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(similar) > 40 and all(got[i] == got[j] for i, j in similar)
-    fps = np.frombuffer(b"".join(long_fingerprint(t) for t in texts), "<u8").reshape(-1, WORDS)
-    components = brute_labels(len(texts), lambda i, j: distance(fps[i], fps[j]) <= LINK)
-    assert all(components[i] <= got[i] for i in got) and sum(components[i] != got[i] for i in got) <= 2  # a pair far beyond 0.8 may not meet
     assert all(sets[i] & sets[c] or not sets[i] for i, c in got.items())
     kept = keep_one(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, c in got.items() if i == c}
@@ -121,7 +118,7 @@ def test_large_group():
     for x, y in zip(a.tolist(), b.tolist()):
         low, high = sorted((parent[x], parent[y]))
         parent = [low if p == high else p for p in parent]
-    assert parent == brute_labels(len(fps), lambda i, j: distance(fps[i], fps[j]) <= LINK)
+    assert parent == brute_labels(len(fps), lambda i, j: distance(fps[i], fps[j]) <= limits()[100])
     assert len(group_links(0, np.repeat(base[:1], 2, 0), sizes[:2])[0]) == 1 and len(group_links(0, np.repeat(base[:1], 2, 0), np.array([100, 79]))[0]) == 0
 
 
@@ -370,7 +367,7 @@ def test_near_copies_are_exact(spark):
     sets = [words_shingles(t) for t in texts]
     expected = brute_labels(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     fps = np.frombuffer(b"".join(long_fingerprint(t) for t in texts), "<u8").reshape(-1, WORDS)
-    assert sum(distance(fps[i], fps[j]) <= LINK and expected[i] != expected[j] for i, j in combinations(range(len(texts)), 2)) > 10
+    assert sum(distance(fps[i], fps[j]) <= limits()[-1] and expected[i] != expected[j] for i, j in combinations(range(len(texts)), 2)) > 10
     for most in (500_000, 20):  # wide groups are dealt by second codewords too
         assert {r["doc_id"]: r["component_id"] for r in near_copies(docs, most=most).collect()} == dict(enumerate(expected))
 
@@ -461,3 +458,45 @@ def test_large_fingerprint(spark):
         bits = np.unpackbits(h.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(0)
         expected = int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
         assert with_fingerprint(spark.createDataFrame([(h.tolist(),)], "h array<long>"), "h", "fp").first()["fp"] == expected
+
+
+def test_limits():
+    """Sets of exactly 0.8 stay far within the greatest distance of a candidate, at any size."""
+    rng = np.random.default_rng(4)
+    most = limits()
+    assert (np.diff(most) <= 0).all() and 130 < most[-1] < 145
+    for shared, own in ((4, 0), (8, 1), (9, 1), (16, 2), (40, 5), (96, 12), (400, 50)):
+        distances = []
+        for _ in range(300):
+            h = rng.integers(0, 2**63, shared + 2 * own, dtype=np.uint64)
+            fps = np.frombuffer(fingerprint_of(h[: shared + own]) + fingerprint_of(np.r_[h[:shared], h[shared + own :]]), "<u8").reshape(2, WORDS)
+            assert near(fps, np.full(2, shared + own), np.array([0]), np.array([1]))[0]
+            distances.append(int(distance(fps[0], fps[1])))
+        assert max(distances) + 10 < most[min(shared + own, len(most) - 1)]
+
+
+def test_second_round(spark):
+    """Every two members of different labels meet once, in blocks of any size, and only links that join components come out."""
+    rng = np.random.default_rng(8)
+    rows = [(int(c), int(c * 100 + rng.integers(0, 1 + c * 2)), v, int(rng.integers(1, 30))) for v, c in enumerate(rng.integers(1, 5, 120))]
+    members = spark.createDataFrame(rows, "coarse long, label long, vertex long, size long")
+    expected = Counter((a[2], b[2]) for a, b in combinations(sorted(rows, key=lambda r: r[2]), 2) if a[0] == b[0] and a[1] != b[1])
+    for most in (100, 700, 10**6):
+        met = Counter()
+        units = {}
+        for r in in_blocks(members, most).collect():
+            units.setdefault((r["coarse"], r["low"], r["high"]), []).append(r)
+        for (_, low, high), unit in units.items():
+            two = low != high
+            for a, b in combinations(sorted(unit, key=lambda r: r["vertex"]), 2):
+                if a["label"] != b["label"] and (a["side"] != b["side"] or not two):
+                    met[a["vertex"], b["vertex"]] += 1
+        assert met == expected and (most > 1000) == (max(r[2] for r in units) == 1)
+    base = rng.integers(0, 2**62, 100)
+    sets = [np.unique(np.r_[base[:k], rng.integers(0, 2**62, 100 - k)]) for k in (100, 95, 93, 60, 92, 100)]
+    fps = np.frombuffer(b"".join(fingerprint_of(x.view(np.uint64)) for x in sets), "<u8").reshape(-1, WORDS)
+    sizes = np.array([*map(len, sets)])
+    labels = brute_labels(6, lambda i, j: len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}))
+    a, b = joined(np.arange(6), np.zeros(6), False, sizes, fps, np.concatenate(sets))
+    assert brute_labels(6, lambda i, j: (i, j) in zip(a.tolist(), b.tolist())) == labels and len(a) == 6 - len(set(labels))
+    assert len(joined(np.arange(6), np.array([0, 0, 0, 0, 0, 1]), True, sizes, fps, np.concatenate(sets))[0]) == 4 and not len(joined(np.zeros(6), np.zeros(6), False, sizes, fps, np.concatenate(sets))[0])
