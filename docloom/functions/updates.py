@@ -41,8 +41,8 @@ def parse_update(update: Any) -> list[Change]:
                 if not isinstance(arg, str):
                     raise QueryError(2, "The 'to' field for $rename must be a string")
                 target = split_path(arg)
-                if target == path:
-                    raise QueryError(2, "The source and target field for $rename must differ")
+                if target[: len(path)] == path or path[: len(target)] == target:
+                    raise QueryError(2, "The source and target field for $rename must not be on the same path")
                 changes.append(Change("$rename", path, target))
                 changes.append(Change("$renamed", target, path))
                 continue

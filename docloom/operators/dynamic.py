@@ -163,8 +163,10 @@ def document_accumulator(op: str, i: int) -> Column:
     listed = F.sort_array(F.collect_list(F.when(json.isNotNull(), F.struct(F.col("ord").alias("o"), json.alias("j"), key.alias("k")))))
     if op == "$push":
         return F.concat(F.lit("["), F.array_join(F.transform(listed, lambda s: s["j"]), ","), F.lit("]"))
-    firsts = F.filter(listed, lambda s, at: F.array_position(F.transform(listed, lambda t: t["k"]), s["k"]) == at + 1)
-    return F.concat(F.lit("["), F.array_join(F.transform(firsts, lambda s: s["j"]), ","), F.lit("]"))
+    by_key = F.sort_array(F.transform(listed, lambda s: F.struct(s["k"].alias("k"), s["o"].alias("o"), s["j"].alias("j"))))
+    firsts = F.get(F.transform(F.array(by_key), lambda rows: F.filter(rows, lambda s, at: (at == 0) | (F.get(rows, at - 1)["k"] != s["k"]))), F.lit(0))
+    in_order = F.sort_array(F.transform(firsts, lambda s: F.struct(s["o"].alias("o"), s["j"].alias("j"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(in_order, lambda s: s["j"]), ","), F.lit("]"))
 
 
 def step_project(flow: Documents, arg: tuple[str, dict]) -> Documents:

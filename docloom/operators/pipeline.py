@@ -18,8 +18,9 @@ from docloom.errors import NotSupported, QueryError
 from docloom.operators.accumulators import NAMES, ORDERED, accumulator
 from docloom.operators.ordering import ascending, ordering, scalar_keys, sort_keys
 from docloom.plans.columns import FilterCompiler
-from docloom.plans.expressions import expression, visible
+from docloom.plans.expressions import HIDDEN, expression, visible
 from docloom.plans.filters import parse_filter
+from docloom.sources.scratch import checkpoint
 
 STAGES = ("$match", "$group", "$sort", "$skip", "$limit", "$project", "$unwind", "$count")
 
@@ -205,17 +206,17 @@ def wants_order(stages: list[tuple[str, Any]]) -> bool:
 
 def hide(flow: Flow) -> Flow:
     """Keep the sort keys in hidden columns, so a projection can't lose them."""
-    names = [f"__o{len(flow.df.columns)}_{i}" for i in range(len(flow.order))]
+    names = [f"{HIDDEN}o{len(flow.df.columns)}_{i}" for i in range(len(flow.order))]
     df = flow.df.withColumns({n: k for n, (k, _, _) in zip(names, flow.order)})
-    return replace(flow, df=df, order=tuple((F.col(n), t, d) for n, (_, t, d) in zip(names, flow.order)))
+    return replace(flow, df=df, order=tuple((F.col(f"`{n}`"), t, d) for n, (_, t, d) in zip(names, flow.order)))
 
 
 def natural(df: DataFrame, ids: list[str], null_means: str = "null") -> Flow:
     """A collection in the order of its id columns; without any, in the order of its files."""
     keys = [k for i in ids for k in scalar_keys(F.col(f"`{i}`"), df.schema[i].dataType, False)]
     if not ids:
-        df = df.withColumn("__o0", F.monotonically_increasing_id())
-        keys = [(F.col("__o0"), T.LongType(), False)]
+        df = df.withColumn(f"{HIDDEN}o0", F.monotonically_increasing_id())
+        keys = [(F.col(f"`{HIDDEN}o0`"), T.LongType(), False)]
     return Flow(df, tuple(keys), null_means)
 
 
@@ -225,7 +226,7 @@ def run_pipeline(flow: Flow, stages: list[tuple[str, Any]], ordered_output: bool
         rest = stages[i + 1 :]
         if op in ("$project", "$unwind") and (flow.pending or wants_order(rest)):
             flow = hide(flow)
-        flow = STEPS[op](flow, arg)
+        flow = step_skip(flow, arg, any(o == "$limit" for o, _ in rest[:1])) if op == "$skip" else STEPS[op](flow, arg)
     df = flow.sorted() if flow.pending and ordered_output else flow.df
     return df.select(*(f"`{f.name}`" for f in visible(df.schema)))
 
@@ -239,8 +240,24 @@ def step_sort(flow: Flow, spec: dict[str, bool]) -> Flow:
     return replace(flow, order=(*keys, *flow.order), pending=True, arranged=False)
 
 
-def step_skip(flow: Flow, n: int) -> Flow:
-    return replace(flow, df=flow.sorted().offset(n), arranged=True) if n else flow
+def step_skip(flow: Flow, n: int, limited: bool = True) -> Flow:
+    """Before a limit, the offset joins it and the sort. Without one, all rows but n remain: they are dealt by ranges of the order and counted per range."""
+    if not n:
+        return flow
+    if limited or not flow.order:
+        return replace(flow, df=flow.sorted().offset(n), arranged=True)
+    flow = hide(flow)
+    keys, part, place = ordering(list(flow.order)), f"{HIDDEN}part", f"{HIDDEN}place"
+    dealt = flow.df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(place))
+    dealt = checkpoint(dealt)  # the bounds of the ranges are sampled: fix them once
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).orderBy(part).collect()  # one row per range
+    before, shifts = 0, []
+    for r in counts:
+        shifts.append((r[part], before - r["first"]))
+        before += r["n"]
+    shift = flow.df.sparkSession.createDataFrame(shifts, f"`{part}` int, `{HIDDEN}shift` long")
+    rest = dealt.join(F.broadcast(shift), part).filter(F.col(f"`{place}`") + F.col(f"`{HIDDEN}shift`") >= n).drop(f"{HIDDEN}shift")
+    return replace(flow, df=rest.drop(part, place), arranged=False)
 
 
 def step_limit(flow: Flow, n: int) -> Flow:
@@ -265,8 +282,8 @@ def step_group(flow: Flow, spec: dict) -> Flow:
     aggregates = [accumulator(*next(iter(v.items())), schema, order, flow.null_means).alias(name) for name, v in spec.items() if name != "_id"]
     constant = key is None or not uses_fields(spec["_id"])
     if constant:  # one group, and none for no rows
-        n = "__rows"
-        df = flow.df.groupBy().agg(F.count(F.lit(1)).alias(n), *aggregates).filter(F.col(n) > 0)
+        n = f"{HIDDEN}rows"
+        df = flow.df.groupBy().agg(F.count(F.lit(1)).alias(n), *aggregates).filter(F.col(f"`{n}`") > 0)
         df = df.select((F.lit(None) if key is None else key).alias("_id"), *(f"`{name}`" for name in spec if name != "_id"))
     else:
         grouped = flow.df.groupBy(key.alias("_id"))
@@ -285,7 +302,7 @@ def uses_fields(e: Any) -> bool:
 def step_project(flow: Flow, arg: tuple[str, dict]) -> Flow:
     mode, tree = arg
     schema = flow.df.schema
-    hidden = [F.col(f"`{n}`") for n in flow.df.columns if n.startswith("__")]
+    hidden = [F.col(f"`{n}`") for n in flow.df.columns if n.startswith(HIDDEN)]
     fields = visible(schema)
     if mode == "exclude":
         out = [c.alias(f.name) for f in fields if (c := excluded(F.col(f"`{f.name}`"), f.dataType, tree.get(f.name))) is not None]
@@ -362,14 +379,14 @@ def step_unwind(flow: Flow, spec: dict) -> Flow:
     if not isinstance(kind, T.ArrayType):
         df = df if keep else df.filter(col.isNotNull())
         return replace(flow, df=with_path(df, index, F.lit(None).cast("long")) if index else df)
-    pos = f"__u{len(df.columns)}"
-    exploded = (F.posexplode_outer if keep else F.posexplode)(col).alias(pos, "__item")
+    pos, item = f"{HIDDEN}u{len(df.columns)}", f"{HIDDEN}item"
+    exploded = (F.posexplode_outer if keep else F.posexplode)(col).alias(pos, item)
     df = df.select("*", exploded)
     parent = F.col(f"`{path[0]}`")
-    df = df.withColumn(path[0], F.col("__item") if len(path) == 1 else parent.withField(".".join(path[1:]), F.col("__item"))).drop("__item")
+    df = df.withColumn(path[0], F.col(f"`{item}`") if len(path) == 1 else parent.withField(".".join(path[1:]), F.col(f"`{item}`"))).drop(item)
     if index:
-        df = with_path(df, index, F.col(pos).cast("long"))
-    order = (*flow.order, (F.col(pos), T.IntegerType(), False)) if flow.order else ()
+        df = with_path(df, index, F.col(f"`{pos}`").cast("long"))
+    order = (*flow.order, (F.col(f"`{pos}`"), T.IntegerType(), False)) if flow.order else ()
     return replace(flow, df=df, order=order, arranged=False)
 
 

@@ -13,9 +13,13 @@ from docloom.errors import NotSupported, QueryError
 ABSENT: tuple[None, None] = (None, None)
 
 
+#: The beginning of the names of helper columns: a control character, so a field of a document can have any printable name.
+HIDDEN = "\x01"
+
+
 def visible(schema: T.StructType) -> T.StructType:
     """Without the hidden order columns."""
-    return T.StructType([f for f in schema if not f.name.startswith("__")])
+    return T.StructType([f for f in schema if not f.name.startswith(HIDDEN)])
 
 
 def path_value(path: list[str], col: Column, kind: T.DataType) -> tuple[Column | None, T.DataType | None]:

@@ -6,6 +6,8 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
+import regex
+
 from docloom.errors import NotSupported, QueryError
 from docloom.values import NUMBER_CODES, TYPE_CODES, bracket, compare
 
@@ -18,12 +20,12 @@ class Regex:
     source: str
     flags: str = ""
 
-    def compiled(self) -> re.Pattern:
-        """The pattern for Python: $ is the end of the input only, and character classes are Unicode."""
+    def compiled(self) -> regex.Pattern:
+        r"""The pattern for Python: $ is the end of the input only, \w, \d and \b are ASCII, \s is Unicode."""
         found = 0
         for flag in self.flags:
-            found |= {"i": re.I, "m": re.M, "s": re.S}[flag]
-        return re.compile(self.source if "m" in self.flags else rewrite_end(self.source), found)
+            found |= {"i": regex.I, "m": regex.M, "s": regex.S}[flag]
+        return regex.compile(python_pattern(self.source, self.flags), found)
 
 
 @dataclass(frozen=True)
@@ -47,21 +49,34 @@ class Logical:
 ALWAYS, NEVER = Logical("$and", ()), Logical("$or", ())
 
 
-def rewrite_end(source: str) -> str:
-    r"""Unescaped $ outside of classes -> \Z."""
+#: The members of the classes outside and inside of brackets.
+WORD, BOUNDARY = "A-Za-z0-9_", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+OUTSIDE = {"w": f"[{WORD}]", "W": f"[^{WORD}]", "d": "[0-9]", "D": "[^0-9]", "b": BOUNDARY, "B": f"(?!{BOUNDARY})"}
+INSIDE = {"w": WORD, "W": r"\x00-/:-@\[-\^`{-\U0010ffff", "d": "0-9", "D": r"\x00-/:-\U0010ffff"}
+
+
+def python_pattern(source: str, flags: str) -> str:
+    r"""A JavaScript-style pattern for Python: classes are ASCII but for \s; without m $ is the very end, without s a dot is no line end."""
     out, escaped, inside = [], False, False
     for c in source:
         if escaped:
             escaped = False
+            out[-1] = (INSIDE if inside else OUTSIDE).get(c, "\\" + c)
         elif c == "\\":
             escaped = True
+            out.append(c)
+        elif inside:
+            inside = c != "]"
+            out.append("\\[" if c == "[" else c)
         elif c == "[":
             inside = True
-        elif c == "]":
-            inside = False
-        elif c == "$" and not inside:
-            c = r"\Z"
-        out.append(c)
+            out.append(c)
+        elif c == "$" and "m" not in flags:
+            out.append(r"\Z")
+        elif c == "." and "s" not in flags:
+            out.append(r"[^\n\r\u2028\u2029]")
+        else:
+            out.append(c)
     return "".join(out)
 
 
@@ -85,8 +100,8 @@ def regex_of(value: Any, options: Any = None) -> Regex:
     if bad:
         raise NotSupported(f"the regular expression option {sorted(bad)[0]!r}")
     try:
-        re.compile(source)
-    except re.error as e:
+        regex.compile(python_pattern(source, "m"))
+    except regex.error as e:
         raise QueryError(51091, f"Regular expression is invalid: {e}") from None
     return Regex(source, "".join(sorted(set(flags) - {"u"})))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -11,11 +11,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.errors import BulkWriteError, QueryError
+from docloom.errors import BulkWriteError, NotSupported, QueryError
 from docloom.operators.dynamic import Documents, each, run_documents
 from docloom.operators.pipeline import natural, parse_pipeline, run_pipeline
 from docloom.plans.filters import Regex
 from docloom.sources.client import Client, Collection
+from docloom.sources.scratch import scratch_folder
 from docloom.values import order_key
 
 #: The columns that identify a row, in whose order a collection is read; lineitem has none.
@@ -90,6 +91,10 @@ FILTERS: dict[str, tuple[str, dict, tuple[str, ...], str]] = {
     "match_regex_suffix": ("part", {"p_name": {"$regex": "e$"}}, ("p_partkey", "p_name"), "regexp_matches(p_name, 'e$')"),
     "match_regex_in": ("part", {"p_name": {"$in": [Regex("^b"), Regex("d$")]}}, ("p_partkey",), "regexp_matches(p_name, '^b') OR regexp_matches(p_name, 'd$')"),
     "match_regex_not": ("part", {"p_name": {"$not": Regex("a")}}, ("p_partkey",), "NOT regexp_matches(p_name, 'a')"),
+    "match_regex_m": ("documents", {"text": {"$regex": "^[A-Z][a-z]+ [a-z]+$", "$options": "m"}}, ("doc_id",), "regexp_matches(text, '(?m)^[A-Z][a-z]+ [a-z]+$')"),
+    "match_regex_s": ("documents", {"text": {"$regex": "\\.\\s.*e.$", "$options": "s"}}, ("doc_id",), "regexp_matches(text, '\\.\\s.*e.$', 's')"),
+    "match_regex_property": ("documents", {"text": {"$regex": "\\p{Lu}\\p{L}+ \\d{2}\\b"}}, ("doc_id",), "regexp_matches(text, '\\p{Lu}\\p{L}+ [0-9]{2}\\b')"),
+    "match_regex_named": ("part", {"p_name": {"$regex": "^(?<first>[a-z])[a-z]* (?<second>[a-m])"}}, ("p_partkey", "p_name"), "regexp_matches(p_name, '^(?P<first>[a-z])[a-z]* (?P<second>[a-m])')"),
     "match_size": ("embeddings", {"embedding": {"$size": 64}}, ("vec_id",), "len(embedding) = 64"),
     "match_all": ("embeddings", {"label": {"$all": [3]}}, ("vec_id", "label"), "label = 3"),
     "match_elem_value": ("embeddings", {"embedding": {"$elemMatch": {"$gt": 0.25, "$lt": 0.26}}}, ("vec_id",), "len(list_filter(embedding, lambda x: x > 0.25 AND x < 0.26)) > 0"),
@@ -149,6 +154,11 @@ add("sort_skip_limit", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1
 add("sort_limit_then_project", "part", [{"$sort": {"p_retailprice": 1, "p_partkey": 1}}, {"$limit": 5}, {"$project": {"name": "$p_name"}}], "SELECT p_name AS name FROM part ORDER BY p_retailprice, p_partkey LIMIT 5")
 add("sort_by_array", "embeddings", [{"$sort": {"embedding": -1, "vec_id": 1}}, {"$limit": 7}, keep("vec_id")], "SELECT vec_id FROM embeddings ORDER BY list_max(embedding) DESC, vec_id LIMIT 7")
 add("skip_limit_natural", "customer", [{"$skip": 30}, {"$limit": 7}, keep("c_custkey", "c_name")], "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 7 OFFSET 30")
+add("skip_natural", "customer", [{"$skip": 130}, keep("c_custkey", "c_name")], "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 130)")
+add(
+    "skip_sorted", "orders", [{"$sort": {"o_orderdate": -1, "o_orderkey": 1}}, {"$skip": 700}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "newest": {"$first": "$o_orderkey"}}}],
+    "SELECT o_orderstatus AS _id, count(*)::BIGINT AS n, arg_min(o_orderkey, r) AS newest FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r > 700 GROUP BY 1",
+)
 add("skip_half", "documents", [{"$skip": 400}, {"$limit": 1}, keep("doc_id")], "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1 OFFSET 400")
 
 # Projections
@@ -205,8 +215,7 @@ add("empty_pipeline", "region", [], "SELECT * FROM region")
 
 
 def scratch(spark: SparkSession, sf_dir: str, name: str) -> Collection:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-")
-    c = Client(spark, f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}").db().collection(name)
+    c = Client(spark, f"{scratch_folder(spark)}/scratch-{uuid.uuid4().hex}").db().collection(name)
     c.create_from_frame(table(spark, sf_dir, name), IDS[name])
     return c
 
@@ -245,6 +254,135 @@ add_write(
     "SELECT vec_id, list_append(embedding, 7.0::FLOAT) AS embedding, label FROM embeddings",
 )
 add_write("update_counts", "orders", lambda c: counts(c, c.update_many({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "Q"}}), "matched_count"), "SELECT count(*)::BIGINT AS matched_count FROM orders WHERE o_orderstatus = 'P'")
+add_write(
+    "update_modified_count", "orders", lambda c: counts(c, c.update_many({"o_orderstatus": {"$in": ["F", "P"]}}, {"$set": {"o_orderstatus": "P"}}), "matched_count", "modified_count"),
+    "SELECT count(*)::BIGINT AS matched_count, count(*) FILTER (o_orderstatus = 'F') AS modified_count FROM orders WHERE o_orderstatus IN ('F', 'P')",
+)
+add_write(
+    "update_noop_id", "nation", lambda c: counts(c, c.update_many({"n_nationkey": 7}, {"$set": {"n_nationkey": 7}}), "matched_count", "modified_count"),
+    "SELECT count(*)::BIGINT AS matched_count, 0::BIGINT AS modified_count FROM nation WHERE n_nationkey = 7",
+)
+
+
+def null_parent(c: Collection) -> DataFrame:
+    """Fields set below documents that some rows don't have."""
+    spread = F.when(F.col("n_nationkey") % 2 == 0, F.struct(F.col("n_regionkey").alias("a"), F.col("n_name").alias("b")))
+    other = c.database.collection("spread")
+    other.create_from_frame(c.frame().select("n_nationkey", spread.alias("d")), ["n_nationkey"], null_means="missing")
+    other.update_many({"n_nationkey": {"$lt": 20}}, {"$set": {"d.a": 50}, "$inc": {"d.c": 2}})
+    return other.frame().select("n_nationkey", "d.a", "d.b", "d.c")
+
+
+add_write(
+    "update_null_parent", "nation", null_parent,
+    "SELECT n_nationkey, CASE WHEN n_nationkey < 20 THEN 50 WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS a, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS b, CASE WHEN n_nationkey < 20 THEN 2 END AS c FROM nation",
+)
+
+
+def upsert_rows(c: Collection) -> None:
+    c.update_one({"r_regionkey": 99}, {"$set": {"r_name": "NOWHERE"}}, upsert=True)
+    c.update_one({"r_regionkey": 0}, {"$set": {"r_name": "FIRST"}, "$setOnInsert": {"r_regionkey": 77}}, upsert=True)
+    c.insert_many([{"r_regionkey": 50, "r_name": "FIFTY"}, {"r_regionkey": 51}])
+    try:
+        c.insert_many([{"r_regionkey": 50}, {"r_regionkey": 52, "r_name": "LAST"}], ordered=False)
+    except BulkWriteError as e:
+        c.insert_one({"r_regionkey": e.code})
+
+
+add_write(
+    "upsert_typed", "region", upsert_rows,
+    "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'FIRST' ELSE r_name END AS r_name FROM region UNION ALL SELECT * FROM (VALUES (99, 'NOWHERE'), (50, 'FIFTY'), (51, NULL), (52, 'LAST'), (11000, NULL))",
+)
+add_write("update_one_without_ids", "lineitem", lambda c: counts(c, c.update_one({"l_quantity": {"$gt": 49}}, {"$set": {"l_comment_new": "x"}}) | {"n": c.count_documents({"l_comment_new": "x"})}, "modified_count", "n"), "SELECT 1::BIGINT AS modified_count, 1::BIGINT AS n")
+add_write("delete_one_without_ids", "lineitem", lambda c: counts(c, c.delete_one({"l_quantity": {"$gt": 49}}) | {"n": c.count_documents()}, "deleted_count", "n"), "SELECT 1::BIGINT AS deleted_count, count(*) - 1 AS n FROM lineitem")
+
+
+def push_sorted(c: Collection) -> DataFrame:
+    """Documents pushed onto arrays of documents and sorted by two of their fields."""
+    orders = run_pipeline(natural(c.frame(), ["o_orderkey"]), parse_pipeline([{"$match": {"o_custkey": {"$lte": 40}}}, ITEMS]))
+    other = c.database.collection("by_customer")
+    other.create_from_frame(orders, ["_id"])
+    other.update_many({}, {"$push": {"items": {"$each": [{"k": 0, "p": 5.0, "s": "N"}], "$sort": {"s": -1, "p": 1}, "$slice": 3}}})
+    return other.frame().select("_id", F.col("items.k").alias("keys"))
+
+
+add_write(
+    "update_push_sort", "orders", push_sorted,
+    "SELECT o_custkey AS _id, list(k ORDER BY s DESC, p)[1:3] AS keys FROM (SELECT o_custkey, o_orderkey AS k, o_totalprice AS p, o_orderstatus AS s FROM orders WHERE o_custkey <= 40 UNION ALL SELECT DISTINCT o_custkey, 0, 5.0, 'N' FROM orders WHERE o_custkey <= 40) GROUP BY 1",
+)
+
+
+def two_writers(c: Collection) -> None:
+    """Two writers of one collection at once: the one that is second reads again."""
+    again = c.database.client.db().collection(c.name)
+    jobs = [threading.Thread(target=w.insert_frame, args=(c.frame().withColumn("n_nationkey", F.col("n_nationkey") + shift),)) for w, shift in ((c, 100), (again, 200))]
+    for job in jobs:
+        job.start()
+    for job in jobs:
+        job.join()
+
+
+add_write("concurrent_writers", "nation", two_writers, "SELECT n_nationkey + shift AS n_nationkey, n_name, n_regionkey FROM nation, (VALUES (0), (100), (200)) t(shift)")
+
+
+def catalog(c: Collection) -> DataFrame:
+    """Collections and indexes that are left after some were made, renamed and dropped."""
+    db, frame = c.database, c.frame()
+    for name in ("a", "b"):
+        db.collection(name).create_from_frame(frame, ["r_regionkey"])
+    db.rename_collection("a", "z")
+    db.collection("b").drop()
+    c.create_index({"r_name": 1}, unique=True)
+    c.create_index([("r_name", -1), ("r_regionkey", 1)], name="both")
+    c.create_index({"r_regionkey": -1})
+    c.drop_index("r_regionkey_-1")
+    rows = [("collection", x["name"], db.collection(x["name"]).count_documents()) for x in db.list_collections()] + [("index", x["name"], len(x["key"])) for x in c.list_indexes()]
+    return c.spark.createDataFrame(rows, "kind string, name string, n long")
+
+
+add_write(
+    "catalog", "region", catalog,
+    "SELECT 'collection' AS kind, unnest(['region', 'z']) AS name, count(*)::BIGINT AS n FROM region UNION ALL SELECT * FROM (VALUES ('index', '_id_', 1), ('index', 'r_name_1', 1), ('index', 'both', 2))",
+)
+
+
+def read_cursor(c: Collection) -> DataFrame:
+    """A cursor read step by step, to its end."""
+    cursor = c.find({"c_acctbal": {"$lt": 1000}}).sort([("c_acctbal", -1), ("c_custkey", 1)]).limit(12)
+    rows = [(1, cursor.next()["c_custkey"])]
+    while cursor.has_next():
+        rows.append((len(rows) + 1, cursor.next()["c_custkey"]))
+    closed = c.find({})
+    closed.close()
+    return c.spark.createDataFrame(rows if cursor.next() is None and not closed.has_next() else [], "place int, c_custkey long")
+
+
+add_write("cursor_reading", "customer", read_cursor, "SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INTEGER AS place, c_custkey::BIGINT AS c_custkey FROM customer WHERE c_acctbal < 1000 ORDER BY 1 LIMIT 12")
+
+
+def error_codes(c: Collection) -> DataFrame:
+    """What is rejected, with which code; null for what is outside the supported surface."""
+    tries: dict[str, Callable[[], Any]] = {
+        "unknown operator": lambda: c.find({"n_name": {"$foo": 1}}), "empty $or": lambda: c.find({"$or": []}), "two fields in a stage": lambda: c.aggregate([{"$match": {}, "$limit": 1}]),
+        "negative limit": lambda: c.aggregate([{"$limit": -1}]), "mixed projection": lambda: c.aggregate([{"$project": {"n_name": 1, "n_regionkey": 0}}]), "changed id": lambda: c.update_many({}, {"$set": {"n_nationkey": -1}}),
+        "increased text": lambda: c.update_many({}, {"$inc": {"n_name": 1}}), "conflicting paths": lambda: c.update_many({}, {"$set": {"a": 1, "a.b": 2}}), "renamed into itself": lambda: c.update_many({}, {"$rename": {"n_name": "n_name.x"}}),
+        "repeated row": lambda: c.insert_frame(c.frame()), "index options": lambda: [c.create_index({"n_name": 1}, name=n) for n in ("x", "y")], "missing index": lambda: c.drop_index("none"), "renamed to itself": lambda: c.rename(c.name),
+        "unsupported stage": lambda: c.aggregate([{"$lookup": {}}]), "unsupported accumulator": lambda: c.aggregate([{"$group": {"_id": None, "x": {"$stdDevPop": "$n_nationkey"}}}]), "unsupported update": lambda: c.update_many({}, {"$mul": {"n_nationkey": 2}}),
+    }
+    found = []
+    for what, attempt in tries.items():
+        try:
+            attempt()
+        except QueryError as e:
+            found.append((what, None if isinstance(e, NotSupported) else e.code))
+    rest = c.count_documents()
+    return c.spark.createDataFrame([(*f, rest) for f in found], "what string, code int, n long")
+
+
+add_write(
+    "error_codes", "nation", error_codes,
+    "SELECT what, code, count(*)::BIGINT AS n FROM nation, (VALUES ('unknown operator', 2), ('empty $or', 2), ('two fields in a stage', 40323), ('negative limit', 5107201), ('mixed projection', 31254), ('changed id', 66), ('increased text', 14), ('conflicting paths', 40), ('renamed into itself', 2), ('repeated row', 11000), ('index options', 85), ('missing index', 27), ('renamed to itself', 20), ('unsupported stage', NULL), ('unsupported accumulator', NULL), ('unsupported update', NULL)) t(what, code) GROUP BY ALL",
+)
 add_write("delete_many", "orders", lambda c: c.delete_many({"o_totalprice": {"$lt": 200000}}) and None, "SELECT * FROM orders WHERE o_totalprice >= 200000")
 add_write("delete_one", "nation", lambda c: c.delete_one({"n_regionkey": 1}) and None, "SELECT * FROM nation WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1)")
 add_write("count_documents_skip_limit", "orders", lambda c: counts(c, {"n": c.count_documents({"o_orderstatus": "F"}, skip=10, limit=50)}, "n"), "SELECT least(greatest(count(*) - 10, 0), 50)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F'")
@@ -289,8 +427,7 @@ add_mixed(
 
 def add_documents(key: str, write: Callable[[Collection], None], schema: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-")
-        c = Client(spark, f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}").db().collection("documents")
+        c = Client(spark, f"{scratch_folder(spark)}/scratch-{uuid.uuid4().hex}").db().collection("documents")
         write(c)
         return c.frame().select(F.from_json("doc", schema).alias("d")).select("d.*")
 
@@ -340,3 +477,59 @@ add_documents("insert_many_ordered", insert_ordered, "_id long", "SELECT unnest(
 add_documents("unique_violation", violate_unique, "_id long, login string", "SELECT * FROM (VALUES (1::BIGINT, 'a'), (2, '[\"b\",\"c\"]'), (11000, 'refused c'), (11, 'd'), (11002, 'refused a')) t(_id, login)")
 add_documents("update_upsert", upsert, "_id long, a long, b long, c long", "SELECT 1::BIGINT AS _id, 12::BIGINT AS a, 3::BIGINT AS b, 4::BIGINT AS c")
 add_documents("update_arrays", update_arrays, "_id long, t array<long>", "SELECT * FROM (VALUES (1::BIGINT, [0, 7]::BIGINT[]), (2, [0, 1, 7]::BIGINT[]), (3, [9, 8, 2]::BIGINT[]), (4, [2, 3]::BIGINT[])) t(_id, t)")
+
+
+def add_table_documents(key: str, name: str, write: Callable[[Collection, list[dict]], None], schema: str, sql: str) -> None:
+    """As add_documents(), from all rows of a small table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = Client(spark, f"{scratch_folder(spark)}/scratch-{uuid.uuid4().hex}").db().collection("documents")
+        write(c, [r.asDict() for r in table(spark, sf_dir, name).orderBy(*IDS[name]).collect()])
+        return c.frame().select(F.from_json("doc", schema).alias("d")).select("d.*")
+
+    QUERIES[key] = run
+    ORACLES[key] = sql
+
+
+def insert_nations(c: Collection, rows: list[dict]) -> None:
+    """All nations, then those of two regions again beside new ones: the repeated ones are refused."""
+    c.insert_many([{"_id": r["n_nationkey"], "name": r["n_name"]} for r in rows])
+    try:
+        c.insert_many([{"_id": r["n_nationkey"] + 1000 * (r["n_regionkey"] > 1), "name": r["n_name"]} for r in rows], ordered=False)
+    except BulkWriteError as e:
+        c.insert_one({"_id": -1, "name": f"{len(e.write_errors)} refused"})
+
+
+def one_per_region(c: Collection, rows: list[dict]) -> None:
+    c.create_index({"region": 1}, unique=True)
+    try:
+        c.insert_many([{"_id": r["n_nationkey"], "region": [r["n_regionkey"], r["n_regionkey"] + 100]} for r in rows], ordered=False)
+    except BulkWriteError:
+        c.insert_one({"_id": 500, "region": 500})
+
+
+def nations_of_regions(c: Collection, rows: list[dict]) -> None:
+    groups: dict[int, list[int]] = {}
+    for r in rows:
+        groups.setdefault(r["n_regionkey"], []).append(r["n_nationkey"])
+    c.insert_many([{"_id": k, "nations": v} for k, v in groups.items()])
+    c.update_many({"_id": {"$lt": 3}}, {"$push": {"nations": {"$each": [90, 80], "$sort": -1, "$slice": 4}}})
+    c.update_many({"nations": {"$gte": 20}}, {"$pull": {"nations": {"$lt": 10}}})
+    c.update_one({"_id": 77, "kind": "new"}, {"$addToSet": {"nations": {"$each": [7, 7, 8]}}, "$setOnInsert": {"from": "upsert"}}, upsert=True)
+    c.update_one({"_id": 77}, {"$addToSet": {"nations": {"$each": [8, 9]}}, "$setOnInsert": {"from": "nothing"}}, upsert=True)
+
+
+add_table_documents(
+    "insert_many_table", "nation", insert_nations, "_id long, name string",
+    "SELECT n_nationkey::BIGINT AS _id, n_name AS name FROM nation UNION ALL SELECT n_nationkey + 1000, n_name FROM nation WHERE n_regionkey > 1 UNION ALL SELECT -1, count(*) || ' refused' FROM nation WHERE n_regionkey <= 1",
+)
+add_table_documents(
+    "unique_violation_table", "nation", one_per_region, "_id long, region string",
+    "SELECT min(n_nationkey)::BIGINT AS _id, '[' || n_regionkey || ',' || (n_regionkey + 100) || ']' AS region FROM nation GROUP BY n_regionkey UNION ALL SELECT 500, '500'",
+)
+add_table_documents(
+    "update_arrays_table", "nation", nations_of_regions, "_id long, nations array<long>, kind string, from string",
+    """WITH grouped AS (SELECT n_regionkey::BIGINT AS _id, list(n_nationkey::BIGINT ORDER BY n_nationkey) AS l FROM nation GROUP BY 1),
+pushed AS (SELECT _id, CASE WHEN _id < 3 THEN list_reverse_sort(list_concat(l, [90, 80]))[1:4] ELSE l END AS l FROM grouped)
+SELECT _id, CASE WHEN list_max(l) >= 20 THEN list_filter(l, lambda x: x >= 10) ELSE l END AS nations, NULL AS kind, NULL AS "from" FROM pushed UNION ALL SELECT 77, [7, 8, 9], 'new', 'upsert'""",
+)

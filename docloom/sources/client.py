@@ -11,18 +11,20 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkTypeError, PySparkValueError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.errors import BulkWriteError, NotSupported, QueryError
 from docloom.functions.matcher import branches, matches
-from docloom.functions.updates import apply_update, parse_update, upserted
+from docloom.functions.updates import Change, apply_update, parse_update, upserted
 from docloom.operators.dynamic import SCHEMA, Documents, each, filtered, from_documents, run_documents
 from docloom.operators.ordering import direction
 from docloom.operators.pipeline import natural, parse_pipeline, run_pipeline
-from docloom.operators.updates import updated_frame
+from docloom.operators.updates import CHANGED, HIT, updated_frame
 from docloom.plans.columns import FilterCompiler, known
+from docloom.plans.expressions import HIDDEN
 from docloom.plans.filters import parse_filter
 from docloom.sources.store import Conflict, Store, check_name
 from docloom.values import MISSING, ObjectId, equal, from_json, order_key, to_json
@@ -88,6 +90,10 @@ class Database:
 
         self.change(edit)
 
+    def vacuum(self, older_than: float = 3600.0) -> list[str]:
+        """Delete data and manifests that the newest version doesn't need and that are older than so many seconds."""
+        return self.client.store.vacuum(self.name, older_than)
+
     def drop_database(self) -> bool:
         self.client.store.drop_folder(self.name)
         return True
@@ -177,6 +183,7 @@ def whole(n: Any, what: str, negative: bool = False) -> int:
 class Collection:
     def __init__(self, database: Database, name: str):
         self.database, self.name = database, name
+        self.counted: dict[str, int] = {}
         self.spark, self.store = database.client.spark, database.client.store
 
     # -- reading -------------------------------------------------------------------------------------
@@ -250,8 +257,11 @@ class Collection:
         entry = {"id": ObjectId().__str__(), "segments": [], "count": 0, "indexes": [], "profile": "dynamic", "ids": ["_id"], "null_means": "missing", "schema": None}
         return entry | (typed or {}) | ({"profile": "typed"} if typed else {})
 
-    def _write(self, rows: Callable[[dict | None], tuple[DataFrame | None, bool]], typed: dict | None = None, unique: bool = False) -> dict:
-        """Write a segment and commit it; from the start again if another writer was first. rows(entry) -> (rows, whether they are added to the others)."""
+    def _write(self, rows: Callable[[dict | None], tuple[DataFrame | None, bool]], typed: dict | None = None, unique: bool = False, needed: str | None = None) -> dict:
+        """Write a segment and commit it; from the start again if another writer was first. rows(entry) -> (rows, whether they are added to the others).
+
+        Rows are counted while they are written, and so are those whose HIT and CHANGED are true (self.counted). Nothing is committed if `needed` of these is 0.
+        """
         for _ in range(20):
             version, manifest = self.store.read(self.database.name)
             entry = manifest["collections"].get(self.name)
@@ -264,19 +274,28 @@ class Collection:
                 entry["segments"], entry["count"] = [], 0
             else:
                 path = self.store.new_segment(self.database.name, entry["id"])
-                df.write.option("compression", self.database.client.codec).parquet(path)
-                n = self.spark.read.parquet(path).count()
+                seen = Observation()
+                totals = [F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(f"`{c}`")).alias(c) for c in (HIT, CHANGED) if c in df.columns)]
+                df.observe(seen, *totals).drop(HIT, CHANGED).write.option("compression", self.database.client.codec).parquet(path)
+                self.counted = seen.get
+                n = self.counted["rows"]
+                if needed and not self.counted[needed]:
+                    self.store.drop_path(path)
+                    return entry
                 entry["segments"] = [*entry["segments"], path] if added else [path]
                 entry["count"] = entry["count"] + n if added else n
                 if entry["profile"] == "typed" and not added:
                     entry["schema"] = self.spark.read.parquet(path).schema.json()
-            if unique:
-                self._check_unique(entry)
             try:
+                if unique:
+                    self._check_unique(entry)
                 self.store.commit(self.database.name, version, manifest)
                 return entry
-            except Conflict:
-                continue
+            except (Conflict, QueryError) as e:
+                if df is not None:
+                    self.store.drop_path(path)
+                if isinstance(e, QueryError):
+                    raise
         raise QueryError(112, "too many concurrent writes")
 
     def _index_keys(self, entry: dict) -> list[tuple[str, list[str]]]:
@@ -285,13 +304,14 @@ class Collection:
     def _keyed(self, entry: dict, df: DataFrame, paths: list[str], name: str) -> DataFrame:
         """(row, key) for each distinct index key of each document: every array element, missing as null."""
         if entry["profile"] == "typed":
-            marked = df.withColumn("__row", F.monotonically_increasing_id())
+            row = f"{HIDDEN}row"
+            marked = df.withColumn(row, F.monotonically_increasing_id())
             cols = []
             for i, p in enumerate(paths):
                 col, kind = F.col(f"`{p}`") if p in df.columns else F.lit(None), df.schema[p].dataType if p in df.columns else None
-                marked = marked.withColumn(f"__k{i}", F.explode_outer(F.array_distinct(col)) if isinstance(kind, T.ArrayType) else col)
-                cols.append(F.col(f"__k{i}"))
-            return marked.select(F.col("__row").cast("string").alias("row"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("key")).distinct()
+                marked = marked.withColumn(f"{HIDDEN}k{i}", F.explode_outer(F.array_distinct(col)) if isinstance(kind, T.ArrayType) else col)
+                cols.append(F.col(f"`{HIDDEN}k{i}`"))
+            return marked.select(F.col(f"`{row}`").cast("string").alias("row"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("key")).distinct()
         keys = each(df, lambda order, d: ((order, k.hex()) for k in document_keys(d, paths, name)))
         key = F.regexp_replace("doc", '"', "").alias("key")  # a JSON string of hexadecimal digits
         if name == "_id_":  # a repeated document would be the same row and key
@@ -329,7 +349,16 @@ class Collection:
 
         def rows(entry: dict | None) -> tuple[DataFrame | None, bool]:
             if entry and entry["profile"] == "typed":
-                raise NotSupported("inserting dictionaries into a typed collection; use insert_frame")
+                new = self._typed_rows(entry, docs)
+                keys = {}
+                for name, paths in self._index_keys(entry):
+                    keys[name] = [[] for _ in docs]
+                    for r in self._keyed(entry, new, paths, name).collect() if paths else ():
+                        keys[name][int(r["row"])].append(r["key"])
+                kept, errors = self._accepted(entry, docs, ordered, keys)
+                ids = [{i: d.get(i) for i in entry["ids"]} for d in docs]
+                result.update(inserted={i: ids[i] if len(ids[i]) != 1 else next(iter(ids[i].values())) for i in kept}, errors=errors)
+                return self._typed_rows(entry, [docs[i] for i in kept]), True
             kept, errors = self._accepted(entry or self._blank(), prepared, ordered)
             result.update(inserted={i: prepared[i]["_id"] for i in kept}, errors=errors)
             return from_documents(self.spark, [prepared[i] for i in kept]).coalesce(1 + len(kept) // 100_000), True
@@ -339,13 +368,26 @@ class Collection:
             raise BulkWriteError(result["errors"][0]["errmsg"], len(result["inserted"]), result["errors"])
         return {"acknowledged": True, "inserted_count": len(result["inserted"]), "inserted_ids": result["inserted"]}
 
-    def _accepted(self, entry: dict, docs: list[dict], ordered: bool) -> tuple[list[int], list[dict]]:
+    def _typed_rows(self, entry: dict, docs: list[dict]) -> DataFrame:
+        """Documents as rows of a typed collection, in one partition; a field it doesn't have is rejected, an absent one is null."""
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        for d in docs:
+            if unknown := set(d) - set(schema.names):
+                raise NotSupported(f"the new field {sorted(unknown)[0]!r} in a typed collection")
+        try:
+            return self.spark.createDataFrame([tuple(d.get(n) for n in schema.names) for d in docs], T.StructType([T.StructField(f.name, f.dataType) for f in schema])).coalesce(1)
+        except (PySparkTypeError, PySparkValueError) as e:
+            raise NotSupported(f"a value of another type in a typed collection: {e}") from None
+
+    def _accepted(self, entry: dict, docs: list[dict], ordered: bool, keys: dict[str, list[list[str]]] | None = None) -> tuple[list[int], list[dict]]:
         """Positions of the documents that no unique key rejects, and the errors of the others. Only the batch's own keys are looked up."""
         taken: dict[str, set[str]] = {}
-        wanted = {name: [[k.hex() for k in document_keys(d, paths, name)] for d in docs] for name, paths in self._index_keys(entry)}
+        wanted = keys or {name: [[k.hex() for k in document_keys(d, paths, name)] for d in docs] for name, paths in self._index_keys(entry)}
         if entry["segments"]:
             df = self._frame(entry)
             for name, paths in self._index_keys(entry):
+                if not paths:
+                    continue
                 asked = self.spark.createDataFrame([(k,) for k in {k for ks in wanted[name] for k in ks}], "key string")
                 taken[name] = {r["key"] for r in self._keyed(entry, df, paths, name).join(F.broadcast(asked), "key", "left_semi").select("key").distinct().collect()}
         kept, errors = [], []
@@ -400,9 +442,13 @@ class Collection:
         return {"acknowledged": True, "deleted_count": before[-1] - after}
 
     def _hit_one(self, entry: dict, df: DataFrame, node):
-        """A condition that only the first matching row meets."""
+        """A condition that only the first matching row meets; without ids the first one by its place in the files."""
+        if not entry["ids"]:
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            first = df.filter(FilterCompiler(df.schema, entry["null_means"]).compile(node)).agg(F.min(place).alias("at")).first()["at"] if entry["segments"] else None
+            return place.eqNullSafe(F.struct(F.lit(first["file"]).alias("file"), F.lit(first["row"]).cast("long").alias("row"))) if first else F.lit(False)
         first = run_pipeline(natural(df, entry["ids"], entry["null_means"]), [("$match", node), ("$limit", 1)]).select(*entry["ids"]).collect()
-        if not first or not entry["ids"]:
+        if not first:
             return F.lit(False)
         out = F.lit(True)
         for name in entry["ids"]:
@@ -419,13 +465,13 @@ class Collection:
         """All matching documents are changed, or none if a change fails."""
         node, changes, entry = parse_filter(filter_), parse_update(update), self._entry()
         matched = 0
+        if entry is not None and entry["profile"] == "typed":
+            return self._update_typed(filter_ or {}, node, changes, upsert, one)
         if entry is not None:
             matched = self._matching(entry, self._frame(entry), node).limit(1).count() if one else self._matching(entry, self._frame(entry), node).count()
         done = {"acknowledged": True, "matched_count": matched, "modified_count": 0, "upserted_count": 0, "upserted_id": None}
         if not matched:
             if upsert:
-                if entry and entry["profile"] == "typed":
-                    raise NotSupported("upserts into a typed collection")
                 doc = upserted(filter_ or {}, changes, ObjectId())
                 self.insert_one(doc)
                 done.update(upserted_count=1, upserted_id=doc["_id"])
@@ -434,10 +480,6 @@ class Collection:
 
         def rows(e: dict | None) -> tuple[DataFrame, bool]:
             df = self._frame(e)
-            if e["profile"] == "typed":
-                hit = self._hit_one(e, df, node) if one else FilterCompiler(df.schema, e["null_means"]).compile(node)
-                modified.append(matched)
-                return updated_frame(df, hit, changes, e["ids"]), False
             only = filtered(df, node).agg(F.min("ord")).first()[0] if one else None
             only = bytes(only) if only is not None else None
 
@@ -464,6 +506,32 @@ class Collection:
             raise update_error(e) from None
         return done | {"modified_count": modified[-1]}
 
+    def _update_typed(self, filter_: dict, node, changes: list[Change], upsert: bool, one: bool) -> dict:
+        """One pass: rows are rewritten, and the matching and the changed ones counted, in the version that is committed."""
+
+        def rows(e: dict | None) -> tuple[DataFrame, bool]:
+            if e is None or e["profile"] != "typed":
+                raise QueryError(112, "the collection was replaced meanwhile")
+            df = self._frame(e)
+            hit = self._hit_one(e, df, node) if one else FilterCompiler(df.schema, e["null_means"]).compile(node)
+            return updated_frame(df, hit, changes, e["ids"], e["null_means"]), False
+
+        try:
+            indexed = any(i["unique"] for i in (self._entry() or {"indexes": []})["indexes"])
+            self._write(rows, unique=indexed, needed=CHANGED)
+        except QueryError:
+            raise
+        except Exception as e:
+            raise update_error(e) from None
+        matched, modified = self.counted[HIT], self.counted[CHANGED]
+        done = {"acknowledged": True, "matched_count": matched, "modified_count": modified, "upserted_count": 0, "upserted_id": None}
+        if upsert and not matched:
+            doc = upserted(filter_, changes, None)
+            if doc["_id"] is None and "_id" not in (self._entry() or {}).get("ids", []):
+                doc.pop("_id")
+            done.update(upserted_count=1, upserted_id=self.insert_one(doc)["inserted_id"])
+        return done
+
     # -- indexes and administration ------------------------------------------------------------------
 
     def create_index(self, keys: Any, name: str | None = None, unique: bool = False) -> str:
@@ -483,11 +551,13 @@ class Collection:
                 if i["name"] == name:
                     raise QueryError(86, f"An index with the name {name} exists on other fields")
             entry["indexes"].append({"name": name, "key": spec, "unique": unique})
-            if unique or entry["profile"] == "dynamic":
-                if entry["segments"]:
-                    self._check_unique(entry)
+            if (unique or entry["profile"] == "dynamic") and entry["segments"] and entry["segments"] != checked:
+                self._check_unique(entry)
+                checked[:] = entry["segments"]
             return name
 
+        checked: list[str] = []  # the data that was found to have no repeated key: a retry doesn't look again
+
         if list(spec) == ["_id"]:
             return "_id_"
         return self.database.change(edit)
@@ -558,7 +628,7 @@ def duplicate(collection: str, index: str, paths: list[str], value: Any) -> Quer
 
 def update_error(e: Exception) -> Exception:
     """The query error behind a failed task, if that's what it was."""
-    found = re.search(r"docloom\.errors\.QueryError: (.*)", str(e))
+    found = re.search(r"(?:docloom\.errors\.QueryError:|\[USER_RAISED_EXCEPTION\]) (.*?)(?: SQLSTATE:.*)?$", str(e), re.M)
     for code, words in ((66, "immutable field"), (14, "non-numeric"), (28, "Cannot create field"), (2, "must be an array"), (2, "array element")):
         if found and words in found[1]:
             return QueryError(code, found[1].strip())

@@ -1,14 +1,19 @@
-"""Versioned collections in a directory of any Hadoop file system.
+"""Versioned collections in a directory of a Hadoop file system.
 
 A database is a folder; its catalog is a series of JSON manifests, one per version, and the newest one
-counts. A new version is created exclusively, so of two writers only one gets it and the other one reads
-again and retries. Data files are never changed: a write adds a segment or replaces all of them, and
-readers go on with the version they began with.
+counts. A manifest is written under a name of its own and then moved to its place unless something is
+there, so nobody reads half of one, a writer that dies leaves nothing in the way, and of two writers only one gets the
+version; the other one reads again and retries. That takes a file system whose move is atomic and doesn't overwrite:
+HDFS and those that behave like it, and the local one (by a hard link). Object stores don't.
+Data files are never changed: a write adds a segment or replaces all of them, and readers go on with the
+version they began with. vacuum() deletes what the newest version doesn't name any more.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from typing import Any
 
@@ -49,17 +54,47 @@ class Store:
             stream.close()
 
     def commit(self, database: str, version: int, manifest: dict[str, Any]) -> None:
+        """Make the manifest version + 1, or raise Conflict if there is one."""
         path = self._path(f"{self.root}/{database}/_catalog/v{version + 1:010d}.json")
-        try:
-            out = self.fs.create(path, False)
-        except Exception as e:
-            if "exist" in str(e).lower():
-                raise Conflict from None
-            raise
+        draft = self._path(f"{self.root}/{database}/_catalog/draft-{uuid.uuid4().hex}")
+        out = self.fs.create(draft, False)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
+        try:
+            if not self._move(draft, path):
+                raise Conflict
+        finally:
+            self.fs.delete(draft, False)
+
+    def _move(self, source, target) -> bool:
+        """Move a file unless the target exists."""
+        if self.fs.getUri().getScheme() != "file":
+            return self.fs.rename(source, target)
+        try:
+            os.link(source.toUri().getPath(), target.toUri().getPath())  # the local rename would overwrite
+        except FileExistsError:
+            return False
+        return True
+
+    def vacuum(self, database: str, older_than: float = 3600.0) -> list[str]:
+        """Delete segments that the newest version doesn't name, and older manifests and drafts, if they are older than so many seconds (readers of an older version may need them). Returns the paths."""
+        version, manifest = self.read(database)
+        named = {self._path(s).getName() for c in manifest["collections"].values() for s in c["segments"]}
+        before, gone = (time.time() - older_than) * 1000, []
+        folder = self._path(f"{self.root}/{database}")
+        for place in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
+            for f in self.fs.listStatus(place.getPath()):
+                name = f.getPath().getName()
+                kept = name == f"v{version:010d}.json" if place.getPath().getName() == "_catalog" else name in named
+                if not kept and f.getModificationTime() <= before:
+                    self.fs.delete(f.getPath(), True)
+                    gone.append(str(f.getPath()))
+        return gone
+
+    def drop_path(self, path: str) -> None:
+        self.fs.delete(self._path(path), True)
 
     def new_segment(self, database: str, collection_id: str) -> str:
         return f"{self.root}/{database}/{collection_id}/{uuid.uuid4().hex}"

@@ -122,3 +122,89 @@ def test_typed(spark, db):
         c.insert_many([{"_id": 1}])
     with pytest.raises(QueryError):
         c.update_many({}, {"$set": {"id": 5}})
+
+
+def test_typed_counts_and_ids(spark, db):
+    """Only rows that change are modified, an id may be set to itself, and rows without ids are updated and deleted one at a time."""
+    c = db.collection("t")
+    c.create_from_frame(spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string"), ["id"])
+    done = c.update_many({}, {"$set": {"s": "a"}})
+    assert (done["matched_count"], done["modified_count"]) == (2, 1)
+    before = c.frame().inputFiles()
+    done = c.update_many({"id": 1}, {"$set": {"id": 1, "s": "a"}})
+    assert (done["matched_count"], done["modified_count"]) == (1, 0) and c.frame().inputFiles() == before
+    assert c.update_one({"id": 7}, {"$set": {"s": "new"}}, upsert=True)["upserted_id"] == 7 and c.update_one({"id": 7}, {"$set": {"s": "x"}}, upsert=True)["upserted_count"] == 0
+    with pytest.raises(NotSupported):
+        c.insert_one({"id": 8, "other": 1})
+    with pytest.raises(QueryError) as e:
+        c.insert_one({"id": 7, "s": "y"})
+    assert e.value.code == 11000 and c.count_documents() == 3
+    bare = db.collection("bare")
+    bare.create_from_frame(spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "k string, n int").repartition(2), [])
+    assert bare.update_one({"k": "x"}, {"$inc": {"n": 5}})["modified_count"] == 1 and bare.count_documents({"n": 6}) == 1
+    assert bare.delete_one({"k": "x"})["deleted_count"] == 1 and bare.count_documents() == 2
+    assert bare.delete_one({"k": "z"})["deleted_count"] == 0
+
+
+def test_null_parents(spark, db):
+    rows = [(1, None), (2, (3, None))]
+    for means in ("missing", "null"):
+        c = db.collection(means)
+        c.create_from_frame(spark.createDataFrame(rows, "id int, d struct<a:int,e:struct<x:int>>"), ["id"], null_means=means)
+        if means == "null":
+            with pytest.raises(QueryError) as e:
+                c.update_many({}, {"$set": {"d.a": 5}})
+            assert e.value.code == 28
+            continue
+        assert c.update_many({}, {"$set": {"d.a": 5, "d.e.y": "new"}})["modified_count"] == 2
+        assert [d["d"] for d in c.find().sort("id")] == [{"a": 5, "e": {"x": None, "y": "new"}}] * 2
+        assert c.update_many({}, {"$unset": {"d.e.y": ""}})["modified_count"] == 2
+
+
+def test_any_column_name(spark, db):
+    c = db.collection("names")
+    c.create_from_frame(spark.createDataFrame([(1, 2, [3, 4], 5)], "k int, __x int, __item array<int>, __hit int"), ["k"])
+    assert c.find_one() == {"k": 1, "__x": 2, "__item": [3, 4], "__hit": 5}
+    assert c.aggregate([{"$unwind": "$__item"}, {"$sort": {"__item": -1}}, {"$project": {"__x": 1, "__item": 1}}]).to_list() == [{"__x": 2, "__item": 4}, {"__x": 2, "__item": 3}]
+    assert c.update_many({"__hit": 5}, {"$set": {"__x": 9}})["modified_count"] == 1 and c.find_one({"__x": 9})["__hit"] == 5
+
+
+def test_patterns_alike(spark, db):
+    """Both profiles take a pattern as JavaScript does."""
+    texts = ["é", "w_1", "٣", "7", "a b", "a\u00a0b", "Ünï", "x\ny", "ab-cd", "]"]
+    typed, mixed = db.collection("typed"), db.collection("mixed")
+    typed.create_from_frame(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), ["i"])
+    mixed.insert_many([{"_id": i, "t": t} for i, t in enumerate(texts)])
+    expected = {r"^\w+$": {1, 3}, r"\d": {1, 3}, r"\bb": {4, 5}, r"a\sb": {4, 5}, r"^\W$": {0, 2, 9}, r"[\d_]": {1, 3}, r"[^\w\s]": {0, 2, 6, 8, 9}, r"^\p{L}+$": {0, 6}, r"^(?<first>a)(?<rest>.*)$": {4, 5, 8}, "^x$": set(), r"[\W]": {0, 2, 4, 5, 6, 7, 8, 9}, r"^\D+$": {0, 2, 4, 5, 6, 7, 8, 9}}
+    for pattern, found in expected.items():
+        assert {d["i"] for d in typed.find({"t": {"$regex": pattern}})} == found, pattern
+        assert {d["_id"] for d in mixed.find({"t": {"$regex": pattern}})} == found, pattern
+    for c, key in ((typed, "i"), (mixed, "_id")):
+        assert {d[key] for d in c.find({"t": {"$regex": "^Y$", "$options": "im"}})} == {7} and {d[key] for d in c.find({"t": {"$regex": "x.y", "$options": "s"}})} == {7} and {d[key] for d in c.find({"t": {"$regex": "üN"}})} == set()
+
+
+def test_skip_plans(spark):
+    """A skip without a limit is dealt by ranges: no plan brings all rows to one task."""
+    from docloom.operators.pipeline import natural, parse_pipeline, run_pipeline
+
+    df = spark.range(1000).selectExpr("id AS _id", "id % 7 AS a").repartition(5)
+    for stages, expected in (([{"$skip": 990}], [*range(990, 1000)]), ([{"$sort": {"a": -1}}, {"$skip": 995}], [966, 973, 980, 987, 994]), ([{"$skip": 1000}], []), ([{"$skip": 5000}], []), ([{"$skip": 998}, {"$match": {"a": {"$gte": 0}}}], [998, 999])):
+        out = run_pipeline(natural(df, ["_id"]), parse_pipeline(stages))
+        assert out.columns == ["_id", "a"] and [r["_id"] for r in out.collect()] == expected if "$sort" in stages[0] else sorted(r["_id"] for r in out.collect()) == expected
+        assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert run_pipeline(natural(df.filter("false"), ["_id"]), parse_pipeline([{"$skip": 3}])).count() == 0
+
+
+def test_store(spark, tmp_path):
+    """Manifests appear whole and once; what the newest version doesn't name can be deleted."""
+    from docloom.sources.store import Conflict, Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.commit("d", 0, {"collections": {}})
+    with pytest.raises(Conflict):
+        store.commit("d", 0, {"collections": {"late": {}}})
+    assert store.read("d") == (1, {"collections": {}}) and [p.name for p in (tmp_path / "s/d/_catalog").iterdir() if not p.name.startswith(".")] == ["v0000000001.json"]
+    c = Client(spark, str(tmp_path / "s")).db("d").collection("c")
+    c.insert_many([{"_id": i} for i in range(3)])
+    c.delete_many({"_id": 1})
+    assert len(c.database.vacuum(0)) >= 2 and c.count_documents({"_id": {"$gte": 0}}) == 2 and c.database.vacuum(0) == []
