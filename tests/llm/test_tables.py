@@ -13,7 +13,9 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from docloom.llm import url_lists
 from docloom.llm.queries import ORACLES, QUERIES
+from docloom.llm.common import checkpoint, spread_join
 from docloom.llm.quality_rules import fit_rules
 from docloom.llm.sharding import assign_shards
 from docloom.llm.text_stats import all_stats, ratios
@@ -52,15 +54,26 @@ def test_negative_and_large_keys(spark):
     assert got == {k: jump(k, 40) for k in keys}
 
 
+def test_spread_join(spark):
+    """A join with hot keys, clashing helper names and keys without a partner, against a plain one."""
+    left = spark.createDataFrame([(1 if i % 3 else i, i, i % 5) for i in range(9000)], "k long, n_rows int, share int")
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(0, 9000, 2)] + [(1, "one")], "k long, n_shares string")
+    spread = spread_join(checkpoint(left), right, "k")
+    assert "share" in spread.columns and Counter(map(tuple, spread.select("k", "n_rows", "share", "n_shares").collect())) == Counter(map(tuple, left.join(right, "k").select("k", "n_rows", "share", "n_shares").collect()))
+    assert spread_join(checkpoint(left.filter("false")), right, "k").count() == 0 and spread_join(checkpoint(left), right, "k", "left").count() == 9000
+
+
 ENTRIES = [
     ("l", "host", "a.com", "add", date(2020, 1, 10)), ("l", "host", "a.com", "add", date(2020, 1, 12)), ("l", "host", "a.com", "remove", date(2020, 2, 1)), ("l", "host", "a.com", "add", date(2020, 3, 1)),
     ("l", "host", "same.com", "add", date(2020, 1, 1)), ("l", "host", "same.com", "remove", date(2020, 1, 1)), ("m", "domain", "b.org", "add", date(2020, 1, 1)), ("n", "prefix", "c.net/x/y", "add", date(2020, 1, 1)), (None, "host", "z.com", "add", None),
 ]
 
 
-def test_url_lists(spark):
+def test_url_lists(spark, monkeypatch):
     entries = spark.createDataFrame(ENTRIES, "list string, kind string, pattern string, action string, dated date")
-    spans = {(r["kind"], r["pattern"]): [(s["since"], s["until"]) for s in r["spans"]] for r in validity(entries).collect()}
+    spans = {}
+    for r in validity(entries).orderBy("since").collect():
+        spans.setdefault((r["kind"], r["pattern"]), []).append((r["since"], r["until"]))
     assert spans == {("host", "a.com"): [(date(2020, 1, 10), date(2020, 2, 1)), (date(2020, 3, 1), None)], ("domain", "b.org"): [(date(2020, 1, 1), None)], ("prefix", "c.net/x/y"): [(date(2020, 1, 1), None)]}
     cases = [
         (1, "http://a.com/p", date(2020, 1, 9), 0), (2, "http://A.com:80", date(2020, 1, 10), 1), (3, "http://u@a.com/", date(2020, 1, 31), 1), (4, "http://a.com/", date(2020, 2, 1), 0), (5, "http://a.com/", date(2021, 1, 1), 1),
@@ -68,8 +81,10 @@ def test_url_lists(spark):
         (11, "http://c.net/x/yy", date(2020, 5, 5), 0), (12, "http://c.net/x/y/", date(2020, 5, 5), 1), (13, None, date(2020, 5, 5), 0), (14, "no url", date(2020, 5, 5), 0), (15, "http://a.com/", None, 0), (None, "http://b.org/", date(2020, 5, 5), 1), (16, "http://same.com", date(2020, 5, 5), 0),
     ]
     captures = spark.createDataFrame([(*c[:3], "extra", 1) for c in cases] + [(*cases[1][:3], "extra", 1)], "page_id long, url string, fetched date, blocked string, kind int")
-    got = {r["page_id"]: (r["blocked"], r["n_matches"]) for r in judge_captures(captures, entries).collect()}
-    assert got == {c[0]: (bool(c[3]), c[3]) for c in cases}
+    for most in (url_lists.BROADCAST_BYTES, 0):  # a list too large to broadcast
+        monkeypatch.setattr(url_lists, "BROADCAST_BYTES", most)
+        got = {r["page_id"]: (r["blocked"], r["n_matches"]) for r in judge_captures(captures, entries).collect()}
+        assert got == {c[0]: (bool(c[3]), c[3]) for c in cases}
     assert judge_captures(captures.filter("false"), entries).count() == 0
     assert not any(r["blocked"] for r in judge_captures(captures, entries.filter("false")).collect())
 
