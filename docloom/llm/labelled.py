@@ -22,7 +22,7 @@ def crc_of_id(doc_id: Column) -> Column:
 def label_sample(labels: DataFrame, label: str, most: int, keep: Column | None = None) -> DataFrame:
     """About `most` rows (doc_id, label) at the most, chosen by a hash of the id, so the same rows each time.
 
-    Rows without an id or a label are left out; an id that is labelled more than once takes its largest label.
+    Rows without an id or a label are left out; an id that is labelled more than once takes its largest label; other columns are ignored; an empty table gives an empty sample.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     if keep is not None:
@@ -33,7 +33,10 @@ def label_sample(labels: DataFrame, label: str, most: int, keep: Column | None =
 
 
 def sample_stats(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of the sampled documents, in the order of their ids. The sample is small by construction, so it's broadcast."""
+    """Statistics and labels of the sampled documents, in the order of their ids. The sample is small by construction, so it's broadcast.
+
+    Null texts count as empty, rows without an id have no label, repeated rows count each; without any row both arrays are empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

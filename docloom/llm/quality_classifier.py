@@ -86,7 +86,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Discriminant:
-    """Learn labels.quality from rows that aren't held out (crc32 of the id modulo 3 is not 1)."""
+    """Learn labels.quality from rows that aren't held out (crc32 of the id modulo 3 is not 1).
+
+    Labels without an id or a quality teach nothing, an id labelled more than once takes its largest label; null texts count as empty, repeated
+    rows count each; other columns are ignored. Without labelled rows every score is 0.5.
+    """
     return fit_discriminant(*sample_stats(docs, label_sample(labels, "quality", sample_rows, ~held_out(F.col("doc_id")))))
 
 

@@ -21,7 +21,11 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FlatTrees:
-    """Trees for labels.quality; without labelled rows a constant model that keeps what the base rules keep."""
+    """Trees for labels.quality; without labelled rows a constant model that keeps what the base rules keep.
+
+    Labels without an id or a quality teach nothing, an id labelled more than once takes its largest label; null texts count as empty; repeated
+    rows count each; other columns are ignored.
+    """
     stats, y = sample_stats(docs, label_sample(labels, "quality", sample_rows))
     x = ratios(stats) if len(stats) else np.zeros((0, len(FEATURES)))
     return fit(x, (y > 0).astype(float), [-(f in FALLING) for f in FEATURES])

@@ -5,7 +5,8 @@ and the last jump below the shard count is the shard. One more shard takes rows
 
 Slots number the rows of a shard from 0 without gaps, in the order (doc_id, text_crc32, size), nulls
 first. They come from a range partitioning, an index inside each partition and the running sum of a
-small table of counts (one row per partition and shard), so no shard is ever gathered in one task.
+small table of counts (one row per partition and shard), so no shard is ever gathered in one task. Rows
+that are equal in all of these are told apart by their place in the input, so ranges can part them too.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     rows = rows.withColumn("jump", jump_hash(F.col("doc_id"), shards))
     rows = rows.select("doc_id", "size", "text_crc32", F.col("jump.shard").alias("shard"), F.col("jump.grown").alias("grown_shard"))
     order = ["doc_id", "text_crc32", "size"]
-    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions("shard", *order)
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order, "tie").drop("tie").withColumn("part", F.spark_partition_id()).sortWithinPartitions("shard", *order)
     dealt = checkpoint(dealt.withColumn("place", F.monotonically_increasing_id()))  # the range bounds are sampled: fix them once
     counts = dealt.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
