@@ -109,7 +109,7 @@ class ForcedBoundaryBPE:
 
     def _pretoken_blocks(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens of a text: one block, or several of a long text, made one after the other."""
-        pattern = (YET_PRETOKEN if NOT_YET.search(text) else PRETOKEN) if NOT_LATIN.search(text) else LATIN_PRETOKEN
+        pattern = (YET_PRETOKEN if NOT_YET.search(text) else PRETOKEN) if not text.isascii() and NOT_LATIN.search(text) else LATIN_PRETOKEN
         if len(text) <= BLOCK_CHARS:
             yield pattern.findall(text)
             return

@@ -66,12 +66,14 @@ class ArrayTokenCounter:
     def normalise(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(UNKNOWN.split(text)))
-        if CAPITAL.search(text):
+        if text.isascii():
+            return text.lower()
+        if NOT_LATIN.search(text) and CAPITAL.search(text):
             text = text.translate(SMALL)
         return text.replace("Σ", "σ").lower()  # lower case by character, without a rule for the final sigma
 
     def _blocks(self, text: str) -> Iterator[list[str]]:
-        pattern = (YET_WORD if NOT_YET.search(text) else WORD) if NOT_LATIN.search(text) else LATIN_WORD
+        pattern = (YET_WORD if NOT_YET.search(text) else WORD) if not text.isascii() and NOT_LATIN.search(text) else LATIN_WORD
         if len(text) <= BLOCK_CHARS:
             yield pattern.findall(text)
             return
