@@ -279,8 +279,11 @@ def step_group(flow: Flow, spec: dict) -> Flow:
             order = F.coalesce(flow.order[0][0].cast("long"), F.lit(-(2**63)))  # a fixed-width key keeps min_by in a hash aggregate
         else:
             order = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(parts))) if parts else F.monotonically_increasing_id()
-    aggregates = [accumulator(*next(iter(v.items())), schema, order, flow.null_means).alias(name) for name, v in spec.items() if name != "_id"]
     constant = key is None or not uses_fields(spec["_id"])
+    sets = {} if constant else {name: v["$addToSet"] for name, v in spec.items() if name != "_id" and "$addToSet" in v and distinct_argument(v["$addToSet"], schema)}
+    if sets:
+        return Flow(grouped_sets(flow, spec, key, order, sets), (), flow.null_means)
+    aggregates = [accumulator(*next(iter(v.items())), schema, order, flow.null_means).alias(name) for name, v in spec.items() if name != "_id"]
     if constant:  # one group, and none for no rows
         n = f"{HIDDEN}rows"
         df = flow.df.groupBy().agg(F.count(F.lit(1)).alias(n), *aggregates).filter(F.col(f"`{n}`") > 0)
@@ -291,6 +294,33 @@ def step_group(flow: Flow, spec: dict) -> Flow:
     return Flow(df, (), flow.null_means)
 
 
+def distinct_argument(arg: Any, schema: T.StructType) -> Any:
+    """The argument of $addToSet, if it is one value that a row can have."""
+    arg = arg[0] if isinstance(arg, list) and len(arg) == 1 else arg
+    return arg if not isinstance(arg, list) and expression(arg, schema)[0] is not None else None
+
+
+def grouped_sets(flow: Flow, spec: dict, key: Column, order: Column, sets: dict[str, Any]) -> DataFrame:
+    """Groups with sets of values: each value of a group is reduced to its first place before the values are collected, so a group's repeats never meet in one row."""
+    schema, names = flow.df.schema, [n for n in spec if n != "_id"]
+    group, value, place = (f"{HIDDEN}{x}" for x in ("group", "value", "place"))
+    others = {n: v for n, v in spec.items() if n not in sets}
+    df = step_group(flow, others).df if len(others) > 1 or flow.null_means == "missing" else None
+    for name, arg in sets.items():
+        x, _ = expression(distinct_argument(arg, schema), schema)
+        rows = flow.df.select(key.alias(group), x.alias(value), order.alias(place))
+        rows = rows.filter(F.col(f"`{value}`").isNotNull()) if flow.null_means == "missing" else rows
+        firsts = rows.groupBy(group, value).agg(F.min(place).alias(place)).groupBy(group)
+        listed = F.sort_array(F.collect_list(F.struct(F.col(f"`{place}`").alias("o"), F.col(f"`{value}`").alias("v"))))
+        found = firsts.agg(F.transform(listed, lambda s: s["v"]).alias(name))
+        if df is None:
+            df = found.withColumnRenamed(group, "_id")
+            continue
+        df = df.join(found, df["_id"].eqNullSafe(found[group]), "left").drop(group)
+        df = df.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.array().cast(found.schema[name].dataType)))
+    return df.select("`_id`", *(f"`{n}`" for n in names))
+
+
 def uses_fields(e: Any) -> bool:
     if isinstance(e, str):
         return e.startswith("$")

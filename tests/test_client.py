@@ -208,3 +208,26 @@ def test_store(spark, tmp_path):
     c.insert_many([{"_id": i} for i in range(3)])
     c.delete_many({"_id": 1})
     assert len(c.database.vacuum(0)) >= 2 and c.count_documents({"_id": {"$gte": 0}}) == 2 and c.database.vacuum(0) == []
+
+
+def test_sets_of_groups(spark):
+    """$addToSet beside other accumulators: values in the order of their first rows, null as its collection takes it, as the exact profile gives them."""
+    from docloom.operators.pipeline import natural, parse_pipeline, run_pipeline
+
+    rows = [(i, None if i % 6 == 5 else i % 3, None if i % 4 == 1 else (i * 7) % 5, f"v{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "_id long, k int, v int, w string").repartition(4)
+    stages = parse_pipeline([{"$sort": {"_id": -1}}, {"$group": {"_id": "$k", "vs": {"$addToSet": "$v"}, "n": {"$sum": 1}, "ws": {"$addToSet": "$w"}}}])
+    only = parse_pipeline([{"$group": {"_id": "$k", "vs": {"$addToSet": "$v"}}}])
+    for means in ("null", "missing"):
+        expected, first = {}, {}
+        for _, k, v, w in reversed(rows):
+            e = expected.setdefault(k, ([], 0, []))
+            expected[k] = (e[0] + [v] * (v not in e[0] and (v is not None or means == "null")), e[1] + 1, e[2] + [w] * (w not in e[2]))
+        for _, k, v, _ in rows:
+            f = first.setdefault(k, [])
+            if v not in f and (v is not None or means == "null"):
+                f.append(v)
+        out = run_pipeline(natural(df, ["_id"], means), stages)
+        assert out.columns == ["_id", "vs", "n", "ws"] and {r["_id"]: (r["vs"], r["n"], r["ws"]) for r in out.collect()} == expected
+        assert {r["_id"]: r["vs"] for r in run_pipeline(natural(df, ["_id"], means), only).collect()} == first
+    assert run_pipeline(natural(df.filter("false"), ["_id"]), only).count() == 0
