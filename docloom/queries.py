@@ -159,6 +159,16 @@ add(
     "skip_sorted", "orders", [{"$sort": {"o_orderdate": -1, "o_orderkey": 1}}, {"$skip": 700}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "newest": {"$first": "$o_orderkey"}}}],
     "SELECT o_orderstatus AS _id, count(*)::BIGINT AS n, arg_min(o_orderkey, r) AS newest FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r > 700 GROUP BY 1",
 )
+
+
+def skip_half_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row after half of the table, however large it is."""
+    rows = table(spark, sf_dir, "documents")
+    return run_pipeline(natural(rows, IDS["documents"]), parse_pipeline([{"$skip": rows.count() // 2}, {"$limit": 1}, keep("doc_id")]))
+
+
+QUERIES["skip_half_table"] = skip_half_table
+ORACLES["skip_half_table"] = "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1 OFFSET (SELECT count(*) // 2 FROM documents)"
 add("skip_half", "documents", [{"$skip": 400}, {"$limit": 1}, keep("doc_id")], "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1 OFFSET 400")
 
 # Projections
@@ -386,6 +396,7 @@ add_write(
 add_write("delete_many", "orders", lambda c: c.delete_many({"o_totalprice": {"$lt": 200000}}) and None, "SELECT * FROM orders WHERE o_totalprice >= 200000")
 add_write("delete_one", "nation", lambda c: c.delete_one({"n_regionkey": 1}) and None, "SELECT * FROM nation WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1)")
 add_write("count_documents_skip_limit", "orders", lambda c: counts(c, {"n": c.count_documents({"o_orderstatus": "F"}, skip=10, limit=50)}, "n"), "SELECT least(greatest(count(*) - 10, 0), 50)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F'")
+add_write("bulk_load", "lineitem", lambda c: None, "SELECT * FROM lineitem")
 add_write("count_documents_all", "orders", lambda c: counts(c, {"n": c.count_documents()}, "n"), "SELECT count(*)::BIGINT AS n FROM orders")
 add_write("find_sort_skip_limit", "customer", lambda c: c.find({"c_acctbal": {"$gt": 0}}).sort({"c_name": -1}).skip(5).limit(9).frame(), "SELECT * FROM customer WHERE c_acctbal > 0 ORDER BY c_name DESC, c_custkey LIMIT 9 OFFSET 5")
 add_write("find_one", "customer", lambda c: c.find({"c_mktsegment": "BUILDING"}).limit(1).frame(), "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1")
