@@ -372,6 +372,18 @@ def test_near_copies_are_exact(spark):
         assert {r["doc_id"]: r["component_id"] for r in near_copies(docs, most=most).collect()} == dict(enumerate(expected))
 
 
+def test_many_equal_texts(spark):
+    """More exact copies than a key may have before it's split, and near copies of them."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text) for i in range(5, 1600)] + [(4, text + " end"), (3, "nothing like it"), (2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()}
+    assert got == {i: 4 if 4 <= i < 1600 else 3 if i == 3 else 2000 for i, _ in rows}
+    assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == [3, 4, 2000]
+    exact = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    assert {exact[i] for i in range(5, 1600)} <= {4, 5} and exact[2001] == exact[2000]
+
+
 def test_one_document_stays(spark):
     """Null ids, repeated ids and repeated rows: one row of each group of near copies, with all columns whatever their names."""
     text = " ".join(f"w{i}" for i in range(300))

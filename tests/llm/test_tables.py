@@ -60,6 +60,8 @@ def test_spread_join(spark):
     right = spark.createDataFrame([(i, f"v{i}") for i in range(0, 9000, 2)] + [(1, "one")], "k long, n_shares string")
     spread = spread_join(checkpoint(left), right, "k")
     assert "share" in spread.columns and Counter(map(tuple, spread.select("k", "n_rows", "share", "n_shares").collect())) == Counter(map(tuple, left.join(right, "k").select("k", "n_rows", "share", "n_shares").collect()))
+    binary = lambda df: df.withColumn("k", df["k"].cast("string").cast("binary"))
+    assert spread_join(checkpoint(binary(left)), binary(right), "k").count() == spread.count() > 3000
     assert spread_join(checkpoint(left.filter("false")), right, "k").count() == 0 and spread_join(checkpoint(left), right, "k", "left").count() == 9000
 
 
