@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -83,6 +84,19 @@ def key_and_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that isn't in use back to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[str]]]:
     """Keys and texts (null: empty) of Arrow batches, in groups of about `most` bytes; a longer text stands alone."""
     for batch in batches:
@@ -90,6 +104,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[
         for start, end in slices_by_bytes(sizes, most):
             part = batch.slice(start, end - start)
             yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+        release()
 
 
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

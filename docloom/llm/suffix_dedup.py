@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, key_and_text
+from docloom.llm.common import checkpoint, key_and_text, release
 
 LENGTH, GRAM = 50, 16
 PLACES = LENGTH - GRAM + 1
@@ -49,7 +49,7 @@ RECORD = AROUND + 4
 COVER, PERIOD, GAP = (0, 1, 3), 7, 3
 SAMPLE = LENGTH - GAP
 #: Bytes of input per block, per group of records and per group of the look-up; strings looked at in one go (their places take PLACE_BITS); anchors after which a unit ends.
-BLOCK_BYTES, GROUP_BYTES, LOOKUP_BYTES, STRETCH, UNIT_ANCHORS = 4 << 20, 4 << 20, 16 << 20, 1 << 19, 250_000
+BLOCK_BYTES, GROUP_BYTES, LOOKUP_BYTES, STRETCH, UNIT_ANCHORS = 4 << 20, 4 << 20, 16 << 20, 1 << 17, 250_000
 PLACE_BITS = np.uint64(20)
 WIDE = 2000
 #: Kinds of rows: classes for their anchor's group, anchors that are wide, single suffixes, verdicts.
@@ -206,6 +206,7 @@ def split(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    release()
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     names, types = zip(*(c.split() for c in schema.split(", ")))
     columns = list(zip(*rows)) if rows else [[] for _ in names]
