@@ -158,7 +158,7 @@ class Block:
     def records(self, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         out = np.zeros((len(places), RECORD), np.uint8)
         around, left, right = out[:, :AROUND], places - low, high - places
-        around[:] = self.bytes[(places + (BEFORE - LEFT))[:, None] + np.arange(AROUND, dtype=np.int32)]
+        around[:] = np.lib.stride_tricks.sliding_window_view(self.bytes, AROUND)[places + (BEFORE - LEFT)]
         steps = np.arange(AROUND, dtype=np.int8) - np.int8(LEFT)
         around *= (steps >= -left.astype(np.int8)[:, None]) & (steps < right.astype(np.int8)[:, None])
         out[:, AROUND], out[:, AROUND + 1] = left, right
@@ -471,8 +471,8 @@ def removed_bytes(block: Block, ids: np.ndarray, named: np.ndarray, verdicts: pa
             fits = fitting(records, o)
             begins[(places[fits] - LEFT + o)[(mask[fits] >> np.uint64(o) & ONE).astype(bool)]] = True
     at = np.flatnonzero(begins[: block.size])
-    for s in range(0, len(at), 100_000):
-        gone[(at[s : s + 100_000, None] + np.arange(LENGTH)).ravel()] = True
+    for o in range(LENGTH):
+        gone[at + o] = True
     return gone
 
 
