@@ -53,11 +53,11 @@ LATIN_PRETOKEN = re.compile(
 NOT_LATIN = re.compile("[²³¹¼½¾ɐ-\U0010ffff]")
 #: Pre-tokens longer than this aren't kept in the dictionary, so its memory is bounded.
 KEPT_CHARS = 64
-KEPT_ENTRIES = 200_000
+KEPT_ENTRIES = 60_000
 #: A longer text is cut into pre-tokens block by block.
 BLOCK_CHARS = 1_000_000
 #: Text encoded at once.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
